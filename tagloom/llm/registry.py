@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exactdedup
+from . import bpe, exactdedup, mixing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,42 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         ('0x' || substr(md5('0:' || doc_id), 1, 15))::BIGINT AS v
+  FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS r
+  FROM d GROUP BY source),
+p AS (
+  SELECT *, ([5, 2, 1])[r % 3 + 1] AS w, 3 * source_size AS most, sum(source_size) OVER () AS words FROM s),
+q AS (
+  SELECT *, most / w AS ratio,
+         (words - coalesce(sum(most) OVER (ORDER BY most / w, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(w) OVER (ORDER BY most / w, r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM p),
+t AS (
+  SELECT source, source_size, least(w * (SELECT arg_min(level, ratio) FROM q WHERE level <= ratio), most)::DOUBLE AS target
+  FROM q),
+b AS (
+  SELECT *, CASE WHEN target >= 3 * source_size THEN 3 ELSE floor(target / source_size + 1e-9) END::BIGINT AS base FROM t),
+e AS (
+  SELECT d.doc_id, d.size, b.source_size, b.target, b.base, target - base * source_size AS remaining,
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.v, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS upto
+  FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source),
+c AS (
+  SELECT *, least(3, base + CASE WHEN remaining > 0 AND (upto <= remaining OR (upto - size <= remaining
+         AND upto - remaining < remaining - upto + size)) THEN 1 ELSE 0 END)::BIGINT AS copies
+  FROM e)
+SELECT doc_id, size, source_size, target, copies, (copies * size)::BIGINT AS taken FROM c
+"""
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.exact_dedup(documents(spark, sf_dir))
 
@@ -38,8 +74,8 @@ FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n_chars DESC, doc_id)
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_byte_bpe": op2_byte_bpe, "op9_exact_dedup": op9_exact_dedup}
+    return {"op2_byte_bpe": op2_byte_bpe, "op3_mix_sources": op3_mix_sources, "op9_exact_dedup": op9_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": OP9_SQL}
+    return {"op3_mix_sources": OP3_SQL, "op9_exact_dedup": OP9_SQL}
