@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exactdedup, mixing
+from . import bpe, exactdedup, mixing, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,6 +57,23 @@ SELECT doc_id, size, source_size, target, copies, (copies * size)::BIGINT AS tak
 """
 
 
+def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+OP4_SQL = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (
+  SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha1(payload) AS payload_digest,
+         max(page_id) OVER (PARTITION BY payload) AS last FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to
+FROM d
+"""
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.exact_dedup(documents(spark, sf_dir))
 
@@ -74,8 +91,8 @@ FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n_chars DESC, doc_id)
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_byte_bpe": op2_byte_bpe, "op3_mix_sources": op3_mix_sources, "op9_exact_dedup": op9_exact_dedup}
+    return {"op2_byte_bpe": op2_byte_bpe, "op3_mix_sources": op3_mix_sources, "op4_warc_revisits": op4_warc_revisits, "op9_exact_dedup": op9_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": OP3_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op3_mix_sources": OP3_SQL, "op4_warc_revisits": OP4_SQL, "op9_exact_dedup": OP9_SQL}
