@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exactdedup, mixing, warc
+from . import bpe, exactdedup, langid, mixing, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -91,7 +95,7 @@ FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n_chars DESC, doc_id)
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_byte_bpe": op2_byte_bpe, "op3_mix_sources": op3_mix_sources, "op4_warc_revisits": op4_warc_revisits, "op9_exact_dedup": op9_exact_dedup}
+    return {"op1_language_id": op1_language_id, "op2_byte_bpe": op2_byte_bpe, "op3_mix_sources": op3_mix_sources, "op4_warc_revisits": op4_warc_revisits, "op9_exact_dedup": op9_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
