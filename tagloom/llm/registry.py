@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exactdedup, langid, mixing, warc
+from . import bpe, exactdedup, langid, mixing, quality, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -78,6 +78,10 @@ FROM d
 """
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(documents(spark, sf_dir))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.exact_dedup(documents(spark, sf_dir))
 
@@ -95,7 +99,7 @@ FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n_chars DESC, doc_id)
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_language_id": op1_language_id, "op2_byte_bpe": op2_byte_bpe, "op3_mix_sources": op3_mix_sources, "op4_warc_revisits": op4_warc_revisits, "op9_exact_dedup": op9_exact_dedup}
+    return {"op1_language_id": op1_language_id, "op2_byte_bpe": op2_byte_bpe, "op3_mix_sources": op3_mix_sources, "op4_warc_revisits": op4_warc_revisits, "op6_quality_rules": op6_quality_rules, "op9_exact_dedup": op9_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
