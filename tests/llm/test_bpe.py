@@ -39,7 +39,7 @@ def test_documents_as_tiktoken(spark, oracle):
 def test_store_starts_anew(oracle, monkeypatch):
     monkeypatch.setattr(bpe, "STORE", 3)
     coder = bpe.Coder(bpe.read_ranks(PATH), P.PATTERN)
-    for text in TEXTS:
+    for text in [*TEXTS, "a b", "a b c d e", "a b x"]:
         ids = oracle.encode_ordinary(text or "")
         assert coder.encode(text or "") == struct.pack(f"<{len(ids)}I", *ids)
 
