@@ -55,6 +55,40 @@ def lookup(left: DataFrame, right: DataFrame, key: str, rows: str, total: int, h
     return found.where(mark).drop(mark).unionByName(rest.join(cold, key, how))
 
 
+def salted(left: DataFrame, right: DataFrame, key: str, by: str, total: int) -> DataFrame:
+    """left joined with right on key, for wide rows of right, which has a key once.
+
+    Keys with over total / HOT of left's rows, HOT of them at most, are dealt out by the
+    column `by`, each part beside a copy of right's row; all copies together are HOT at
+    most more.
+    """
+    counts = left.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") * HOT > total)
+    counts = F.broadcast(counts.select(key, F.ceil(F.col("_n") * HOT / max(total, 1)).cast("int").alias("_salts")))
+    many = F.coalesce("_salts", F.lit(1))
+    dealt = left.join(counts, key, "left").withColumn("_salt", F.pmod(F.xxhash64(by), many).cast("int")).drop("_salts")
+    copies = right.join(counts, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), many - 1))).drop("_salts")
+    return dealt.join(copies, [key, "_salt"]).drop("_salt")
+
+
+#: 64-bit words of a bit filter: 1 MB, whatever the input.
+FILTER_WORDS = 1 << 17
+
+
+def bit_filter(keys: DataFrame, key: str, column: str | None = None) -> Column:
+    """True where `column` may be among keys' values of `key`: a look-up in FILTER_WORDS words.
+
+    It spares a shuffle of most rows that are no hits, and never says no to a hit; where
+    there are too many keys for it, it says yes too often.
+    """
+    place = "pmod(xxhash64(%s), {})".format(FILTER_WORDS * 64)
+    at, mine = place % key, place % (column or key)
+    words = keys.groupBy(F.expr(f"shiftright({at}, 6)").alias("id")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({at} % 64 as int))")).alias("word"))
+    filled = keys.sparkSession.range(FILTER_WORDS).join(words, "id", "left").select("id", F.coalesce("word", F.lit(0)).alias("word"))
+    array = filled.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "word"))), lambda x: x.word))
+    word = F.element_at(array.scalar(), F.expr(f"cast(shiftright({mine}, 6) as int) + 1"))
+    return F.getbit(word, F.expr(f"cast({mine} % 64 as int)")) == 1
+
+
 def let(value: Column, body) -> Column:
     """body(value), where value is computed once, though a lambda inside may use it often."""
     return F.element_at(F.transform(F.array(value), body), 1)

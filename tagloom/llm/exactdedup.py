@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 from . import common
 
 MEMTABLE_ROWS = 100_000
-#: 64-bit words of the filter over the digests of hits: 1 MB, whatever the input.
-FILTER_WORDS = 1 << 17
 #: Hits of one digest that are compared in one place; more are dealt out by salt.
 SALT_ROWS = 512
 
@@ -101,16 +99,6 @@ class DigestIndex:
         return self.entries().where(F.col("digest").isin(digests))
 
 
-def hit_filter(hits: DataFrame, column: str = "digest") -> Column:
-    """True where a row's digest may be among the hits: a look-up in FILTER_WORDS words."""
-    place = f"pmod(xxhash64({column}), {FILTER_WORDS * 64})"
-    words = hits.withColumnRenamed("digest", column).groupBy(F.expr(f"shiftright({place}, 6)").alias("id")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({place} % 64 as int))")).alias("word"))
-    filled = hits.sparkSession.range(FILTER_WORDS).join(words, "id", "left").select("id", F.coalesce("word", F.lit(0)).alias("word"))
-    array = filled.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "word"))), lambda x: x.word))
-    word = F.element_at(array.scalar(), F.expr(f"cast(shiftright({place}, 6) as int) + 1"))
-    return F.getbit(word, F.expr(f"cast({place} % 64 as int)")) == 1
-
-
 def mismatches(rows: DataFrame, index: DataFrame, total: int) -> DataFrame:
     """Digests of which some row's text differs from that of the row to keep.
 
@@ -122,7 +110,7 @@ def mismatches(rows: DataFrame, index: DataFrame, total: int) -> DataFrame:
     # A digest with salts has over SALT_ROWS rows; of those over total / HOT rows there are
     # HOT at most, which are broadcast. Below that share one salt will do.
     hot = hot.where(F.col("salts") * SALT_ROWS * common.HOT > total)
-    found = rows.where(hit_filter(hits)).join(F.broadcast(hot), "digest", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    found = rows.where(common.bit_filter(hits, "digest")).join(F.broadcast(hot), "digest", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
     member = found.select("digest", "doc_id", "norm", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"))
     keeper = found.join(hits.select("digest", F.col("keep_id").alias("doc_id")), ["digest", "doc_id"], "left_semi")
     keeper = keeper.select("digest", F.col("norm").alias("keep_norm"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
@@ -166,6 +154,6 @@ def kept_rows(docs: DataFrame) -> DataFrame:
     copies = common.staged(exact_dedup(docs).where("group_size > 1").select("doc_id", "kept", F.unhex("text_sha256").alias("digest")), "copies")
     mine = docs.withColumn("_digest", sha256(normalised(F.col("text"))))
     dropped = copies.where("NOT kept").select("doc_id", F.col("digest").alias("_digest")).distinct()
-    may = hit_filter(copies, "_digest")
+    may = common.bit_filter(copies, "digest", "_digest")
     hits = mine.where(may).join(dropped, ["doc_id", "_digest"], "left_anti").select(mine.columns).dropDuplicates(["doc_id", "_digest"])
     return mine.where(~may).unionByName(hits).drop("_digest")

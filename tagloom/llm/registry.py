@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, exactdedup, langid, mixing, quality, warc
+from . import bpe, chat, exactdedup, langid, mixing, neardup, quality, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -122,8 +122,12 @@ FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n_chars DESC, doc_id)
 """
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir), k=2, percent=80)
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_language_id": op1_language_id, "op2_byte_bpe": op2_byte_bpe, "op3_mix_sources": op3_mix_sources, "op4_warc_revisits": op4_warc_revisits, "op5_chat_format": op5_chat_format, "op6_quality_rules": op6_quality_rules, "op9_exact_dedup": op9_exact_dedup}
+    return {"op1_language_id": op1_language_id, "op2_byte_bpe": op2_byte_bpe, "op3_mix_sources": op3_mix_sources, "op4_warc_revisits": op4_warc_revisits, "op5_chat_format": op5_chat_format, "op6_quality_rules": op6_quality_rules, "op9_exact_dedup": op9_exact_dedup, "op10_near_dedup": op10_near_dedup}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .exactdedup import hit_filter
 
 LEAST_BYTES = 1000
 #: Records in one archive file at most.
@@ -80,7 +79,7 @@ def write(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, file_reco
     total = head.count()
     again = common.lookup(head, same, "digest", "rows", total).where("page_id != refers_to")
     keyed = pages.select("page_id", "url", "html").withColumns({"sha1": F.sha1(F.coalesce("html", F.lit("")).cast("binary")), "digest": F.unhex(F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256))})
-    may = hit_filter(same)
+    may = common.bit_filter(same, "digest")
     hits = keyed.where(may).join(again.select("page_id", "digest").distinct(), ["page_id", "digest"], "left_anti").select(keyed.columns)
     records = responses(keyed.where(~may)).unionByName(responses(hits)).unionByName(revisits(again))
     records.write.options(lineSep="\r\n\r\n", maxRecordsPerFile=file_records, compression=compression).text(path)
