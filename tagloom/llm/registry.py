@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, exactdedup, langid, mixing, neardup, quality, secretscan, warc
+from . import bpe, chat, exactdedup, langid, mixing, neardup, ppm, quality, secretscan, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -110,6 +110,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.detect(documents(spark, sf_dir))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_held_out(documents(spark, sf_dir))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.exact_dedup(documents(spark, sf_dir))
 
@@ -131,7 +135,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_language_id": op1_language_id, "op2_byte_bpe": op2_byte_bpe, "op3_mix_sources": op3_mix_sources, "op4_warc_revisits": op4_warc_revisits, "op5_chat_format": op5_chat_format, "op6_quality_rules": op6_quality_rules, "op7_secret_scan": op7_secret_scan, "op9_exact_dedup": op9_exact_dedup, "op10_near_dedup": op10_near_dedup}
+    return {"op1_language_id": op1_language_id, "op2_byte_bpe": op2_byte_bpe, "op3_mix_sources": op3_mix_sources, "op4_warc_revisits": op4_warc_revisits, "op5_chat_format": op5_chat_format, "op6_quality_rules": op6_quality_rules, "op7_secret_scan": op7_secret_scan, "op8_lm_score": op8_lm_score, "op9_exact_dedup": op9_exact_dedup, "op10_near_dedup": op10_near_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
