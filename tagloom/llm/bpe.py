@@ -156,25 +156,25 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary, decoded binary")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, pattern: str, ids: bool = False) -> DataFrame:
     """Digests of ids and of decoded bytes: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
-    The digests are taken in the tasks, so that neither ids nor bytes travel back.
+    The digests are taken in the tasks; the ids, as little-endian unsigned 32-bit integers,
+    are a column only if asked for.
     """
-
     coder = _shared(docs, path, pattern)
+    columns = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()} | ({"ids": pa.binary()} if ids else {})
+    sha = lambda data: hashlib.sha256(data).hexdigest()
 
     def run(batches):
         mine = coder()
-        sha = lambda data: hashlib.sha256(data).hexdigest()
         for batch in batches:
             for part in common.slices(batch, "text"):
-                n, ids_sha, text_sha = [], [], []
+                rows = []
                 for text in part.column("text").to_pylist():
-                    ids = mine.encode(text or "")
-                    n.append(len(ids) // 4)
-                    ids_sha.append(sha(ids))
-                    text_sha.append(sha(mine.decode(ids)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                    found = mine.encode(text or "")
+                    rows.append((len(found) // 4, sha(found), sha(mine.decode(found)), found))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows), columns.values()))], names=["doc_id", *columns])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * ids
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)

@@ -103,30 +103,30 @@ def _cut(docs: DataFrame, need: DataFrame, shift: int) -> DataFrame:
     return at.join(first, ["source_key", "cell"], "left_semi").select("source_key", "cell", (F.col("left") - F.col("upto") + F.col("words")).alias("left"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 0) -> DataFrame:
-    """docs (doc_id, text, source) -> doc_id, size, source_size, target, copies, taken.
+def _keyed(rows: DataFrame, seed: int) -> DataFrame:
+    """rows (doc_id, text, source) with size, source_key and v beside their own columns."""
+    key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
+    return rows.withColumns({"size": word_count(F.col("text")), "source_key": key, "v": _hash_cells(F.col("doc_id"), seed)})
 
-    size is the number of words, 0 for a null text. Rows with a null source form a source
-    of their own, the last. taken = copies * size; a source's taken words miss its target
-    by half a document at most. Rows that repeat a doc_id are documents of their
-    own. No text, no size or an empty table give no words, and 0 targets. Other columns are
-    ignored. The same input gives the same result on every run.
+
+def plan(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """For each source of sizes (doc_id, source, size, source_key, v) what its copies follow from.
+
+    source_key, source_size, source_rows, target, base: the copies that each document
+    gets, and stop: the document, in the order of v, at which one more ends; near: whether
+    it still gets one.
     """
-    sizes = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    sizes = common.staged(sizes.withColumn("source_key", key).withColumn("v", _hash_cells(F.col("doc_id"), seed)), "sizes")
     sources = sizes.groupBy("source_key", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
-    plan = targets(sources.select("source", "source_size"), weights, most)
+    found = targets(sources.select("source", "source_size"), weights, most)
     t = tilt(F.col("target"), F.col("source_size"), most)
-    plan = plan.withColumn("rate", F.when(F.col("target") >= F.col("source_size") * most, F.lit(float(most))).otherwise(tilted(t, most)))
-    plan = plan.withColumn("source_key", key).withColumn("base", F.floor(F.col("rate") + 1e-9))
+    found = found.withColumn("rate", F.when(F.col("target") >= F.col("source_size") * most, F.lit(float(most))).otherwise(tilted(t, most)))
+    found = found.withColumn("source_key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))).withColumn("base", F.floor(F.col("rate") + 1e-9))
     left = F.greatest(F.lit(0.0), F.col("source_size") * (F.col("rate") - F.col("base")))
-    plan = common.staged(plan.withColumn("left", left).join(sources.select("source_key", "source_rows"), "source_key"), "plan")
-    total = sizes.count()
+    found = common.staged(found.withColumn("left", left).join(sources.select("source_key", "source_rows"), "source_key"), "plan")
 
     # What one more copy may use up, found to within a cell of CELLS ** 2, then in order.
     bits = int(math.log2(CELLS))
-    coarse = common.staged(_cut(sizes, plan.select("source_key", "left"), 60 - bits), "coarse")
+    coarse = common.staged(_cut(sizes, found.select("source_key", "left"), 60 - bits), "coarse")
     inside = _in_cell(sizes, coarse, 60 - bits)
     fine = common.staged(_cut(inside, coarse.select("source_key", "left"), 60 - 2 * bits), "fine")
     inside = _in_cell(inside, fine, 60 - 2 * bits)
@@ -135,13 +135,40 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     last = last.where("upto > left").groupBy("source_key").agg(F.min(F.struct("v", "doc_id", "size", "upto", "left")).alias("last"))
     near = F.col("last.upto") - F.col("last.left") < F.col("last.left") - F.col("last.upto") + F.col("last.size")
     last = last.select("source_key", F.struct("last.v", "last.doc_id", "last.size").alias("stop"), near.alias("near"))
-    ends = plan.join(last, "source_key", "left")
+    return found.join(last, "source_key", "left").select("source_key", "source_size", "source_rows", "target", "base", "left", "stop", "near")
 
-    joined = common.lookup(sizes.drop("source"), ends.select("source_key", "source_size", "target", "base", "stop", "near", "source_rows", "left"), "source_key", "source_rows", total)
+
+def _copied(rows: DataFrame, ends: DataFrame, total: int, most: int) -> DataFrame:
+    """rows (doc_id, size, source_key, v, ...) with copies, and what their source's plan says.
+
+    Hot sources' plans are broadcast; only rows of other sources are shuffled.
+    """
+    joined = common.lookup(rows, ends, "source_key", "source_rows", total)
     me = F.struct("v", "doc_id", "size")
     more = (F.col("left") > 0) & (F.col("stop").isNull() | (me < F.col("stop")) | ((me == F.col("stop")) & F.col("near")))
-    copies = F.least(F.lit(most), F.col("base") + more.cast("long"))
-    return joined.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return joined.withColumn("copies", F.least(F.lit(most), F.col("base") + more.cast("long")))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 0) -> DataFrame:
+    """docs (doc_id, text, source) -> doc_id, size, source_size, target, copies, taken.
+
+    size is the number of words, 0 for a null text. Rows with a null source form a source
+    of their own, the last. taken = copies * size; a source's taken words miss its target
+    by half a document at most. Rows that repeat a doc_id are documents of their own. No
+    text, no size or an empty table give no words, and 0 targets. Other columns are
+    ignored. The same input gives the same result on every run.
+    """
+    sizes = common.staged(_keyed(docs.select("doc_id", "text", "source"), seed).drop("text"), "sizes")
+    out = _copied(sizes.drop("source"), plan(sizes, weights, most), sizes.count(), most)
+    return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 0) -> DataFrame:
+    """docs with each row as often as the mix takes it; all columns stay."""
+    rows = _keyed(docs.select("doc_id", "text", "source", F.struct("*").alias("_row")), seed).drop("text")
+    sizes = common.staged(rows.drop("_row"), "sizes")
+    out = _copied(rows.drop("source"), plan(sizes, weights, most), sizes.count(), most)
+    return out.where("copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
 
 
 def _in_cell(docs: DataFrame, cells: DataFrame, shift: int) -> DataFrame:

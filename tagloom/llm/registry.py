@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from . import bpe, chat, exactdedup, langid, mixing, neardup, ppm, quality, secretscan, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -135,8 +137,8 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_language_id": op1_language_id, "op2_byte_bpe": op2_byte_bpe, "op3_mix_sources": op3_mix_sources, "op4_warc_revisits": op4_warc_revisits, "op5_chat_format": op5_chat_format, "op6_quality_rules": op6_quality_rules, "op7_secret_scan": op7_secret_scan, "op8_lm_score": op8_lm_score, "op9_exact_dedup": op9_exact_dedup, "op10_near_dedup": op10_near_dedup}
+    return {"op1_language_id": op1_language_id, "op2_byte_bpe": op2_byte_bpe, "op3_mix_sources": op3_mix_sources, "op4_warc_revisits": op4_warc_revisits, "op5_chat_format": op5_chat_format, "op6_quality_rules": op6_quality_rules, "op7_secret_scan": op7_secret_scan, "op8_lm_score": op8_lm_score, "op9_exact_dedup": op9_exact_dedup, "op10_near_dedup": op10_near_dedup, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": OP3_SQL, "op4_warc_revisits": OP4_SQL, "op5_chat_format": OP5_SQL, "op9_exact_dedup": OP9_SQL}
+    return ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}) | {"op3_mix_sources": OP3_SQL, "op4_warc_revisits": OP4_SQL, "op5_chat_format": OP5_SQL, "op9_exact_dedup": OP9_SQL}
