@@ -39,7 +39,7 @@ def pairs(signed: DataFrame, most: int, width: int = WORD) -> DataFrame:
     """
     classes = signed.groupBy("hash").agg(F.min("id").alias("id"))
     edges = [i * width // (most + 1) for i in range(most + 2)]
-    blocks = [F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("hash", a).bitwiseAND((1 << (b - a)) - 1).alias("bits")) for i, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+    blocks = [F.struct(F.lit(i).alias("block"), (F.shiftrightunsigned("hash", a).bitwiseAND((1 << (b - a)) - 1) if b - a < WORD else F.col("hash")).alias("bits")) for i, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
     keyed = classes.select("id", "hash", F.explode(F.array(*blocks)).alias("k")).select("id", "hash", "k.*")
     left, right = keyed.select("block", "bits", F.col("id").alias("a"), F.col("hash").alias("ha")), keyed.select("block", "bits", F.col("id").alias("b"), F.col("hash").alias("hb"))
     near = left.join(right, ["block", "bits"]).where((F.col("a") < F.col("b")) & (distance(F.col("ha"), F.col("hb")) <= most))

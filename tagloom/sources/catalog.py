@@ -46,9 +46,8 @@ def scan_images(spark: SparkSession, *roots: str, skip: str | None = "-masklabel
 
 def read_captions(spark: SparkSession, path: str, separator: str = ", ") -> DataFrame:
     """stem, path and tags of caption files, one row a file."""
-    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.txt", recursiveFileLookup=True)
-    where = F.col("_metadata.file_path")
-    return files.select(where.alias("path"), F.regexp_extract(where, r"([^/]+)\.[^./]+$", 1).alias("stem"), tags.split_caption(F.col("value"), separator).alias("tags"))
+    files = spark.read.format("binaryFile").options(pathGlobFilter="*.txt", recursiveFileLookup="true").load(path)  # text readers skip empty files
+    return files.select("path", F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("stem"), tags.split_caption(F.decode("content", "UTF-8"), separator).alias("tags"))
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
