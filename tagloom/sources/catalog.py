@@ -45,8 +45,9 @@ def scan_images(spark: SparkSession, *roots: str, skip: str | None = "-masklabel
 
 
 def read_captions(spark: SparkSession, path: str, separator: str = ", ") -> DataFrame:
-    """stem, path and tags of caption files, one row a file."""
-    files = spark.read.format("binaryFile").options(pathGlobFilter="*.txt", recursiveFileLookup="true").load(path)  # text readers skip empty files
+    """stem, path and tags of caption files, one row a file; Spark lists no empty files, so an
+    item without a row here has no tags."""
+    files = spark.read.format("binaryFile").options(pathGlobFilter="*.txt", recursiveFileLookup="true").load(path)
     return files.select("path", F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("stem"), tags.split_caption(F.decode("content", "UTF-8"), separator).alias("tags"))
 
 
