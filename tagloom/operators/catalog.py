@@ -138,3 +138,72 @@ def pulled(items: DataFrame, prompts: DataFrame, mode: str = "after") -> DataFra
     new = F.coalesce(tg.split_prompt(F.col("prompt")), F.array().cast("array<string>"))
     merged = tg.merge_prompt(F.col("tags"), new, mode)
     return found.withColumn("changed", merged != F.col("tags")).withColumn("tags", merged).drop("prompt")
+
+
+def source_labels(files: DataFrame, roots: DataFrame) -> DataFrame:
+    """files (path) with the shortest <root's name>/<path below it> among the roots (seq, root)
+    that contain them. A path meets only its own ancestors: it is exploded into them."""
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    each = files.select("path", F.explode(above).alias("root"))
+    label = F.concat(F.regexp_extract("root", "([^/]+)$", 1), F.expr("substring(path, length(root) + 1)"))
+    found = each.join(roots, "root").groupBy("path").agg(F.min_by(label, F.struct(F.length(label), F.col("seq"))).alias("label"))
+    return files.join(found, "path", "left")
+
+
+def score_text(score: Column, original: Column) -> Column:
+    """original, a percentage with one decimal from 99 on, or a whole one."""
+    exact = F.concat(F.format_string("%.1f", F.floor(score * 1000 + 0.5) / F.lit(10.0)), F.lit("%"))
+    return F.when(original, F.lit("original")).when(score >= 0.99, exact).otherwise(F.concat(F.bround(score * 100, 0).cast("int").cast("string"), F.lit("%")))
+
+
+def stale(files: DataFrame, cache: DataFrame) -> DataFrame:
+    """files (key, stamp) that the cache has not, or with another stamp."""
+    return files.join(cache.select("key", "stamp"), ["key", "stamp"], "left_anti")
+
+
+def export_manifest(items: DataFrame) -> DataFrame:
+    """items (path, tags) -> source, destination, text, and whether destinations collide."""
+    name = F.regexp_extract("path", "([^/]+)$", 1)
+    rows = items.select(F.col("path").alias("source"), name.alias("destination"), F.array_join("tags", ", ").alias("text"))
+    return rows.withColumn("collides", F.count("*").over(W.partitionBy("destination")) > 1)
+
+
+def reformatted(text: Column) -> Column:
+    """Tag files of one tag a line, with underscores, as a caption."""
+    return F.replace(F.array_join(tg.split_caption(text, "\n"), ", "), F.lit("_"), F.lit(" "))
+
+
+def metadata_filter(metadata: Column, width_least: int | None = None, height_most: int | None = None, words: str | None = None, format: str | None = None) -> Column:
+    """Bounds of size, part of the prompts, and format; without metadata none of them holds."""
+    terms = [F.lit(True)]
+    if width_least is not None:
+        terms.append(metadata["width"] >= width_least)
+    if height_most is not None:
+        terms.append(metadata["height"] <= height_most)
+    if words is not None:
+        terms.append(F.contains(F.lower(F.concat_ws("\n", metadata["positive"], metadata["negative"])), F.lit(words.lower())))
+    if format is not None:
+        terms.append(F.lower(metadata["format"]) == format.lower())
+    out = terms[0]
+    for term in terms[1:]:
+        out = out & F.coalesce(term, F.lit(False))
+    return out
+
+
+def settings_rows(items: DataFrame) -> DataFrame:
+    """items (item_id, settings, width, height) -> key and value rows, the resolution first."""
+    size = F.when(F.col("width").isNotNull(), F.array(F.struct(F.lit("Resolution").alias("key"), F.concat_ws("x", F.col("width").cast("string"), F.col("height").cast("string")).alias("value"))))
+    rows = F.concat(F.coalesce(size, F.array().cast("array<struct<key:string,value:string>>")), F.map_entries("settings"))
+    return items.select("item_id", F.posexplode(rows).alias("place", "r")).select("item_id", "place", "r.key", "r.value")
+
+
+def copied_captions(items: DataFrame) -> DataFrame:
+    """group, captions: a line an item, in order of item_id."""
+    rows = F.array_sort(F.collect_list(F.struct("item_id", F.array_join("tags", ", ").alias("line"))))
+    return items.groupBy("group").agg(F.array_join(F.transform(rows, lambda x: x.line), "\n").alias("captions"))
+
+
+def cached_pairs(pairs: DataFrame, bits: int) -> DataFrame:
+    """Pairs measured at a wider tolerance, at a narrower one: no pair is compared again."""
+    return pairs.where(F.col("bits") <= bits)

@@ -550,3 +550,74 @@ def metadata_pulled(spark, sf):
 def text_copies(spark, sf):
     d = src.table(spark, sf, "documents")
     return d.groupBy(F.md5("text").alias("k")).agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n")).where("n > 1")
+
+
+@query("""SELECT doc_id, CASE WHEN length(lang || '/' || doc_id) < length(source || '/' || lang || '/' || doc_id) AND lang <> 'en' THEN lang || '/' || doc_id ELSE source || '/' || lang || '/' || doc_id END AS label FROM documents""")
+def source_labels(spark, sf):
+    """Nested roots: each source, and in it the folders of languages other than English."""
+    d = src.table(spark, sf, "documents")
+    files = d.select("doc_id", F.concat_ws("/", F.lit(""), "source", "lang", F.col("doc_id").cast("string")).alias("path"))
+    top = d.select(F.concat(F.lit("/"), "source").alias("root"))
+    nested = d.where("lang <> 'en'").select(F.concat(F.lit("/"), "source", F.lit("/"), "lang").alias("root"))
+    roots = top.unionByName(nested).distinct().withColumn("seq", F.crc32(F.col("root").cast("binary")))
+    return cat.source_labels(files, roots).select("doc_id", "label")
+
+
+@query("""SELECT o_orderkey, CASE WHEN s >= 0.99 THEN printf('%.1f', floor(s * 1000 + 0.5) / 10) || '%' ELSE round_even(s * 100, 0)::INTEGER || '%' END AS shown
+FROM (SELECT o_orderkey, 1 - (o_orderkey % 97) / 128.0::DOUBLE AS s FROM orders) WHERE o_orderkey % 5 <> 0
+UNION ALL SELECT o_orderkey, 'original' FROM orders WHERE o_orderkey % 5 = 0""")
+def scores_shown(spark, sf):
+    o = src.table(spark, sf, "orders")
+    return o.select("o_orderkey", cat.score_text(1 - (F.col("o_orderkey") % 97) / F.lit(128.0), F.col("o_orderkey") % 5 == 0).alias("shown"))
+
+
+@query("""SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0 AND NOT o_orderkey % 5 = 0 AND round_even((1 - (o_orderkey % 97) / 128.0::DOUBLE) * 100, 0) >= 90""")
+def filter_marked_score(spark, sf):
+    o = src.table(spark, sf, "orders").withColumns({"marked": F.col("o_orderkey") % 2 == 0, "original": F.col("o_orderkey") % 5 == 0, "score": 1 - (F.col("o_orderkey") % 97) / F.lit(128.0)})
+    return o.where(F.col("marked") & ~F.col("original") & (F.bround(F.col("score") * 100, 0) >= 90)).select("o_orderkey")
+
+
+@query("SELECT p_partkey FROM part WHERE p_size * 8 >= 100 AND contains(lower(p_name || chr(10) || p_brand), 'an')")
+def filter_metadata(spark, sf):
+    p = src.table(spark, sf, "part")
+    text = F.concat("p_name", F.lit("\nNegative prompt: "), "p_brand", F.lit("\nSteps: 5, Size: "), (F.col("p_size") * 8).cast("string"), F.lit("x512"))
+    rows = p.select("p_partkey", metadata.parse(text).alias("m"))
+    return rows.where(cat.metadata_filter(F.col("m"), width_least=100, height_most=512, words="AN", format="settings")).select("p_partkey")
+
+
+@query("""SELECT p_partkey AS item_id, i - 1 AS place, (['Resolution', 'Steps', 'Size'])[i] AS key, ([(p_size * 8) || 'x512', '5', (p_size * 8) || 'x512'])[i] AS value FROM part, (SELECT unnest([1, 2, 3]) AS i)""")
+def settings_listed(spark, sf):
+    p = src.table(spark, sf, "part")
+    m = metadata.parse(F.concat("p_name", F.lit("\nSteps: 5, Size: "), (F.col("p_size") * 8).cast("string"), F.lit("x512")))
+    rows = p.select(F.col("p_partkey").alias("item_id"), m.alias("m")).select("item_id", "m.settings", "m.width", "m.height")
+    return cat.settings_rows(rows)
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 3 = 0 OR doc_id % 5 = 0")
+def cache_stale(spark, sf):
+    d = src.table(spark, sf, "documents")
+    files = d.select("doc_id", F.col("doc_id").alias("key"), F.col("n_chars").alias("stamp"))
+    cache = d.where("doc_id % 3 <> 0").select(F.col("doc_id").alias("key"), F.when(F.col("doc_id") % 5 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars")).alias("stamp"))
+    return cat.stale(files, cache).select("doc_id")
+
+
+@query(f"WITH {ITEMS} SELECT 'd' || item_id % 3 || '/' || name AS source, name AS destination, array_to_string(tags, ', ') AS text, count(*) OVER (PARTITION BY name) > 1 AS collides FROM items")
+def export_manifest(spark, sf):
+    items = src.parts(spark, sf)
+    return cat.export_manifest(items.withColumn("path", F.concat(F.lit("d"), (F.col("item_id") % 3).cast("string"), F.lit("/"), "name")))
+
+
+@query("SELECT p_partkey, replace(replace(p_name, ' ', ', '), '_', ' ') || ', a b' AS caption FROM part")
+def tag_files_reformatted(spark, sf):
+    p = src.table(spark, sf, "part")
+    return p.select("p_partkey", cat.reformatted(F.concat(F.replace("p_name", F.lit(" "), F.lit("\n")), F.lit("\n\n a_b\n"))).alias("caption"))
+
+
+@query(f"""WITH {ITEMS} SELECT width AS "group", string_agg(array_to_string(tags, ', '), chr(10) ORDER BY item_id) AS captions FROM items GROUP BY width""")
+def captions_copied(spark, sf):
+    return cat.copied_captions(src.parts(spark, sf).withColumn("group", F.col("width")))
+
+
+@query(f"WITH {PAIRS} SELECT a, b, bits FROM pairs WHERE bits <= 16")
+def duplicate_pairs_narrowed(spark, sf):
+    return cat.cached_pairs(duplicates.pairs(_signed(spark, sf), 17), 16)
