@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ from . import common
 STORE = 400_000
 #: Pre-tokens over this many bytes are encoded without being kept.
 LONG = 256
+#: Characters of a text whose pre-tokens a task holds at once.
+WHOLE = 1 << 21
 
 
 def byte_characters() -> list[str]:
@@ -81,7 +84,7 @@ class Coder:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(ranks))
-        self.split = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
         self.ranks = ranks
         self.tokens = [t for t, _ in sorted(ranks.items(), key=lambda x: x[1])]
         self.to_characters = dict(enumerate(byte_characters()))
@@ -103,7 +106,12 @@ class Coder:
         return out
 
     def encode(self, text: str) -> bytes:
-        pieces = self.split(text)
+        if len(text) <= WHOLE:
+            return self._ids(self.pattern.findall(text))
+        found = (m.group() for m in self.pattern.finditer(text))
+        return b"".join(iter(lambda: self._ids(list(islice(found, WHOLE // 4))), b""))
+
+    def _ids(self, pieces: list[str]) -> bytes:
         new = set(pieces).difference(self.store)
         if not new:
             return b"".join(map(self.store.__getitem__, pieces))
@@ -115,7 +123,8 @@ class Coder:
         return b"".join(map(use.__getitem__, pieces))
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        numbers = np.frombuffer(ids, "<u4")
+        return b"".join(b"".join(map(self.tokens.__getitem__, numbers[i : i + WHOLE].tolist())) for i in range(0, len(numbers), WHOLE))
 
 
 _coders: dict = {}

@@ -30,6 +30,8 @@ LANDMARKS = 160
 GRAMS = 12_000
 RIDGE = 1e-3
 UNKNOWN = "und"
+#: Bytes of a text whose n-grams are looked up at once.
+BLOCK = 1 << 20
 
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -80,9 +82,11 @@ class Model:
         out = np.zeros((len(texts), self.width + 1), np.uint8)
         for row, text in zip(out, texts):
             data = np.frombuffer(padded(text), np.uint8)
-            for n, table in enumerate(self.tables, 1):
-                if len(data) >= n:
-                    row[table[_codes(data, n)]] = 1
+            for at in range(0, len(data), BLOCK):
+                for n, table in enumerate(self.tables, 1):
+                    part = data[at : at + BLOCK + n - 1]
+                    if len(part) >= n:
+                        row[table[_codes(part, n)]] = 1
         return out[:, :-1]
 
     def kernel(self, texts: list[str]) -> np.ndarray:

@@ -44,6 +44,14 @@ def test_store_starts_anew(oracle, monkeypatch):
         assert coder.encode(text or "") == struct.pack(f"<{len(ids)}I", *ids)
 
 
+def test_long_texts_go_in_parts(oracle, monkeypatch):
+    coder = bpe.Coder(bpe.read_ranks(PATH), P.PATTERN)
+    text = " ".join(t or "" for t in TEXTS)
+    whole = coder.encode(text)
+    monkeypatch.setattr(bpe, "WHOLE", 40)
+    assert coder.encode(text) == whole and coder.decode(whole) == text.encode()
+
+
 def test_empty_table(spark):
     assert bpe.round_trip(spark.createDataFrame([], "doc_id long, text string"), PATH, P.PATTERN).collect() == []
 

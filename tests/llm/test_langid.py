@@ -52,6 +52,15 @@ def test_kernel_by_brute_force():
     assert np.sort(got.ravel()) == pytest.approx(mine, abs=1e-5)
 
 
+def test_long_texts_go_in_blocks(monkeypatch):
+    model = langid.fit(["the cat sat on", "der hund lief"], ["en", "de"])
+    model.prepare()
+    texts = ["the cat and der hund", "x", ""]
+    whole = model.marks(texts)
+    monkeypatch.setattr(langid, "BLOCK", 4)
+    assert (model.marks(texts) == whole).all()
+
+
 def test_odd_texts_and_tables(spark):
     rows = [(i, "the cat sat on the mat" if i % 2 else "der hund lief in das haus", "en" if i % 2 else "de", "s") for i in range(40)]
     rows += [(100, None, "en", "s"), (101, "", None, None), (102, "123 !!", "en", "s"), (103, "the cat " * 30000, None, "s"), (104, "der hund", None, "s"), (104, "der hund", None, "s")]
