@@ -41,15 +41,23 @@ def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, rows: str, total: int, how: str = "inner") -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, key: str, rows: str, total: int, how: str = "inner", listed: bool = False) -> DataFrame:
     """left joined with right on key; right has a key once, `rows` of left's rows have it.
 
     Keys with over total / HOT rows are broadcast (HOT of them at most), so no task gets
     more than that share of the rows by its key; the rest is an ordinary shuffled join.
+    listed: the driver lists the hot keys first, so that rows of other keys pass no join
+    but their own. That pays where right is staged and most of left finds nothing.
     """
     mark = "_hot"
     hot = right.where(F.col(rows) * HOT > total).withColumn(mark, F.lit(True))
     cold = right.where(F.col(rows) * HOT <= total)
+    if listed:
+        keys = [r[0] for r in hot.select(key).collect()]
+        if not keys:
+            return left.join(cold, key, how)
+        is_hot = F.coalesce(F.col(key).isin(keys), F.lit(False))
+        return left.where(is_hot).join(F.broadcast(hot.drop(mark)), key).unionByName(left.where(~is_hot).join(cold, key, how))
     found = left.join(F.broadcast(hot), key, "left")
     rest = found.where(F.col(mark).isNull()).select(left.columns)
     return found.where(mark).drop(mark).unionByName(rest.join(cold, key, how))

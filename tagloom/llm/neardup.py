@@ -5,8 +5,10 @@ of leading zeros and a few mantissa bits. Rows with one set are one class. Bands
 registers are keys; in each band's bucket all classes are compared with its smallest
 one, the hub. What the sketches, corrected for chance collisions of registers, let pass
 is verified on full sets. Links join classes into components. In a bucket whose classes
-are then in more than one component, the rest of its pairs is compared too, block by
-block, so that no link is lost for want of a hub.
+are then in more than one component, the rest of its pairs is compared by sketches too,
+block by block, and where sketches are similar enough the block's full sets are compared
+in place, so that no link is lost for want of a hub, and pairs that are none are never
+written as rows.
 """
 
 from __future__ import annotations
@@ -24,10 +26,10 @@ from . import common
 BANDS, REGISTERS = 36, 5
 #: Bits of a register: leading zeros above, MANTISSA bits of the minimum below.
 MANTISSA = 10
-#: An estimate this far below the bound, over five standard deviations, needs no verification.
-SLACK = 0.18
+#: An estimate this far below the bound, five standard deviations, needs no verification.
+SLACK = 0.15
 #: Classes in a block of a bucket's remaining pairs, and rows that a task compares at a time.
-BLOCK, TASK_ROWS = 256, 20_000
+BLOCK, TASK_ROWS = 1024, 10_000
 _SEEDS = None
 
 
@@ -173,23 +175,27 @@ def _named(table: DataFrame, end: str) -> DataFrame:
     return table.select(*(F.col(c).alias(end if c == "id" else f"{c}_{end}") for c in table.columns))
 
 
-def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, percent: int, screened: bool = False) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets' Jaccard similarity is percent / 100 or more."""
     pairs = common.staged(pairs, "pairs")
-    if not screened:
-        n = pairs.count()
-        both = common.salted(pairs, _named(classes, "a"), "a", "b", n)
-        both = common.salted(both, _named(classes, "b"), "b", "a", n)
-        pairs = common.staged(both.mapInArrow(_similar(percent), PAIR), "similar")
     n = pairs.count()
-    ids = common.staged(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    wanted = docs.where(common.bit_filter(ids, "id", "doc_id"))
-    sets = common.staged(full_sets(wanted, k).join(ids, "id", "left_semi").dropDuplicates(["id", "shingles"]), "sets")
+    both = common.salted(pairs, _named(classes, "a"), "a", "b", n)
+    both = common.salted(both, _named(classes, "b"), "b", "a", n)
+    pairs = common.staged(both.mapInArrow(_similar(percent), PAIR), "similar")
+    n = pairs.count()
+    sets = _sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), k)
     both = common.salted(pairs, _named(sets, "a"), "a", "b", n)
     both = common.salted(both, _named(sets, "b"), "b", "a", n)
     return both.mapInArrow(_linked(percent), PAIR)
 
 
+def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """The full sets of some ids, staged."""
+    ids = common.staged(ids.distinct(), "ids")
+    wanted = docs.where(common.bit_filter(ids, "id", "doc_id"))
+    return common.staged(full_sets(wanted, k).join(ids, "id", "left_semi").dropDuplicates(["id", "shingles"]), "sets")
+
+
 def components(links: DataFrame) -> DataFrame:
     """links (a, b) -> id, component: the smallest id that can be reached, for linked ids.
 
@@ -219,52 +225,110 @@ def components(links: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
-def _blocks(percent: int):
-    """Pairs of a bucket's blocks in different components whose sketches may be similar."""
+def _segments(rows: pd.DataFrame):
+    """For each two blocks of a bucket their rows, and which of them are in either block."""
+    rows = rows.sort_values(["key", "i", "j", "mine", "id"], kind="stable").reset_index(drop=True)
+    place = rows[["key", "i", "j"]].to_numpy()
+    cut = np.flatnonzero(np.any(place[1:] != place[:-1], axis=1)) + 1
+    for part in np.split(np.arange(len(rows)), cut):
+        one = rows.iloc[part]
+        left, right = (np.flatnonzero((one.mine == one[c]).to_numpy()) for c in ("i", "j"))
+        if len(left) and len(right):
+            yield one, left, right
+
+
+def _others(parts: np.ndarray, left: np.ndarray, right: np.ndarray):
+    """Each row that is not in the largest component, with the rows to compare it with.
+
+    Of two rows in different components one at least is not in the largest.
+    """
+    kinds, counts = np.unique(parts, return_counts=True)
+    largest = kinds[counts.argmax()]
+    for mine, others in [(left, right)] if left[0] == right[0] else [(left, right), (right, left)]:
+        for x in mine[parts[mine] != largest]:
+            y = others[parts[others] != parts[x]]
+            if len(y):
+                yield x, y
+
+
+SCREENED = "key long, i int, j int, mine int, id long, component long"
+
+
+def _screen(percent: int):
+    """The rows of two blocks that may be linked to one in another component, by sketches.
+
+    A pair counts in the first band alone in whose bucket it is.
+    """
     least = percent / 100 - SLACK
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["key", "i", "j", "mine"], kind="stable").reset_index(drop=True)
-        cut = np.flatnonzero(np.any(rows[["key", "i", "j"]].to_numpy()[1:] != rows[["key", "i", "j"]].to_numpy()[:-1], axis=1)) + 1
         found = []
-        for part in np.split(np.arange(len(rows)), cut):
-            one = rows.iloc[part]
-            left, right = one[one.mine == one.i], one[one.mine == one.j]
-            if not len(left) or not len(right):
-                continue
-            ids, sketch, n, parts = [], [], [], []
-            for side in (left, right):
-                ids.append(side.id.to_numpy())
-                sketch.append(np.frombuffer(b"".join(side.registers), np.uint16).reshape(len(side), -1))
-                n.append(side.n.to_numpy())
-                parts.append(side.component.to_numpy())
-            for x in range(len(left)):
-                other = np.flatnonzero((parts[1] != parts[0][x]) & ((ids[1] > ids[0][x]) | (left.i.iloc[0] != left.j.iloc[0])))
-                if len(other):
-                    a, b = n[0][x], n[1][other]
-                    good = (estimate((sketch[1][other] == sketch[0][x]).mean(1), np.full(len(b), a), b) >= least) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
-                    found += [(min(ids[0][x], y), max(ids[0][x], y)) for y in ids[1][other[good]]]
+        for one, left, right in _segments(rows):
+            n, parts, band = one.n.to_numpy(), one.component.to_numpy(), int(one.band.iloc[0])
+            sketch = np.frombuffer(b"".join(one.registers), np.uint16).reshape(len(one), -1)
+            hit = np.zeros(len(one), bool)
+            for x, y in _others(parts, left, right):
+                y = y[100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])]
+                equal = sketch[y] == sketch[x]
+                y, equal = (v[estimate(equal.mean(1), np.full(len(y), n[x]), n[y]) >= least] for v in (y, equal)) if len(y) else (y, equal)
+                if band and len(y):
+                    y = y[~equal[:, : band * REGISTERS].reshape(len(y), band, REGISTERS).all(2).any(1)]
+                hit[y] = True
+                hit[x] |= len(y) > 0
+            found.append(one[hit][["key", "i", "j", "mine", "id", "component"]])
+        return pd.concat(found) if found else pd.DataFrame(columns=["key", "i", "j", "mine", "id", "component"])
+
+    return run
+
+
+def _exact(percent: int):
+    """The links between two blocks' rows of different components, by full sets: for each
+    row one link to each other component."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for one, left, right in _segments(rows):
+            ids, parts = one.id.to_numpy(), one.component.to_numpy()
+            sets = [np.frombuffer(s, np.uint64) for s in one.shingles]
+            n = np.array([len(s) for s in sets])
+            joined = np.concatenate(sets)
+            order = np.argsort(joined, kind="stable")
+            joined, owner = joined[order], np.repeat(np.arange(len(sets)), n)[order]
+            for x, y in _others(parts, left, right):
+                lo, hi = np.searchsorted(joined, sets[x], "left"), np.searchsorted(joined, sets[x], "right")
+                size = hi - lo
+                at = np.repeat(lo - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+                both = np.bincount(owner[at], minlength=len(sets))[y]
+                y = y[100 * both >= percent * (n[x] + n[y] - both)]
+                if len(y):
+                    found += [(ids[x], ids[z]) for z in y[np.unique(parts[y], return_index=True)[1]]]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return run
 
 
-def remaining(buckets: DataFrame, parts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that share a bucket, but neither a component nor that bucket's hub.
+def remaining(docs: DataFrame, buckets: DataFrame, parts: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between classes that share a bucket, but neither a component nor that
+    bucket's hub: for each class one link to each other component that it has links to.
 
     A bucket in more than one component is cut into blocks of about BLOCK classes; each two
-    blocks meet in a task.
+    blocks meet in a task, first by sketches, then what may be linked by full sets.
     """
     with_part = buckets.where("size > 2").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
     with_part = common.staged(with_part, "parts")
     mixed = with_part.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.first("size").alias("rows")).where("lo != hi").select("key", "rows")
     rows = common.lookup(with_part, mixed, "key", "rows", with_part.count()).where("id != hub")
     blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
-    rows = rows.select("key", "id", "component", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("mine"), blocks.alias("blocks"))
+    rows = rows.select("key", "band", "id", "component", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("mine"), blocks.alias("blocks"))
     rows = rows.join(classes, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = common.staged(rows.select("key", "id", "component", "n", "registers", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")), "blocks")
-    tasks = max(1, rows.count() // TASK_ROWS)
-    return rows.groupBy(F.pmod(F.xxhash64("key", "i", "j"), F.lit(tasks)).alias("task")).applyInPandas(_blocks(percent), PAIR).distinct()
+    rows = common.staged(rows.select("key", "band", "id", "component", "n", "registers", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")), "blocks")
+
+    def by_task(df: DataFrame):
+        return df.groupBy(F.pmod(F.xxhash64("key", "i", "j"), F.lit(max(1, df.count() // TASK_ROWS))).alias("task"))
+
+    hits = common.staged(by_task(rows).applyInPandas(_screen(percent), SCREENED), "hits")
+    with_sets = common.staged(hits.join(_sets_of(docs, hits.select("id"), k), "id"), "hit-sets")
+    return by_task(with_sets).applyInPandas(_exact(percent), PAIR)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -284,17 +348,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     width = 2 * REGISTERS
     keys = [F.xxhash64(F.lit(i), F.substring("registers", 1 + i * width, width)) for i in range(BANDS)]
-    banded = groups.select("id", F.explode(F.array(*keys)).alias("key"))
+    banded = groups.select("id", F.posexplode(F.array(*keys)).alias("band", "key"))
     shared = common.staged(banded.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("size")).where("size > 1"), "shared")
-    buckets = common.staged(common.lookup(banded, shared, "key", "size", total * BANDS), "buckets")
+    buckets = common.staged(common.lookup(banded, shared, "key", "size", total * BANDS, listed=True), "buckets")
     first = verified(docs, buckets.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), classes, k, percent)
     first = common.staged(first, "first")
     parts = common.staged(components(first), "components")
-    rest = common.staged(remaining(buckets, parts, classes, percent), "rest")
-    if not rest.isEmpty():
-        more = common.staged(verified(docs, rest, classes, k, percent, screened=True), "more")
-        if not more.isEmpty():
-            parts = common.staged(components(first.unionByName(more)), "components")
+    more = common.staged(remaining(docs, buckets, parts, classes, k, percent), "more")
+    if not more.isEmpty():
+        parts = common.staged(components(first.unionByName(more)), "components")
 
     # From classes to rows: a class of many rows is hot.
     classed = groups.select("set_key", "id", "members").join(parts, "id", "left").select("set_key", "members", F.coalesce("component", "id").alias("component_id"))

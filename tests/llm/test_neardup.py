@@ -16,24 +16,35 @@ def run(spark, rows, k=2, **kw):
     return sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(table, k, **kw).collect())
 
 
-def test_documents(spark):
-    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
-    assert run(spark, rows) == brute(rows)
-
-
-def test_chains_copies_and_odd_texts(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK", 8)
+def odd_rows():
+    """A walk whose neighbours are similar but not its ends, copies, odd texts, and copies of
+    one text with few or many edits, of which the first is far from most."""
     random.seed(3)
-    words = [f"w{i}" for i in range(60)]
-    rows = []
-    for i in range(400):  # a walk: neighbours are similar, ends are not
-        at = random.randrange(60)
-        words[at] = f"x{i}"
+    words, rows = [f"w{i}" for i in range(60)], []
+    for i in range(200):
+        words[random.randrange(60)] = f"x{i}"
         rows.append((i, " ".join(words)))
     rows += [(1000 + i, "  The same\ttext, THE same " + " ".join(map(str, range(30)))) for i in range(50)]
     rows += [(2000, None), (2001, ""), (2002, " \n"), (2003, "one"), (2004, "ONE"), (2005, "one two"), (2006, "One two"), (2007, "É"), (2008, "é"), (2009, "a b c d e f"), (2010, "a b c d e f g"), (2011, "w " * 50_000)]
+    base = [f"v{i}" for i in range(100)]
+    for i in range(300):
+        words = list(base)
+        for at in random.sample(range(100), 14 if i == 0 else random.choice([1, 3, 5, 7, 9])):
+            words[at] = f"y{i}x{at}"
+        rows.append((3000 + i, " ".join(words)))
     random.shuffle(rows)
+    return rows
+
+
+def test_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 32)
+    rows = odd_rows()
+    rows += [(10_000 + r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
     assert run(spark, rows) == brute(rows)
+
+
+def test_five_words(spark):
+    rows = odd_rows()[::2]
     assert run(spark, rows, k=5) == brute(rows, 5)
 
 
