@@ -3,11 +3,12 @@
 The training rows' byte 4-grams are counted; they are the leaves of a trie whose contexts
 of three, two, one and no bytes are sums of them. A context gives the next byte its count,
 and escapes to the next shorter one with the share of its distinct bytes (method C);
-bytes that a longer context has seen are excluded from the shorter. Contexts of three
-bytes are nodes where they hold NODES-th of the corpus or more, so the trie is bounded;
-all shorter ones are nodes. Each node's 256 log probabilities are worked out once, and
-a text's code length is a sum of look-ups. Word counts for the unigram base score go by
-the same two passes: frequent words by a bounded table, the others by a join.
+bytes that a longer context has seen are excluded from the shorter. Every context that
+was counted is a node. Each node's 256 log probabilities are worked out once, and a text's
+code length is a sum of look-ups: shorter contexts, and those of three bytes that hold
+TABLE-th of the corpus or more, are in a bounded table, the others are met by a join.
+Word counts for the unigram base score go the same way: frequent words by a bounded table,
+the others by a join.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Contexts of three bytes that the trie has at most, and words in the table of frequent ones.
-NODES = 1 << 16
+#: A context of three bytes is a node if it holds 1/NODES of the corpus: any that is counted.
+NODES = 1 << 63
+#: Contexts of three bytes in the broadcast table, and words in the table of frequent ones.
+TABLE = 1 << 16
 FREQUENT = 1 << 20
 #: Distinct keys that a task gathers before it passes their counts on.
 GATHERED = 1 << 20
@@ -133,7 +136,8 @@ def blended(levels: list[np.ndarray]) -> np.ndarray:
 
 
 def _nodes(short: np.ndarray, total: int):
-    """From 4-gram counts of some contexts of two bytes to their nodes' log probabilities."""
+    """From 4-gram counts of some contexts of two bytes to their nodes' log probabilities,
+    as `logs` for those in the table and as the array `rare` for the others."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("key")
@@ -148,28 +152,34 @@ def _nodes(short: np.ndarray, total: int):
             np.add.at(deep, (row, symbol), n[mine])
             two = deep.sum(0)[None, :]
             lower = [two, short[ctx & 255][None, :], short.sum(0)[None, :]]
-            found.append((2, int(ctx), np.log10(blended(lower)).astype(np.float32)[0].tobytes()))
-            kept = deep.sum(1) * NODES >= total
+            found.append((2, int(ctx), np.log10(blended(lower)).astype(np.float32)[0].tobytes(), None))
+            sums = deep.sum(1)
+            kept = sums * NODES >= total
             if kept.any():
                 logs = np.log10(blended([deep[kept], *lower])).astype(np.float32)
-                found += [(3, int(c) << 16 | int(ctx), x.tobytes()) for c, x in zip(which[kept], logs)]
-        return pd.DataFrame(found, columns=["order", "context", "logs"])
+                for c, x, often in zip(which[kept], logs, sums[kept] * TABLE >= total):
+                    found.append((3, int(c) << 16 | int(ctx), x.tobytes() if often else None, None if often else x))
+        return pd.DataFrame(found, columns=["order", "context", "logs", "rare"])
 
     return run
 
 
 class Trie:
-    """For each three bytes the row of its longest node's log probabilities."""
+    """For each three bytes the row of its longest node's log probabilities, or RARE where
+    that node is not in the table. rare: a bit for each three bytes."""
 
-    def __init__(self, short: np.ndarray, nodes: list[tuple[int, int, bytes]]):
+    RARE = -1
+
+    def __init__(self, short: np.ndarray, nodes: list[tuple[int, int, bytes]], rare: np.ndarray):
         # Rows of the contexts of one byte come first; an unseen one is the same as of none.
         ones = np.log10(np.concatenate([blended([short[c][None, :], short.sum(0)[None, :]]) for c in range(256)])).astype(np.float32)
         nodes = sorted(nodes)
         self.logs = np.concatenate([ones, np.frombuffer(b"".join(x for *_, x in nodes), np.float32).reshape(-1, 256)])
         self.places = [(order, context) for order, context, _ in nodes]
+        self.rare = rare
 
     def __getstate__(self):
-        return {"logs": self.logs, "places": self.places}
+        return {"logs": self.logs, "places": self.places, "rare": self.rare}
 
     def prepare(self) -> None:
         two = np.tile(np.arange(256, dtype=np.int32), 256)
@@ -178,20 +188,36 @@ class Trie:
         two[context[order == 2]] = rows[order == 2]
         self.row = np.tile(two, 256)
         self.row[context[order == 3]] = rows[order == 3]
+        self.row[np.unpackbits(self.rare, bitorder="little") == 1] = self.RARE
         self.flat = self.logs.ravel()
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         out = np.zeros(len(texts))
         for codes, owner in _grams(texts):
-            logs = self.flat[(self.row[codes >> 8].astype(np.int64) << 8) | (codes & 255)]
+            row = self.row[codes >> 8].astype(np.int64)
+            logs = np.where(row == self.RARE, 0, self.flat[np.maximum(row, 0) << 8 | (codes & 255)])
             out += np.bincount(owner, logs, len(texts))
         return out
 
+    def others(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text's number, 4-gram, times) of those whose context is a node out of the table."""
+        found = []
+        for codes, owner in _grams(texts):
+            rare = self.row[codes >> 8] == self.RARE
+            keys, times = np.unique(owner[rare].astype(np.uint64) << np.uint64(32) | codes[rare], return_counts=True)
+            found.append((keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF), times))
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        owner, keys, times = map(np.concatenate, zip(*found))
+        return owner.astype(np.int64), keys.astype(np.int64), times.astype(np.int32)
+
 
-def train(table: DataFrame) -> tuple[Trie, np.ndarray, np.ndarray, int, int]:
-    """The trie, the frequent words' hashes and counts, all tokens and the distinct ones.
+def train(table: DataFrame) -> tuple[Trie, DataFrame, np.ndarray, np.ndarray, int, int]:
+    """The trie, its nodes out of the table (context, rare), the frequent words' hashes and
+    counts, all tokens and the distinct ones.
 
-    The driver gets 256 * 256 sums, NODES + 256 * 256 nodes and FREQUENT words and the end at most.
+    The driver gets 256 * 256 sums, TABLE + 256 * 256 nodes, a bit for each of 256 ** 3
+    contexts, and FREQUENT words and the end at most.
     """
     words, grams = table.where(F.col("kind") == WORDS), table.where(F.col("kind") == GRAMS)
     tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -201,10 +227,14 @@ def train(table: DataFrame) -> tuple[Trie, np.ndarray, np.ndarray, int, int]:
     short[sums.key.to_numpy(np.int64) >> 8, sums.key.to_numpy(np.int64) & 255] = sums.n.to_numpy(np.float64)
     total = int(short.sum())
     bins = F.pmod(F.xxhash64(F.expr("(key >> 8) & 65535")), F.lit(1024))
-    nodes = grams.groupBy(bins.alias("bin")).applyInPandas(_nodes(short, max(total, 1)), "order int, context long, logs binary").collect()
-    trie = Trie(short, [(r.order, r.context, bytes(r.logs)) for r in nodes])
+    nodes = common.staged(grams.groupBy(bins.alias("bin")).applyInPandas(_nodes(short, max(total, 1)), "order int, context long, logs binary, rare array<float>"), "nodes")
+    others = nodes.where(F.col("logs").isNull()).select("context", "rare")
+    words64 = others.groupBy(F.expr("shiftright(context, 6)").alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(context % 64 as int))")).alias("word")).toPandas()
+    rare = np.zeros(256**3 // 64, np.uint64)
+    rare[words64.id.to_numpy(np.int64)] = words64.word.to_numpy(np.int64).view(np.uint64)
+    trie = Trie(short, [(r.order, r.context, bytes(r.logs)) for r in nodes.where(F.col("logs").isNotNull()).select("order", "context", "logs").collect()], rare.view(np.uint8))
     order = np.argsort(frequent.key.to_numpy(np.int64).view(np.uint64), kind="stable")
-    return trie, frequent.key.to_numpy(np.int64).view(np.uint64)[order], frequent.n.to_numpy(np.int64)[order], int(tokens), int(distinct)
+    return trie, others, frequent.key.to_numpy(np.int64).view(np.uint64)[order], frequent.n.to_numpy(np.int64)[order], int(tokens), int(distinct)
 
 
 def _uid(doc: np.ndarray, texts: list[bytes]) -> np.ndarray:
@@ -232,7 +262,7 @@ def score(docs: DataFrame, train_docs: DataFrame | None = None) -> DataFrame:
     base_score is 0. Repeated rows get equal results; an empty table none.
     """
     table = common.staged(counts(docs if train_docs is None else train_docs), "counts")
-    trie, keys, ns, tokens, distinct = train(table)
+    trie, nodes, keys, ns, tokens, distinct = train(table)
     shared = docs.sparkSession.sparkContext.broadcast((trie, keys, ns))
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     unit = np.log10(tokens + distinct + 1)
@@ -245,18 +275,21 @@ def score(docs: DataFrame, train_docs: DataFrame | None = None) -> DataFrame:
                 doc = part.column("doc_id")
                 yield doc, _uid(doc.fill_null(0).to_numpy(zero_copy_only=False), texts), texts, hashes, owner
 
-    def summed(batches):
-        _, keys, ns = shared.value
+    def prepared():
         if _ready.get("id") != id(shared.value):
             shared.value[0].prepare()
             _ready.update(id=id(shared.value))
+        return shared.value
+
+    def summed(batches):
+        trie, keys, ns = prepared()
         end = int(ns[keys == END].sum()) if len(keys) else 0
         for doc, uid, texts, hashes, owner in parts(batches):
             at, known = _places(hashes, keys)
             logs = np.log10(ns[at[known]] + 1.0) if len(ns) else np.zeros(0)
             sums = np.bincount(owner[known], logs, len(texts)) + np.log10(end + 1.0)
             n = np.bincount(owner, minlength=len(texts)) + 1
-            arrays = [doc, uid, n, np.bincount(owner[known], minlength=len(texts)) + (end > 0), sums, shared.value[0].scores(texts)]
+            arrays = [doc, uid, n, np.bincount(owner[known], minlength=len(texts)) + (end > 0), sums, trie.scores(texts)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["doc_id", "uid", "n_tokens", "known", "base", "score"])
 
     def rare(batches):
@@ -271,10 +304,20 @@ def score(docs: DataFrame, train_docs: DataFrame | None = None) -> DataFrame:
             # And a row a text that counts how often the text is there.
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([uid[owner[first]], uid])), pa.array(np.concatenate([hashes[first].view(np.int64), uid])), pa.array(np.concatenate([times, np.zeros(len(uid), np.int32)]))], names=["uid", "key", "times"])
 
+    def deep(batches):
+        trie, _, _ = prepared()
+        for _, uid, texts, _, _ in parts(batches):
+            owner, codes, times = trie.others(texts)
+            yield pa.RecordBatch.from_arrays([pa.array(uid[owner]), pa.array(codes >> 8), pa.array((codes & 255).astype(np.int32)), pa.array(times)], names=["uid", "context", "symbol", "times"])
+
     words = table.where((F.col("kind") == WORDS) & (F.col("n") * FREQUENT < tokens)).select("key", "n")
     found = rows.mapInArrow(rare, "uid long, key long, times int").join(words, "key", "left")
     log = F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1.0)
-    found = found.groupBy("uid").agg(F.count_if(F.col("times") == 0).alias("copies"), F.sum(log).alias("more"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more_known"))
+    zero = F.lit(0.0)
+    found = found.select("uid", (F.col("times") == 0).cast("long").alias("copies"), log.alias("more"), F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0).cast("long").alias("more_known"), zero.alias("deep"))
+    met = rows.mapInArrow(deep, "uid long, context long, symbol int, times int").join(nodes, "context")
+    met = met.select("uid", F.lit(0).cast("long").alias("copies"), zero.alias("more"), F.lit(0).cast("long").alias("more_known"), (F.col("times") * F.get("rare", F.col("symbol")).cast("double")).alias("deep"))
+    found = found.unionByName(met).groupBy("uid").agg(*(F.sum(c).alias(c) for c in ("copies", "more", "more_known", "deep")))
     out = rows.mapInArrow(summed, "doc_id long, uid long, n_tokens long, known long, base double, score double").join(found, "uid")
     return out.select(
         "doc_id",
@@ -282,7 +325,7 @@ def score(docs: DataFrame, train_docs: DataFrame | None = None) -> DataFrame:
         (F.col("known") + (F.col("more_known") / F.col("copies")).cast("long")).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.col("more") / F.col("copies") - F.col("n_tokens") * F.lit(float(unit))).alias("base_score"),
-        "score",
+        (F.col("score") + F.col("deep") / F.col("copies")).alias("score"),
     )
 
 

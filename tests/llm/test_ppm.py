@@ -120,3 +120,16 @@ def test_no_training_rows_and_empty_table(spark):
     assert (row.n_tokens, row.n_known, row.train_tokens, row.base_score) == (3, 0, 0, 0.0)
     assert row.score == pytest.approx(5 * math.log10(1 / 256), rel=1e-6)
     assert ppm.score_held_out(docs.limit(0)).collect() == []
+
+
+def test_rare_contexts_are_nodes_too(spark):
+    """Contexts that hold less than 1/65536 of the corpus, seen and unseen next bytes, copies."""
+    common_text = "the cat sat on the mat " * 12_000
+    train = [(0, common_text), (1, "xqzv jkwp"), (2, "xqzv 漢字 jkwq")]
+    rows = [(10, "xqzv jkwp xqzv"), (11, "xqza 漢字x"), (11, "xqza 漢字x"), (12, "the cat"), (13, "")]
+    found = ppm.score(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(train, "doc_id long, text string")).collect()
+    trie, _ = model([lower(t) for _, t in train])
+    expected = sorted((d, log_probability(trie, 0, lower(t))) for d, t in rows)
+    assert [r[0] for r in sorted(map(tuple, found))] == [d for d, _ in expected]
+    for r in found:
+        assert r.score == pytest.approx(dict(expected)[r.doc_id], rel=1e-5, abs=1e-5), r.doc_id
