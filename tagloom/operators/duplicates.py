@@ -30,6 +30,13 @@ def similarity(bits: Column, width: int = WORD) -> Column:
     return 1 - bits / width
 
 
+def _blocks(hashed: DataFrame, most: int, width: int) -> DataFrame:
+    """hashed (id, hash), once for each of most + 1 blocks of bits: block and bits."""
+    edges = [i * width // (most + 1) for i in range(most + 2)]
+    blocks = [F.struct(F.lit(i).alias("block"), (F.shiftrightunsigned("hash", a).bitwiseAND((1 << (b - a)) - 1) if b - a < WORD else F.col("hash")).alias("bits")) for i, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+    return hashed.select("id", "hash", F.explode(F.array(*blocks)).alias("k")).select("id", "hash", "k.*")
+
+
 def pairs(signed: DataFrame, most: int, width: int = WORD) -> DataFrame:
     """signed (id, hash) -> a < b and the bits in which they differ, `most` at most.
 
@@ -38,9 +45,7 @@ def pairs(signed: DataFrame, most: int, width: int = WORD) -> DataFrame:
     those with their class's smallest id.
     """
     classes = signed.groupBy("hash").agg(F.min("id").alias("id"))
-    edges = [i * width // (most + 1) for i in range(most + 2)]
-    blocks = [F.struct(F.lit(i).alias("block"), (F.shiftrightunsigned("hash", a).bitwiseAND((1 << (b - a)) - 1) if b - a < WORD else F.col("hash")).alias("bits")) for i, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
-    keyed = classes.select("id", "hash", F.explode(F.array(*blocks)).alias("k")).select("id", "hash", "k.*")
+    keyed = _blocks(classes, most, width)
     left, right = keyed.select("block", "bits", F.col("id").alias("a"), F.col("hash").alias("ha")), keyed.select("block", "bits", F.col("id").alias("b"), F.col("hash").alias("hb"))
     near = left.join(right, ["block", "bits"]).where((F.col("a") < F.col("b")) & (distance(F.col("ha"), F.col("hb")) <= most))
     near = near.groupBy("a", "b").agg(F.min(distance(F.col("ha"), F.col("hb"))).alias("bits"))
@@ -48,6 +53,22 @@ def pairs(signed: DataFrame, most: int, width: int = WORD) -> DataFrame:
     return near.unionByName(same)
 
 
+def nearest_originals(signed: DataFrame, most: int, width: int = WORD) -> DataFrame:
+    """signed (id, hash, is_original) -> for each id that is no original and has one within
+    `most` bits: the nearest, of equals the smallest, and the bits.
+
+    Originals of one hash are stood for by their smallest id, and the others of one hash
+    by the hash, whose original all its members get.
+    """
+    originals = signed.where("is_original").groupBy("hash").agg(F.min("id").alias("id"))
+    others = signed.where("NOT is_original")
+    left = _blocks(originals, most, width).select("block", "bits", F.col("id").alias("original"), F.col("hash").alias("ha"))
+    right = _blocks(others.groupBy("hash").agg(F.min("id").alias("id")), most, width).select("block", "bits", "hash")
+    bits = distance(F.col("ha"), F.col("hash"))
+    best = left.join(right, ["block", "bits"]).where(bits <= most).groupBy("hash").agg(F.min(F.struct(bits.alias("bits"), "original")).alias("best"))
+    return others.join(best, "hash").select("id", "best.original", "best.bits")
+
+
 def components(links: DataFrame, folder: str | None = None) -> DataFrame:
     """links (a, b) -> id, component: the smallest id reachable.
 

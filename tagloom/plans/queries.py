@@ -334,10 +334,8 @@ def duplicate_best_scores(spark, sf):
 @query(f"""WITH {PAIRS}, o AS (SELECT CASE WHEN a % 2 = 0 THEN a ELSE b END AS original, CASE WHEN a % 2 = 0 THEN b ELSE a END AS id, bits, a * 100000 + b AS seq FROM pairs WHERE a % 2 <> b % 2)
 SELECT id, arg_max(original, -bits * 10000000000 - seq) AS original FROM o GROUP BY id""")
 def duplicate_best_originals(spark, sf):
-    found = duplicates.pairs(_signed(spark, sf), 17).where("a % 2 <> b % 2")
-    even = F.col("a") % 2 == 0
-    rows = found.select(F.when(even, F.col("a")).otherwise(F.col("b")).alias("original"), F.when(even, F.col("b")).otherwise(F.col("a")).alias("id"), duplicates.similarity(F.col("bits")).alias("score"), (F.col("a") * 100000 + F.col("b")).alias("seq"))
-    return duplicates.best_original(rows).select("id", "original")
+    rows = _signed(spark, sf).withColumn("is_original", F.col("id") % 2 == 0)
+    return duplicates.nearest_originals(rows, 17).select("id", "original")
 
 
 @query(f"""WITH RECURSIVE {PAIRS}, both_ AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
