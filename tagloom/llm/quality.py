@@ -3,8 +3,8 @@
 All is DataFrame functions in one pass over the texts: counts, repeated lines, repeated
 8-word windows, a histogram of character classes and one of common words. The histograms
 of all rows of a language that pass the counts add up to its reference. A row is kept if
-its Jensen-Shannon distances to some language's reference stay under a bound; texts too
-short to tell pass.
+its Jensen-Shannon distances to its language's reference, or else to some other's, stay
+under a bound; texts too short to tell pass, and so do languages with too few rows.
 """
 
 from __future__ import annotations
@@ -34,9 +34,8 @@ MOST_CLASS_DISTANCE = 0.33
 MOST_WORD_DISTANCE = 0.32
 LEAST_CLASS_CHARS = 200
 LEAST_COMMON_WORDS = 200
-#: Rows that make a language's reference; languages with fewer have none.
+#: Passing rows of a language from which on its reference is evidence to reject by.
 LEAST_REFERENCE_ROWS = 20
-LANGUAGES = 400
 
 
 def _without(column: str, pattern: str) -> Column:
@@ -109,37 +108,41 @@ def shares(hist: Column) -> Column:
     return common.let(total, lambda n: F.transform(hist, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0))))
 
 
-def references(found: DataFrame) -> list[tuple[list[float], list[float]]]:
-    """For each language the shares of classes and of common words over all rows that pass
-    the counts. The driver gets one row of sums a language, LANGUAGES at most."""
-    sums = lambda c, n: [F.sum(F.col(c)[i]).alias(f"{c}{i}") for i in range(n)]
-    table = found.where(F.col("lang").isNotNull() & ~F.col("base_failed")).groupBy("lang").agg(F.count("*").alias("rows"), *sums("class_hist", len(CLASSES)), *sums("word_hist", len(WORDS) + 1))
-    rows = table.where(F.col("rows") >= LEAST_REFERENCE_ROWS).orderBy(F.desc("rows"), "lang").limit(LANGUAGES).collect()
-    part = lambda r, c, n: [r[f"{c}{i}"] / max(1, sum(r[f"{c}{j}"] for j in range(n))) for i in range(n)]
-    return [(part(r, "class_hist", len(CLASSES)), part(r, "word_hist", len(WORDS) + 1)) for r in rows]
+def references(found: DataFrame) -> DataFrame:
+    """lang, its rows, those that pass the counts, and over these the shares of classes and
+    of common words (ref_c, ref_w), for each language that has any."""
+    passed = ~F.col("base_failed")
+    sums = lambda c, n: F.array(*(F.sum(F.when(passed, F.col(c)[i])) for i in range(n))).alias(c)
+    table = found.where(F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("lang_rows"), F.count_if(passed).alias("passing"), sums("class_hist", len(CLASSES)), sums("word_hist", len(WORDS) + 1))
+    return table.where("passing > 0").select("lang", "lang_rows", "passing", shares(F.col("class_hist")).alias("ref_c"), shares(F.col("word_hist")).alias("ref_w"))
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, and lang if there is one) -> counts, base_failed, kept, distances.
 
     A null text has no words. Rows are independent but for the references; repeated rows
-    get equal results, an empty table none. Without any reference no distance is known,
-    and the counts decide. Other columns are ignored.
+    get equal results, an empty table none. For a language with less than
+    LEAST_REFERENCE_ROWS the counts decide; a row without a language is judged by the
+    nearest reference of the others, if there is one. Other columns are ignored.
     """
     found = features(docs)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     found = common.staged(found.withColumn("base_failed", failed), "features")
-    known = references(found)
-    literal = lambda values: F.array(*map(F.lit, values))
-    scored = found.withColumns({"_c": shares(F.col("class_hist")), "_w": shares(F.col("word_hist"))})
-    if known:
-        pairs = F.array(*(F.struct(literal(c).alias("c"), literal(w).alias("w")) for c, w in known))
-        # The nearest language is the one of the least sum of both distances.
-        near = lambda c, w: F.array_min(F.transform(pairs, lambda r: F.struct((distance(c, r.c) + distance(w, r.w)).alias("s"), distance(c, r.c).alias("c"), distance(w, r.w).alias("w"))))
-        scored = scored.withColumn("_near", near(F.col("_c"), F.col("_w")))
-    else:
-        scored = scored.withColumn("_near", F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("c"), F.lit(0.0).alias("w")))
+    table = common.staged(references(found), "references")
+    total = table.agg(F.coalesce(F.sum("lang_rows"), F.lit(0))).first()[0]
+    named = common.lookup(found.where(F.col("lang").isNotNull()), table, "lang", "lang_rows", total, "left")
+    scored = named.unionByName(found.where(F.col("lang").isNull()), allowMissingColumns=True)
+    scored = scored.withColumns({"_c": shares(F.col("class_hist")), "_w": shares(F.col("word_hist"))})
+    enough = F.col("passing") >= LEAST_REFERENCE_ROWS
     chars = F.aggregate("class_hist", F.lit(0).cast("long"), lambda s, x: s + x)
-    odd = ((chars >= LEAST_CLASS_CHARS) & (F.col("_near.c") > MOST_CLASS_DISTANCE)) | ((F.col("n_words") >= LEAST_COMMON_WORDS) & (F.col("_near.w") > MOST_WORD_DISTANCE))
+    odd = lambda d: ((chars >= LEAST_CLASS_CHARS) & (d.c > MOST_CLASS_DISTANCE)) | ((F.col("n_words") >= LEAST_COMMON_WORDS) & (d.w > MOST_WORD_DISTANCE))
+    apart = lambda rc, rw: common.let(F.struct(distance(F.col("_c"), rc).alias("c"), distance(F.col("_w"), rw).alias("w")), lambda d: F.struct((d.c + d.w).alias("s"), d.c.alias("c"), d.w.alias("w")))
+    # The nearest language is the one of the least sum of both distances.
+    scored = scored.crossJoin(F.broadcast(table.where(enough).agg(F.collect_list(F.struct("ref_c", "ref_w")).alias("_every"))))
+    nearest = F.array_min(F.transform("_every", lambda r: apart(r.ref_c, r.ref_w)))
+    own = F.when(F.col("ref_c").isNotNull(), apart(F.col("ref_c"), F.col("ref_w")))
+    judged = F.col("lang").isNull() | F.coalesce(enough, F.lit(False))
+    none = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("c"), F.lit(0.0).alias("w"))
+    scored = scored.withColumn("_near", common.let(own, lambda d: F.coalesce(F.when(judged & F.coalesce(odd(d), F.lit(True)), nearest).otherwise(d), none)))
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    return scored.select(*columns, (~F.col("base_failed") & ~odd).alias("kept"), F.round("_near.c", 6).alias("class_distance"), F.round("_near.w", 6).alias("word_distance"))
+    return scored.select(*columns, (~F.col("base_failed") & ~(judged & odd(F.col("_near")))).alias("kept"), F.round("_near.c", 6).alias("class_distance"), F.round("_near.w", 6).alias("word_distance"))

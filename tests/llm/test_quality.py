@@ -57,3 +57,23 @@ def test_distance(spark):
 
 def test_empty_table(spark):
     assert quality.judge(spark.createDataFrame([], "doc_id long, text string, lang string")).collect() == []
+
+
+def test_languages_with_few_rows_go_by_the_counts(spark):
+    """A language of another script with 3 rows beside one with 40, and rows without a language."""
+    english = "the cat and the dog of that house sat on a mat in it for him " * 20
+    vary = lambda text, i: " ".join(f"{w}{chr(97 + (i + j) % 26)}" if j % 5 == 4 else w for j, w in enumerate(text.split()))
+    greek = lambda i: " ".join(f"λόγος{chr(945 + j % 20)}{chr(945 + (i + j // 20) % 20)}" for j in range(300))
+    rows = [(i, vary(english, i), "en") for i in range(40)] + [(100 + i, greek(i), "el") for i in range(3)]
+    rows = [(d, " ".join(f"{w}" if j % 7 else f"{w}{j}" for j, w in enumerate(t.split())), x) for d, t, x in rows]
+    rows += [(200, rows[0][1], None), (201, rows[0][1], "el"), (202, rows[-1][1], None), (203, rows[-1][1], "en"), (204, rows[0][1], "xx")]
+    found = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert len(found) == len(rows) and not any(r.base_failed for r in found.values())
+    assert all(found[100 + i].kept for i in range(3))
+    assert [found[d].kept for d in (0, 200, 201, 202, 203, 204)] == [True, True, True, False, False, True]
+
+
+def test_good_documents_stay_in_a_small_corpus(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    good = {r.doc_id for r in spark.read.parquet("/root/testdata/sf0.001/labels.parquet").where("quality = 1").collect()}
+    assert all(r.kept or r.base_failed for r in quality.judge(docs).collect() if r.doc_id in good)
