@@ -20,12 +20,14 @@ from pyspark.sql import functions as F
 from . import common
 
 ORDER = 3
-#: The bounded sample of labelled rows that a model is fitted on: rows a language, and the
-#: most bytes of a text in it. Everything else covers all rows and whole texts.
+#: The sample of labelled rows that a model is fitted on: rows a language, drawn from all,
+#: about the most bytes of a text that fitting uses, in PIECES spread over it, and about the
+#: most bytes of all, which many languages share. Everything else covers whole texts.
 SAMPLE_ROWS = 300
 SAMPLE_BYTES = 20_000
-#: Languages that a model tells apart, landmark texts, and n-grams that the kernel knows.
-LANGUAGES = 400
+SAMPLE_TOTAL = 1 << 26
+PIECES = 8
+#: Landmark texts, or one a language if there are more, and n-grams that the kernel knows.
 LANDMARKS = 160
 GRAMS = 12_000
 RIDGE = 1e-3
@@ -147,15 +149,27 @@ def hash_of(text: str) -> int:
     return zlib.crc32(text.encode())
 
 
+def spread(text: Column, size: int) -> Column:
+    """A text of over `size` bytes as PIECES of it, evenly spread, of about that size together."""
+    n = F.length(text)
+    take = F.greatest(F.lit(1), F.floor(n * F.lit(size) / F.octet_length(text) / PIECES)).cast("int")
+    pieces = [F.substring(text, (F.floor((n - take) * F.lit(k / (PIECES - 1))) + 1).cast("int"), take) for k in range(PIECES)]
+    return F.when(F.octet_length(text) <= size, text).otherwise(F.concat_ws(" ", *pieces))
+
+
 def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
-    """About `rows` labelled texts a language, chosen by a hash of doc_id; 1.3 times that at most."""
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike("\\p{L}") & (F.octet_length("text") <= SAMPLE_BYTES)).select("doc_id", "text", "lang")
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    """About `rows` labelled texts a language, chosen by a hash of doc_id; 1.3 times that at
+    most. Of a long text there are pieces."""
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike("\\p{L}")).select("doc_id", "text", "lang")
+    counts = labelled.groupBy("lang").count().collect()
+    if not counts:
+        return []
+    share = docs.sparkSession.createDataFrame([(r.lang, min(1.0, rows / r["count"])) for r in counts], "lang string, share double")
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r.lang, min(1.0, rows / r["count"])))) if counts else F.create_map(F.lit(""), F.lit(0.0))
-    chosen = labelled.where(part < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)))
-    most = int(1.3 * rows * max(1, len(counts)))
-    return [(r.text, r.lang) for r in chosen.orderBy(part, "doc_id").limit(most).select("text", "lang").collect()]
+    chosen = labelled.join(F.broadcast(share), "lang").where(part < F.col("share"))
+    size = max(PIECES, min(SAMPLE_BYTES, SAMPLE_TOTAL // (rows * len(counts))))
+    most = int(1.3 * rows * len(counts))
+    return [(r.text, r.lang) for r in chosen.select("doc_id", spread(F.col("text"), size).alias("text"), "lang", part.alias("part")).orderBy("part", "doc_id").limit(most).select("text", "lang").collect()]
 
 
 def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
@@ -172,7 +186,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
 
     A text that is null, empty or without any letter is UNKNOWN with score 0. Whole texts
     are read, however long; rows are independent, so repeated rows get equal results and an
-    empty table none. The model's size is bounded by LANDMARKS, GRAMS and LANGUAGES.
+    empty table none. The model's size is bounded by LANDMARKS, GRAMS and the languages.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.select(*keep)

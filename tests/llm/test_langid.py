@@ -78,3 +78,25 @@ def test_odd_texts_and_tables(spark):
 def test_no_labels(spark):
     docs = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert [r.lang_pred for r in langid.identify(docs).collect()] == ["und"]
+
+
+def test_languages_of_long_texts_only_are_learnt(spark):
+    rows = [(i, "the cat sat on the mat " * 1000, "en") for i in range(20)] + [(100 + i, "1" * 30_000 + "der hund lief in das haus " * 2000, "de") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert all(len(t) <= langid.SAMPLE_BYTES + langid.PIECES for t, _ in langid.sample(docs))
+    found = {r.doc_id: r.lang_pred for r in langid.identify(docs).collect()}
+    assert found == {d: x for d, _, x in rows}
+    assert langid.identified_rows(docs).count() == len(rows)
+
+
+def test_every_language_is_sampled(spark):
+    docs = spark.createDataFrame([(i, f"word{i} text", f"x{i}") for i in range(450)], "doc_id long, text string, lang string")
+    assert {x for _, x in langid.sample(docs)} == {f"x{i}" for i in range(450)}
+
+
+def test_pieces_are_spread_over_the_text(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([("ab" * 8,), ("é" * 100 + "z" * 100,)], "text string")
+    found = [r[0] for r in docs.select(langid.spread(F.col("text"), 16)).collect()]
+    assert found[0] == "ab" * 8 and found[1].startswith("é") and found[1].endswith("z") and len(found[1].encode()) < 40
