@@ -127,23 +127,16 @@ class Coder:
         return b"".join(b"".join(map(self.tokens.__getitem__, numbers[i : i + WHOLE].tolist())) for i in range(0, len(numbers), WHOLE))
 
 
-_coders: dict = {}
-
-
 def _shared(docs: DataFrame, path: str, pattern: str):
     """A function that gives a task's worker its one Coder.
 
     The driver reads the vocabulary and broadcasts it; its size is the vocabulary's, and
     executors need no file.
     """
-    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
-
-    def coder() -> Coder:
-        if (path, pattern) not in _coders:
-            _coders[path, pattern] = Coder(ranks.value, pattern)
-        return _coders[path, pattern]
-
-    return coder
+    ranks = read_ranks(path)
+    key = "bpe-" + hashlib.sha256(b"".join([pattern.encode(), *sorted(ranks, key=ranks.get)])).hexdigest()
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    return lambda: common.held(key, lambda: Coder(shared.value, pattern))
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -169,20 +162,22 @@ def round_trip(docs: DataFrame, path: str, pattern: str, ids: bool = False) -> D
     """Digests of ids and of decoded bytes: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
     The digests are taken in the tasks; the ids, as little-endian unsigned 32-bit integers,
-    are a column only if asked for.
+    are a column only if asked for. Copies of a text that stand side by side are encoded once.
     """
     coder = _shared(docs, path, pattern)
     columns = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()} | ({"ids": pa.binary()} if ids else {})
     sha = lambda data: hashlib.sha256(data).hexdigest()
 
     def run(batches):
-        mine = coder()
+        mine, last, row = coder(), None, ()
         for batch in batches:
             for part in common.slices(batch, "text"):
                 rows = []
                 for text in part.column("text").to_pylist():
-                    found = mine.encode(text or "")
-                    rows.append((len(found) // 4, sha(found), sha(mine.decode(found)), found))
+                    if not row or text != last:
+                        found = mine.encode(text or "")
+                        last, row = text, (len(found) // 4, sha(found), sha(mine.decode(found)), found)
+                    rows.append(row)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows), columns.values()))], names=["doc_id", *columns])
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * ids

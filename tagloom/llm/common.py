@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
+import gc
 import uuid
 
 import numpy as np
@@ -18,16 +19,14 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share.
+    """A new path in the folder that driver and executors share, which the session names.
 
-    The folder is the one that the session names; only where it names none, as in
-    tests, a temporary folder takes its place.
+    Without one it is an error: a folder of this machine would not do on a cluster.
     """
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not root:
-        context.setCheckpointDir(tempfile.mkdtemp())
-        root = context.getCheckpointDir()
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{root.rstrip('/')}/{context.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
@@ -106,6 +105,36 @@ def crc_mod(column: str, n: int) -> Column:
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))
 
 
+# --- what Python workers hold ---------------------------------------------------------
+
+_held: dict = {}
+
+
+def held(key: str, build):
+    """What build() gives, kept in this worker under its key until another key is asked for.
+
+    Workers are used again by later stages, so the last stage's model is freed first, and
+    at any time a worker holds one.
+    """
+    if key not in _held:
+        _held.clear()
+        freed()
+        _held[key] = build()
+    return _held[key]
+
+
+def freed() -> None:
+    """Gives memory that this worker has no more use for back to the machine."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 # --- hashing of words in Python tasks -------------------------------------------------
 
 _BLANK = np.zeros(256, bool)
@@ -125,14 +154,22 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    if len(_tables.get("up", ())) < n:
-        size = max(n, _BLOCK * 2)
-        up = np.full(size, _FACTOR, np.uint64)
-        down = np.full(size, pow(_FACTOR, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        _tables["up"], _tables["down"] = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+    if not _tables:
+        _tables["up"], _tables["down"] = _ladder(_BLOCK * 2)
         _tables["byte"] = np.where(_BLANK, np.uint64(0), mixed(np.arange(1, 257, dtype=np.uint64)))
-    return _tables["up"], _tables["down"], _tables["byte"]
+    # A block that one word makes longer has powers of its own.
+    up, down = (_tables["up"], _tables["down"]) if n <= _BLOCK * 2 else _ladder(n)
+    return up, down, _tables["byte"]
+
+
+def _ladder(n: int) -> list[np.ndarray]:
+    """The powers 0 to n - 1 of the factor and of its inverse."""
+    out = []
+    for factor in (_FACTOR, pow(_FACTOR, -1, 1 << 64)):
+        steps = np.full(n, factor, np.uint64)
+        steps[0] = 1
+        out.append(np.cumprod(steps, dtype=np.uint64))
+    return out
 
 
 def _pieces(texts: list[bytes]):

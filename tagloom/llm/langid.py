@@ -10,12 +10,14 @@ texts at once with two matrix products: texts x landmarks, then landmarks x lang
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -32,20 +34,29 @@ LANDMARKS = 160
 GRAMS = 12_000
 RIDGE = 1e-3
 UNKNOWN = "und"
-#: Bytes of a text whose n-grams are looked up at once.
+#: Bytes of a text whose n-grams are looked up at once, and cells of the 0/1 matrix of some texts.
 BLOCK = 1 << 20
+CELLS = 1 << 22
 
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-def _codes(data: np.ndarray, n: int) -> np.ndarray:
-    """All n-grams of a byte array as integers below 256 ** n."""
-    out = data[: len(data) - n + 1].astype(np.int32)
-    for k in range(1, n):
-        out = out << 8 | data[k : len(data) - n + 1 + k]
+def _shifted(data: np.ndarray, n: int) -> list[np.ndarray]:
+    """The first, second, ... bytes of all n-grams of a byte array."""
+    return [data[k : len(data) - n + 1 + k] for k in range(n)]
+
+
+def _codes(letters: np.ndarray, grams, size: int) -> np.ndarray:
+    """n-grams, given as their first, second, ... bytes, as integers of n digits below size."""
+    out = 0
+    for part in grams:
+        out = out * size + letters[part]
     return out
 
 
+_BYTES = np.arange(256, dtype=np.int32)
+
+
 def padded(text: str) -> bytes:
     """Lower case, with blanks around."""
     return b" " + text.lower().encode() + b" "
@@ -60,14 +71,22 @@ class Model:
         self.width = int(self.starts[-1])
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("tables", "left")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("letters", "tables", "left")}
 
     def prepare(self) -> None:
-        """Look-up tables from n-gram to column; unknown n-grams share a last, unused one."""
+        """Look-up tables from n-gram to column; unknown n-grams share a last, unused one.
+
+        Bytes are numbered first, so that a table has a cell for each n of the bytes that
+        known n-grams have, all others being one.
+        """
+        used = np.unique(np.concatenate([(g[:, None] >> np.arange(0, 8 * n, 8) & 255).ravel() for n, g in enumerate(self.grams, 1)]))
+        self.size = len(used) + 1
+        self.letters = np.full(256, len(used), np.int32)
+        self.letters[used] = np.arange(len(used))
         self.tables = []
         for n, grams, start in zip(range(1, ORDER + 1), self.grams, self.starts):
-            table = np.full(256**n, self.width, np.int32)
-            table[grams] = np.arange(len(grams)) + start
+            table = np.full(self.size**n, self.width, np.int32)
+            table[_codes(self.letters, (grams >> np.arange(8 * n - 8, -1, -8)[:, None]) & 255, self.size)] = np.arange(len(grams)) + start
             self.tables.append(table)
         self.left = None if self.landmarks is None else np.ascontiguousarray(self._normal(self.landmarks).T)
 
@@ -88,11 +107,14 @@ class Model:
                 for n, table in enumerate(self.tables, 1):
                     part = data[at : at + BLOCK + n - 1]
                     if len(part) >= n:
-                        row[table[_codes(part, n)]] = 1
+                        row[table[_codes(self.letters, _shifted(part, n), self.size)]] = 1
         return out[:, :-1]
 
     def kernel(self, texts: list[str]) -> np.ndarray:
-        return self._normal(self.marks(texts)) @ self.left
+        """Texts x landmarks, some texts at a time, so that CELLS bounds the matrix."""
+        step = max(1, CELLS // (self.width + 1))
+        parts = [self._normal(self.marks(texts[i : i + step])) @ self.left for i in range(0, len(texts), step)]
+        return np.concatenate(parts) if parts else np.zeros((0, self.left.shape[1]), np.float32)
 
     def scores(self, texts: list[str]) -> np.ndarray:
         return self.kernel(texts) @ self.weights
@@ -117,7 +139,7 @@ def fit(texts: list[str], labels: list[str]) -> Model:
         counts = np.zeros(256**n, np.int32)
         for text in texts:
             data = np.frombuffer(padded(text), np.uint8)
-            counts[np.unique(_codes(data, n)) if len(data) >= n else []] += 1
+            counts[np.unique(_codes(_BYTES, _shifted(data, n), 256)) if len(data) >= n else []] += 1
         grams = np.flatnonzero(counts)
         if len(grams) > GRAMS:
             grams = np.sort(grams[np.argsort(-counts[grams], kind="stable")[:GRAMS]])
@@ -133,7 +155,7 @@ def fit(texts: list[str], labels: list[str]) -> Model:
     chosen = np.concatenate([np.flatnonzero(at == x)[:each] for x in languages])
     model.landmarks = model.marks([texts[i] for i in chosen])
     model.prepare()
-    k = np.concatenate([model.kernel(texts[i : i + 256]) for i in range(0, len(texts), 256)]).astype(np.float64)
+    k = model.kernel(texts).astype(np.float64)
     values, vectors = np.linalg.eigh(k[chosen])
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
@@ -178,34 +200,36 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     return fit([t for t, _ in pairs], [x for _, x in pairs])
 
 
-_prepared: dict = {}
-
-
-def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """docs with a language and a score, under `names`, beside the columns in `keep`; only text is read for it.
+def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """docs with lang_pred and score beside the columns in `keep`; only text is read for them.
 
     A text that is null, empty or without any letter is UNKNOWN with score 0. Whole texts
     are read, however long; rows are independent, so repeated rows get equal results and an
     empty table none. The model's size is bounded by LANDMARKS, GRAMS and the languages.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.select(*keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields) + f", {names[0]} string, {names[1]} double"
+    return _scored(docs.select(*keep, F.col("text").alias("_text")), len(keep), model, False).toDF(*keep, "lang_pred", "score")
+
+
+def _scored(rows: DataFrame, text_at: int, model: Model, whole: bool = True) -> DataFrame:
+    """rows, whose columns are numbered, with the language and score of the column text_at;
+    unless they are to be whole, that column, the last, is left out."""
+    shared, key = rows.sparkSession.sparkContext.broadcast(model), f"langid-{uuid.uuid4().hex}"
+    numbered = rows.toDF(*map(str, range(len(rows.columns))))
+    own = len(rows.columns) - (not whole)
+    schema = T.StructType([*numbered.schema.fields[:own], T.StructField("lang", T.StringType()), T.StructField("p", T.DoubleType())])
+
+    def ready() -> Model:
+        shared.value.prepare()
+        return shared.value
 
     def run(batches):
-        mine = _prepared.get(id(shared))
-        if mine is None:
-            mine = shared.value
-            mine.prepare()
-            _prepared.clear()
-            _prepared[id(shared)] = mine
+        mine = common.held(key, ready)
         for batch in batches:
-            for part in common.slices(batch, "_text", 1 << 20):
-                languages, scores = mine.predict(part.column("_text").to_pylist())
-                columns = [part.column(i) for i in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(languages, pa.string()), pa.array(scores, pa.float64())], names=[*keep, *names])
+            for part in common.slices(batch, str(text_at), 1 << 20):
+                languages, scores = mine.predict(part.column(text_at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[:own], pa.array(languages, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return numbered.mapInArrow(run, schema)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -221,8 +245,12 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def identified_rows(docs: DataFrame, least_score: float = 0.2) -> DataFrame:
     """docs without the rows whose language cannot be told: no letters, or a score below
-    least_score for every language. All columns stay."""
+    least_score for every language. All columns stay, whatever their names. Where no row
+    has both a text and a language, there is nothing to learn, and all rows with letters stay.
+    """
     model = train(docs)
-    columns = tuple(docs.columns)
-    found = predict(docs, model, columns, ("_lang_pred", "_score"))
-    return found.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_score") >= least_score)).select(*columns)
+    if not model.languages:
+        return docs.where(F.col("text").rlike("\\p{L}"))
+    found = _scored(docs, docs.columns.index("text"), model)
+    good = found.where((F.col("lang") != UNKNOWN) & (F.col("p") >= least_score))
+    return good.drop("lang", "p").toDF(*docs.columns)

@@ -13,6 +13,8 @@ the others by a join.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -249,9 +251,6 @@ def _places(hashes: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return at, (table[at] == hashes) if len(table) else np.zeros(len(hashes), bool)
 
 
-_ready: dict = {}
-
-
 def score(docs: DataFrame, train_docs: DataFrame | None = None) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -275,12 +274,15 @@ def score(docs: DataFrame, train_docs: DataFrame | None = None) -> DataFrame:
                 doc = part.column("doc_id")
                 yield doc, _uid(doc.fill_null(0).to_numpy(zero_copy_only=False), texts), texts, hashes, owner
 
-    def prepared():
-        if _ready.get("id") != id(shared.value):
-            shared.value[0].prepare()
-            _ready.update(id=id(shared.value))
+    model = f"ppm-{uuid.uuid4().hex}"
+
+    def ready():
+        shared.value[0].prepare()
         return shared.value
 
+    def prepared():
+        return common.held(model, ready)
+
     def summed(batches):
         trie, keys, ns = prepared()
         end = int(ns[keys == END].sum()) if len(keys) else 0
