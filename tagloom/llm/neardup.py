@@ -1,7 +1,8 @@
 """Near-duplicates by HyperMinHash sketches of word-shingle sets.
 
-A set's sketch has for each bucket the smallest of the set's hashes, stored as its number
-of leading zeros and a few mantissa bits. Rows with one set are one class. Bands of
+A set's hashes fall into buckets, equal ranges of values; of each bucket's smallest hash a
+register keeps the number of leading zeros and a few mantissa bits, and an empty bucket
+has the register of another, in an order of its own. Rows with one set are one class. Bands of
 registers are keys; in each band's bucket all classes are compared with its smallest
 one, the hub. What the sketches, corrected for chance collisions of registers, let pass
 is verified on full sets. Links join classes into components. In a bucket whose classes
@@ -26,11 +27,12 @@ from . import common
 BANDS, REGISTERS = 36, 5
 #: Bits of a register: leading zeros above, MANTISSA bits of the minimum below.
 MANTISSA = 10
-#: An estimate this far below the bound, five standard deviations, needs no verification.
-SLACK = 0.15
+#: An estimate this far below the bound, five standard deviations, needs no verification; one
+#: of sets of under SMALL elements together, of which some share a bucket, twice as far.
+SLACK, SMALL = 0.15, 64
 #: Classes in a block of a bucket's remaining pairs, and rows that a task compares at a time.
 BLOCK, TASK_ROWS = 1024, 10_000
-_SEEDS = None
+_PROBES = None
 
 
 def shingles(words: np.ndarray, k: int) -> np.ndarray:
@@ -46,29 +48,35 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
     return h[np.concatenate(([True], h[1:] != h[:-1]))] if len(h) > 1 else h
 
 
-def seeds() -> np.ndarray:
-    global _SEEDS
-    if _SEEDS is None:
-        _SEEDS = common.mixed(np.arange(1, BANDS * REGISTERS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-    return _SEEDS
+def probes() -> np.ndarray:
+    """For each bucket all buckets in an order of its own: where it looks for a register if empty."""
+    global _PROBES
+    if _PROBES is None:
+        n = BANDS * REGISTERS
+        _PROBES = common.mixed(np.arange(1, n * n + 1, dtype=np.uint64)).reshape(n, n).argsort(1)
+    return _PROBES
 
 
 def registers(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of registers for each set: of each bucket's smallest hash the number of leading
-    zeros (6 bits) and the bits below the first one (MANTISSA bits). Empty sets get zeros."""
-    out = np.zeros((len(sets), BANDS * REGISTERS), np.uint16)
-    full = [i for i, s in enumerate(sets) if len(s)]
-    if not full:
-        return out
-    joined = np.concatenate([sets[i] for i in full])
-    starts = np.cumsum([0] + [len(sets[i]) for i in full[:-1]])
-    low = np.empty((len(full), BANDS * REGISTERS), np.uint64)
-    for k, seed in enumerate(seeds()):
-        h = (joined ^ seed) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        low[:, k] = np.minimum.reduceat(h, starts)
-    out[full] = compressed(low)
+    """A row of registers for each sorted set: of each bucket's smallest hash the number of
+    leading zeros (6 bits) and the bits below the first one (MANTISSA bits). Empty sets get zeros."""
+    n = BANDS * REGISTERS
+    out, there = np.zeros((len(sets), n), np.uint16), np.zeros((len(sets), n), bool)
+    joined = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    bucket = ((joined >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
+    # Sets are sorted, so a bucket's first hash is its smallest.
+    place = owner * n + bucket.astype(np.int64)
+    first = np.flatnonzero(np.diff(place, prepend=-1))
+    edge = np.array([-(-(b << 32) // n) << 32 for b in range(n)], np.uint64)
+    # The place in the bucket, stretched to 64 bits; n would overflow at a bucket's end.
+    low = (joined[first] - edge[bucket[first]]) * np.uint64(n - 1)
+    out.ravel()[place[first]] = compressed(low)
+    there.ravel()[place[first]] = True
+    for i in np.flatnonzero(there.any(1) & ~there.all(1)):
+        empty = np.flatnonzero(~there[i])
+        order = probes()[empty]
+        out[i, empty] = out[i, order[np.arange(len(empty)), there[i][order].argmax(1)]]
     return out
 
 
@@ -137,9 +145,13 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "id long, shingles binary")
 
 
+def least_estimate(a, b, percent: int):
+    """The estimate from which on two sets of these sizes may be similar."""
+    return percent / 100 - np.where(a + b < SMALL, 2 * SLACK, SLACK)
+
+
 def _similar(percent: int):
     """Keeps the pairs whose sketches may belong to similar sets."""
-    least = percent / 100 - SLACK
 
     def run(batches):
         for batch in batches:
@@ -147,7 +159,7 @@ def _similar(percent: int):
                 continue
             ra, rb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("registers_a", "registers_b"))
             na, nb = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
-            good = (estimate((ra == rb).mean(1), na, nb) >= least) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+            good = (estimate((ra == rb).mean(1), na, nb) >= least_estimate(na, nb, percent)) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
     return run
@@ -251,7 +263,7 @@ def _others(parts: np.ndarray, left: np.ndarray, right: np.ndarray):
                 yield x, y
 
 
-SCREENED = "key long, i int, j int, mine int, id long, component long"
+SCREENED = "key long, i long, j long, mine long, id long, component long"
 
 
 def _screen(percent: int):
@@ -259,7 +271,6 @@ def _screen(percent: int):
 
     A pair counts in the first band alone in whose bucket it is.
     """
-    least = percent / 100 - SLACK
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -270,7 +281,8 @@ def _screen(percent: int):
             for x, y in _others(parts, left, right):
                 y = y[100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])]
                 equal = sketch[y] == sketch[x]
-                y, equal = (v[estimate(equal.mean(1), np.full(len(y), n[x]), n[y]) >= least] for v in (y, equal)) if len(y) else (y, equal)
+                good = estimate(equal.mean(1), np.full(len(y), n[x]), n[y]) >= least_estimate(n[x], n[y], percent) if len(y) else np.zeros(0, bool)
+                y, equal = y[good], equal[good]
                 if band and len(y):
                     y = y[~equal[:, : band * REGISTERS].reshape(len(y), band, REGISTERS).all(2).any(1)]
                 hit[y] = True
@@ -311,16 +323,26 @@ def remaining(docs: DataFrame, buckets: DataFrame, parts: DataFrame, classes: Da
     """Links (a, b) between classes that share a bucket, but neither a component nor that
     bucket's hub: for each class one link to each other component that it has links to.
 
-    A bucket in more than one component is cut into blocks of about BLOCK classes; each two
-    blocks meet in a task, first by sketches, then what may be linked by full sets.
+    A bucket in more than one component is cut by size, so that similar sets are of one size
+    class or of neighbours, and size classes into blocks of about BLOCK classes. Each two
+    blocks that may have similar sets meet in a task, first by sketches, then what may be
+    linked by full sets.
     """
     with_part = buckets.where("size > 2").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
     with_part = common.staged(with_part, "parts")
     mixed = with_part.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.first("size").alias("rows")).where("lo != hi").select("key", "rows")
     rows = common.lookup(with_part, mixed, "key", "rows", with_part.count()).where("id != hub")
-    blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
-    rows = rows.select("key", "band", "id", "component", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("mine"), blocks.alias("blocks"))
-    rows = rows.join(classes, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    kind = F.floor(F.log(F.col("n").cast("double")) / np.log(max(100 / percent, 1.001)) + 1e-9).cast("int")
+    rows = common.staged(rows.select("key", "band", "id", "component", "rows").join(classes, "id").withColumn("kind", kind), "sized")
+    # A bucket has few size classes, as they grow with the logarithm of the size.
+    each = rows.groupBy("key", "kind").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.first("rows").alias("rows"))
+    each = each.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("kind", "blocks"))).alias("blocks"), F.first("rows").alias("rows"))
+    rows = common.lookup(rows.drop("rows"), each, "key", "rows", with_part.count())
+    number = lambda at, block: F.shiftleft(at.cast("long"), 32).bitwiseOR(block.cast("long"))
+    mine = number(F.col("kind"), F.pmod(F.xxhash64("id"), F.element_at("blocks", F.col("kind"))))
+    near = F.filter(F.array(*(F.col("kind") + d for d in (-1, 0, 1))), lambda at: F.map_contains_key("blocks", at))
+    others = F.flatten(F.transform(near, lambda at: F.transform(F.sequence(F.lit(0), F.element_at("blocks", at) - 1), lambda b: number(at, b))))
+    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(others))
     rows = common.staged(rows.select("key", "band", "id", "component", "n", "registers", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")), "blocks")
 
     def by_task(df: DataFrame):
@@ -338,11 +360,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     of them as one. Rows are linked whose sets have a Jaccard similarity of percent / 100
     or more; component_id is the smallest doc_id that links reach, and kept tells whether
     it is the row's own. A null, empty or blank text has an empty set and no link. Rows
-    that repeat a doc_id are one node, with the links of each. Other columns are ignored;
-    an empty table gives an empty result.
+    that repeat a doc_id are one node, with the links of each; one without a doc_id is
+    linked with nothing, has a null component and is kept. Other columns are ignored; an
+    empty table gives an empty result.
     """
     rows = common.staged(sketches(docs, k), "sketches")
-    groups = rows.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.count("*").alias("members"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"))
+    some = F.coalesce((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.lit(False))
+    groups = rows.where(some).groupBy("set_key").agg(F.min("doc_id").alias("id"), F.count("*").alias("members"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"))
     groups = common.staged(groups, "classes")
     classes, total = groups.select("id", "n", "registers"), groups.count()
 
@@ -360,18 +384,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     # From classes to rows: a class of many rows is hot.
     classed = groups.select("set_key", "id", "members").join(parts, "id", "left").select("set_key", "members", F.coalesce("component", "id").alias("component_id"))
-    full, empty = rows.where("n_shingles > 0").drop("registers"), rows.where("n_shingles = 0")
+    full, empty = rows.where(some).drop("registers"), rows.where(~some)
     out = common.lookup(full, classed, "set_key", "members", rows.count()).select("doc_id", "n_shingles", "component_id")
     out = out.unionByName(empty.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def kept_rows(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one row of each group of near-duplicates; all columns stay.
+    """docs with one row of each group of near-duplicates; all columns stay, whatever their names.
 
     Only rows that may be dropped are shuffled. Rows that repeat a kept doc_id stay.
     """
-    dropped = common.staged(near_duplicates(docs, k, percent).where("NOT kept").select(F.col("doc_id").alias("_dropped")).distinct(), "dropped")
-    may = common.bit_filter(dropped, "_dropped", "doc_id")
-    hits = docs.where(may).join(dropped, F.col("doc_id") == F.col("_dropped"), "left_anti")
-    return docs.where(~may).unionByName(hits)
+    dropped = common.staged(near_duplicates(docs, k, percent).where("NOT kept").select(F.col("doc_id").alias("_id")).distinct(), "dropped")
+    boxed = docs.select(F.col("doc_id").alias("_id"), F.struct("*").alias("_row"))
+    may = F.coalesce(common.bit_filter(dropped, "_id"), F.lit(False))
+    hits = boxed.where(may).join(dropped, "_id", "left_anti")
+    return boxed.where(~may).unionByName(hits).select("_row.*")

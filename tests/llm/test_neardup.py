@@ -71,8 +71,8 @@ def test_registers_and_estimate():
     for j in (0.0, 0.3, 0.8):
         n = 2000
         both = int(2 * n * j / (1 + j))
-        x = rng.integers(0, 1 << 63, 2 * n - both).astype(np.uint64)
-        a, b = x[:n], x[n - both :]
+        x = rng.integers(0, 1 << 64, 2 * n - both, np.uint64)
+        a, b = np.sort(x[:n]), np.sort(x[n - both :])
         equal = np.mean([(r[0] == r[1]).mean() for r in [neardup.registers([a, b])]])
         assert neardup.estimate(equal, np.array(len(a)), np.array(len(b))) == pytest.approx(j, abs=0.12)
 
