@@ -32,12 +32,12 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP3_SQL = r"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5('0:' || doc_id), 1, 15))::BIGINT AS v
+         ('0x' || substr(md5('0:' || doc_id), 1, 15))::BIGINT / 1152921504606846976 AS u
   FROM documents),
 s AS (
-  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS r
+  SELECT source, sum(size)::BIGINT AS source_size, sum(size) / count(*) AS mean, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS r
   FROM d GROUP BY source),
 p AS (
   SELECT *, ([5, 2, 1])[r % 3 + 1] AS w, 3 * source_size AS most, sum(source_size) OVER () AS words FROM s),
@@ -47,19 +47,31 @@ q AS (
          / sum(w) OVER (ORDER BY most / w, r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM p),
 t AS (
-  SELECT source, source_size, least(w * (SELECT arg_min(level, ratio) FROM q WHERE level <= ratio), most)::DOUBLE AS target
+  SELECT r, source, source_size, mean, least(w * (SELECT arg_min(level, ratio) FROM q WHERE level <= ratio), most)::DOUBLE AS target
   FROM q),
-b AS (
-  SELECT *, CASE WHEN target >= 3 * source_size THEN 3 ELSE floor(target / source_size + 1e-9) END::BIGINT AS base FROM t),
-e AS (
-  SELECT d.doc_id, d.size, b.source_size, b.target, b.base, target - base * source_size AS remaining,
-         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.v, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS upto
-  FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source),
 c AS (
-  SELECT *, least(3, base + CASE WHEN remaining > 0 AND (upto <= remaining OR (upto - size <= remaining
-         AND upto - remaining < remaining - upto + size)) THEN 1 ELSE 0 END)::BIGINT AS copies
-  FROM e)
-SELECT doc_id, size, source_size, target, copies, (copies * size)::BIGINT AS taken FROM c
+  SELECT t.r, t.target, d.size, d.size / t.mean AS x, count(*) AS n
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+  WHERE d.size > 0 AND t.target < 3 * t.source_size GROUP BY ALL),
+m AS (
+  SELECT DISTINCT r, -1e6::DOUBLE AS lo, 1e6::DOUBLE AS hi, 0 AS k FROM c
+  UNION ALL
+  SELECT r, CASE WHEN above THEN lo ELSE (lo + hi) / 2 END, CASE WHEN above THEN (lo + hi) / 2 ELSE hi END, k + 1
+  FROM (SELECT m.r, lo, hi, k, sum(n * size * 3 / (1 + 2 * exp(least(700, -(lo + hi) / 2 * x)))) > any_value(target) AS above
+        FROM m JOIN c ON m.r = c.r WHERE k < 100 GROUP BY m.r, lo, hi, k)),
+e AS (
+  SELECT d.doc_id, d.size, d.u, t.source, t.source_size, t.target,
+         CASE WHEN d.size = 0 THEN 1 WHEN m.r IS NULL THEN 3 ELSE 3 / (1 + 2 * exp(least(700, -(lo + hi) / 2 * d.size / mean))) END AS rate
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN m ON m.r = t.r AND m.k = 100),
+f AS (
+  SELECT *, floor(rate)::BIGINT AS base, CASE WHEN floor(rate) < 3 THEN size ELSE 0 END AS more FROM e),
+g AS (
+  SELECT *, target - sum(base * size) OVER (PARTITION BY source) AS remaining,
+         sum(more) OVER (PARTITION BY source ORDER BY u - (rate - base), doc_id, size ROWS UNBOUNDED PRECEDING) AS upto
+  FROM f)
+SELECT doc_id, size, source_size, target, copies, (copies * size)::BIGINT AS taken
+FROM (SELECT *, (base + CASE WHEN remaining > 0 AND more > 0 AND (upto <= remaining OR (upto - size <= remaining
+             AND upto - remaining < remaining - upto + size)) THEN 1 ELSE 0 END)::BIGINT AS copies FROM g)
 """
 
 

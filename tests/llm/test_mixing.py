@@ -1,8 +1,8 @@
+import math
 import random
 from collections import defaultdict
 
 import pytest
-from pyspark.sql import functions as F
 
 from tagloom.llm import mixing
 
@@ -49,10 +49,66 @@ def test_targets_and_taken(spark):
     assert sorted(map(tuple, again)) == sorted(map(tuple, out))
 
 
-def test_newton_meets_the_token_constraint(spark):
-    ratio = spark.createDataFrame([(x,) for x in (1e-6, 0.01, 0.5, 1.0, 1.7, 2.9, 2.9999)], "r double")
-    for r, got in ratio.select("r", mixing.tilted(mixing.tilt(F.col("r") * 1000, F.lit(1000)))).collect():
-        assert got == pytest.approx(r, rel=1e-6)
+def rate(t, x, most=3):
+    return most / (1 + (most - 1) * math.exp(min(700, -t * x)))
+
+
+def bisected(sizes, target):
+    """The multiplier at which the tilted rates of documents of these sizes have the target's words."""
+    mean, low, high = sum(sizes) / len(sizes), -1e6, 1e6
+    for _ in range(200):
+        t = (low + high) / 2
+        low, high = (low, t) if sum(n * rate(t, n / mean) for n in sizes) > target else (t, high)
+    return low
+
+
+def test_newton_solves_the_dual_of_each_source(spark):
+    random.seed(2)
+    groups = {f"s{i}": [random.choice([0, 1, 2, 30, 31, 500, 20_000 if i == 3 else 7]) for _ in range(60)] for i in range(6)} | {"one": [1], "same": [9] * 5}
+    part = {"s0": 1e-5, "s1": 0.3, "s2": 1.0, "s3": 0.9, "s4": 2.2, "s5": 2.99999, "one": 0.5, "same": 1.5}
+    sizes = spark.createDataFrame([(s, n) for s, g in groups.items() for n in g], "source_key string, size long")
+    sources = spark.createDataFrame([(s, sum(g) * part[s], sum(g) / len(g)) for s, g in groups.items()], "source_key string, target double, mean double")
+    found = dict(map(tuple, mixing.multipliers(mixing.cells(sizes), sources).collect()))
+    for s, g in groups.items():
+        mean = sum(g) / len(g)
+        assert sum(n * rate(found[s], n / mean) for n in g) == pytest.approx(sum(g) * part[s], rel=1e-8)
+        assert found[s] == pytest.approx(bisected(g, sum(g) * part[s]), rel=1e-5, abs=1e-9)
+    assert found["s2"] == 0
+
+
+def test_copies_round_the_rates_of_documents(spark):
+    random.seed(3)
+    data = [(i, " ".join(["w"] * random.choice([1, 5, 50, 400])), "abcd"[min(3, i % 7)]) for i in range(1500)]
+    out = mixing.mix(rows(spark, data)).collect()
+    source = {d: s for d, _, s in data}
+    for s in "abcd":
+        mine = [r for r in out if source[r.doc_id] == s]
+        target, size = mine[0].target, sum(r.size for r in mine)
+        if target >= 3 * size:
+            assert all(r.copies == 3 for r in mine)
+            continue
+        t, mean = bisected([r.size for r in mine], target), size / len(mine)
+        for n in (1, 5, 50, 400):
+            alike = [r.copies for r in mine if r.size == n]
+            expected = rate(t, n / mean)
+            assert set(alike) <= {math.floor(expected), math.floor(expected) + 1}
+            assert sum(alike) / len(alike) == pytest.approx(expected, abs=3.5 * 0.5 / len(alike) ** 0.5)
+
+
+def test_repeated_rows_odd_columns_and_a_hot_source(spark):
+    data = [(1, "a b c", "hot")] * 400 + [(None, "x y", "hot"), (None, None, None), (7, "z " * 300_000, "long")] + [(10 + i, "w " * (i % 9), "cold") for i in range(300)]
+    table = spark.createDataFrame([(*r, 1, 2, 3) for r in data], "doc_id long, text string, source string, u int, v int, copies int")
+    out = mixing.mix(table).collect()
+    assert len(out) == len(data) and all(0 <= r.taken <= 3 * r.size for r in out)
+    back = mixing.mixed_rows(table)
+    assert back.columns == table.columns
+    counts = defaultdict(int)
+    for r in back.collect():
+        counts[r.doc_id, r.source] += 1
+    taken = defaultdict(int)
+    for r in out:
+        taken[r.doc_id] += r.copies
+    assert {d: sum(n for (x, _), n in counts.items() if x == d) for d in taken} == taken
 
 
 def test_empty_table_and_no_words(spark):
