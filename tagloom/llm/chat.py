@@ -1,7 +1,9 @@
 """Chat records of many layouts to canonical turns, and turns to one formatted string.
 
-A record is JSON. Its fingerprint is a hash of its nested field paths and their types,
-and selects a declarative mapping: which paths hold roles and texts. The formatted string
+A record is JSON, or a struct whose absent fields are null. Its fingerprint is a hash of its
+nested field paths and their types, and selects a declarative mapping: which paths hold
+roles and texts. Texts of structs never pass through JSON, so that no limit of its
+parser holds for them. The formatted string
 marks turns with control strings; where a text holds one, it is escaped so that reading
 back gives the very text. All of it is DataFrame functions.
 """
@@ -20,6 +22,9 @@ TURN, END = "<|turn|>", "<|end|>"
 #: opener and rest where one is escaped.
 _OPEN, _REST = r"(<|\[)", r"(\||/?s>|/?INST\]|/?SYS>)"
 TURNS = "array<struct<role:string,text:string>>"
+#: A JSON record of more bytes that can't be parsed is an error, not a record without layout:
+#: the parser has limits of its own.
+PARSED_BYTES = 1 << 24
 
 
 @dataclass(frozen=True)
@@ -73,8 +78,7 @@ def layout_paths(layout: Layout) -> str:
     return written(StructType.fromDDL(layout.schema))
 
 
-def _turns(layout: Layout, record: Column) -> Column:
-    data = F.from_json(record, layout.schema)
+def _turns(layout: Layout, data: Column) -> Column:
     if layout.turns:
 
         def turn(t: Column) -> Column:
@@ -88,21 +92,32 @@ def _turns(layout: Layout, record: Column) -> Column:
     return F.array(*turns)
 
 
+def _selected(tag: Column, layouts: tuple[Layout, ...], data) -> tuple[Column, Column]:
+    """The layout's name and the turns that a fingerprint selects; data(layout) is the record as a struct."""
+    name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
+    for one in layouts:
+        known = [layout_paths(one)] + ([f"OBJECT<{one.turns}: ARRAY<VOID>>"] if one.turns else [])  # an empty list has no type
+        mine = tag.isin([hashlib.sha256(x.encode()).hexdigest()[:16] for x in known])
+        found = _turns(one, data(one)).cast(TURNS)
+        lost = F.raise_error(F.lit(f"a record of layout {one.name} could not be read")).cast(TURNS)
+        name, turns = F.when(mine, F.lit(one.name)).otherwise(name), F.when(mine, F.coalesce(found, lost)).otherwise(turns)
+    return name, turns
+
+
 def canonical(records: DataFrame, column: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """records with fingerprint, layout and turns (role, text) beside its own columns,
     of which those with these names are replaced.
 
-    A record whose fingerprint no layout has gets null layout and turns; it is never
-    guessed; so does JSON that can't be parsed, or is null. An empty list of turns gives
-    an empty array. Rows are independent; an empty table gives none.
+    A record, JSON in a string, whose fingerprint no layout has gets null layout and turns;
+    it is never guessed; so does JSON that can't be parsed, or is null, but one of over
+    PARSED_BYTES that can't be parsed, or one of a known layout that can't be read, is an
+    error. An empty list of turns gives an empty array. Rows are independent; an empty table
+    gives none.
     """
-    tag = fingerprint(F.col(column))
-    layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
-    for one in layouts:
-        known = [layout_paths(one)] + ([f"OBJECT<{one.turns}: ARRAY<VOID>>"] if one.turns else [])  # an empty list has no type
-        mine = F.col("_tag").isin([hashlib.sha256(x.encode()).hexdigest()[:16] for x in known])
-        layout = F.when(mine, F.lit(one.name)).otherwise(layout)
-        turns = F.when(mine, _turns(one, F.col(column)).cast(TURNS)).otherwise(turns)
+    record = F.col(column)
+    long = F.raise_error(F.lit("a record is too long for the JSON parser, or is none")).cast("string")
+    tag = F.when(fingerprint(record).isNull() & (F.octet_length(record) > PARSED_BYTES), long).otherwise(fingerprint(record))
+    layout, turns = _selected(F.col("_tag"), layouts, lambda one: F.from_json(record, one.schema))
     mine = [c for c in records.columns if c not in ("fingerprint", "layout", "turns")]
     return records.select(*mine, tag.alias("_tag")).select(*mine, F.col("_tag").alias("fingerprint"), layout.alias("layout"), turns.alias("turns"))
 
@@ -160,28 +175,37 @@ def digests(texts: DataFrame) -> DataFrame:
 
 
 def records(conversations: DataFrame) -> DataFrame:
-    """conversations (conv_id, turn, role, text) -> conv_id, record: JSON, one a conversation.
+    """conversations (conv_id, turn, role, text) -> conv_id, data: a struct, one a conversation.
 
     Turns are in order of turn, role and text; null text and role are empty, a null turn
     is first, and rows with a null conv_id are one conversation. A conversation of user
     and assistant, after a system text or not, is written in the flat layout for it, any
-    other as messages.
+    other as messages; the fields of other layouts are null.
     """
     rows = F.array_sort(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))))
     grouped = conversations.groupBy("conv_id").agg(rows.alias("t"))
     shape = F.array_join(F.transform(F.slice("t", 1, 4), lambda t: t.role), ",")
-    text = lambda i: F.get("t", F.lit(i))["content"]
-    pair = F.to_json(F.struct(text(1).alias("completion"), text(0).alias("prompt")))
-    triple = F.to_json(F.struct(text(1).alias("instruction"), text(2).alias("output"), text(0).alias("system")))
-    turns = F.to_json(F.struct(F.transform("t", lambda t: F.struct(t.content.alias("content"), t.role.alias("role"))).alias("messages")))
-    record = F.when((F.size("t") == 2) & (shape == "user,assistant"), pair).when((F.size("t") == 3) & (shape == "system,user,assistant"), triple).otherwise(turns)
-    return grouped.select("conv_id", record.alias("record"))
+    pair, triple = (F.size("t") == 2) & (shape == "user,assistant"), (F.size("t") == 3) & (shape == "system,user,assistant")
+    text = lambda when, i: F.when(when, F.get("t", F.lit(i))["content"])
+    messages = F.when(~pair & ~triple, F.transform("t", lambda t: F.struct(t.content.alias("content"), t.role.alias("role"))))
+    fields = {"completion": text(pair, 1), "prompt": text(pair, 0), "instruction": text(triple, 1), "output": text(triple, 2), "system": text(triple, 0), "messages": messages}
+    return grouped.select("conv_id", F.struct(*(c.alias(name) for name, c in fields.items())).alias("data"))
+
+
+def outline(data: Column) -> Column:
+    """A record struct as JSON with the same paths and types, but with empty texts, and lists of one element."""
+    empty = lambda name: F.when(data[name].isNotNull(), F.lit("")).alias(name)
+    one = F.transform(F.slice(data["messages"], 1, 1), lambda _: F.struct(F.lit("").alias("content"), F.lit("").alias("role")))
+    return F.to_json(F.struct(*map(empty, ("completion", "prompt", "instruction", "output", "system")), one.alias("messages")))
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:
     """conv_id, layout, fingerprint, formatted; an empty table gives none.
 
     A conversation is one group: its turns, however many, meet in one row, which holds the
-    formatted string anyhow.
+    formatted string anyhow; it may have 2 GB, and a task needs several times that of heap.
     """
-    return canonical(records(conversations)).select("conv_id", "layout", "fingerprint", formatted(F.col("turns")).alias("formatted"))
+    have = ("messages", "prompt", "instruction+system")
+    tagged = records(conversations).withColumn("fingerprint", fingerprint(outline(F.col("data"))))
+    layout, turns = _selected(F.col("fingerprint"), tuple(one for one in LAYOUTS if one.name in have), lambda one: F.col("data"))
+    return tagged.select("conv_id", layout.alias("layout"), "fingerprint", formatted(turns).alias("formatted"))

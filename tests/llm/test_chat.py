@@ -69,3 +69,20 @@ def test_layouts(spark):
 def test_empty_table(spark):
     table = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.digests(chat.format_conversations(table)).collect() == []
+
+
+def test_turns_longer_than_the_json_parser_takes(spark):
+    long = "word <|end|> " * 1_700_000  # over 20,000,000 characters
+    table = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a"), (2, 0, "user", "q")], "conv_id long, turn long, role string, text string")
+    grown = table.withColumn("text", F.when(F.col("text") == "a", F.repeat(F.lit("word <|end|> "), 1_700_000)).otherwise(F.col("text")))
+    found = {r.conv_id: r for r in chat.digests(chat.format_conversations(grown)).collect()}
+    assert (found[1].n_turns, found[1].loss_chars, found[1].loss_sha256) == (2, len(long), sha(long))
+    assert found[2].n_turns == 1
+
+
+def test_records_that_the_parser_refuses_are_errors(spark):
+    import pytest
+
+    record = spark.range(1).select(F.concat(F.lit('{"prompt": "'), F.repeat(F.lit("word "), 5_000_000), F.lit('", "completion": "a"}')).alias("record"))
+    with pytest.raises(Exception, match="too long"):
+        chat.canonical(record).collect()
