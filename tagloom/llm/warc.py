@@ -9,8 +9,9 @@ file is an archive by itself, in the shared store and with Spark's commit of tas
 
 from __future__ import annotations
 
+import gzip
 import hashlib
-import zlib
+import io
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 from . import common
 
 LEAST_BYTES = 1000
-#: Records in one archive file at most.
-FILE_RECORDS = 2000
+#: Records in one archive file at most, and about the most bytes, which one task reads whole.
+FILE_RECORDS, FILE_BYTES = 2000, 1 << 28
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -69,36 +70,36 @@ def write(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, file_reco
 
     Of equal payloads of least_bytes or more, the row with the largest page_id is the
     response, the others revisit it; smaller payloads are all responses. A null html is an
-    empty payload, a null url leaves out the header. Rows that repeat page_id and payload
+    empty payload, a null url leaves out the header, and a row without a page_id is a response. Rows that repeat page_id and payload
     give the same record each time. No rows give no records.
     """
     head = common.staged(headers(pages), "headers")
     best = F.max(F.struct("page_id", "url"))
     same = head.where(F.col("payload_bytes") >= least_bytes).groupBy("digest").agg(best.alias("best"), F.count("*").alias("rows")).where("rows > 1")
     same = common.staged(same.select("digest", F.col("best.page_id").alias("refers_to"), F.col("best.url").alias("refers_url"), "rows"), "originals")
-    total = head.count()
+    total, size = head.agg(F.count("*"), F.coalesce(F.sum("payload_bytes"), F.lit(0))).first()
     again = common.lookup(head, same, "digest", "rows", total).where("page_id != refers_to")
     keyed = pages.select("page_id", "url", "html").withColumns({"sha1": F.sha1(F.coalesce("html", F.lit("")).cast("binary")), "digest": F.unhex(F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256))})
     may = common.bit_filter(same, "digest")
     hits = keyed.where(may).join(again.select("page_id", "digest").distinct(), ["page_id", "digest"], "left_anti").select(keyed.columns)
     records = responses(keyed.where(~may)).unionByName(responses(hits)).unionByName(revisits(again))
-    records.write.options(lineSep="\r\n\r\n", maxRecordsPerFile=file_records, compression=compression).text(path)
+    records.write.options(lineSep="\r\n\r\n", maxRecordsPerFile=max(1, min(file_records, FILE_BYTES * total // max(1, size))), compression=compression).text(path)
 
 
 READ = "record_id string, page_id long, url string, record_type string, refers_record string, payload_bytes long, payload_digest string"
 
 
 def _records(content: bytes):
-    """(fields, block) of each record of an archive, compressed or not."""
+    """(fields, block) of each record of an archive, compressed in one member or in many, or not."""
     if content[:2] == b"\x1f\x8b":
-        content = zlib.decompress(content, 31)
+        content = gzip.GzipFile(fileobj=io.BytesIO(content)).read()
     at, view = 0, memoryview(content)
     while at < len(content):
         end = content.index(b"\r\n\r\n", at)
         lines = content[at:end].decode().split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"no record at byte {at}")
-        fields = dict(line.split(": ", 1) for line in lines[1:])
+        fields = {name: value.strip() for name, _, value in (line.partition(":") for line in lines[1:])}
         n = int(fields["Content-Length"])
         yield fields, view[end + 4 : end + 4 + n]
         at = end + 4 + n + 4
@@ -110,20 +111,21 @@ def _parsed(batches):
         for content in batch.column(0):
             rows = []
             for fields, block in _records(content.as_py()):
-                response, size, digest = fields["WARC-Type"] == "response", None, None
+                response, size, digest = fields["WARC-Type"] == "response", None, fields.get("WARC-Payload-Digest", "").removeprefix("sha1:") or None
                 if response:
                     data = bytes(block)
                     payload = data[data.index(b"\r\n\r\n") + 4 :]
                     size, digest = len(payload), hashlib.sha1(payload).hexdigest()
                     if fields["WARC-Payload-Digest"] != f"sha1:{digest}":
                         raise ValueError(f"the payload of {fields['WARC-Record-ID']} is damaged")
-                rows.append((fields["WARC-Record-ID"], int(fields["Page-Id"]), fields.get("WARC-Target-URI"), fields["WARC-Type"], fields.get("WARC-Refers-To"), size, digest))
+                rows.append((fields["WARC-Record-ID"], int(fields["Page-Id"]) if "Page-Id" in fields else None, fields.get("WARC-Target-URI"), fields["WARC-Type"], fields.get("WARC-Refers-To"), size, digest))
             kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 7, kinds)], names=names)
 
 
 def read(spark, path: str) -> DataFrame:
-    """The records of the archives below path; a response's payload is measured, a revisit has none."""
+    """The records of the archives below path; a response's payload is measured, a revisit has
+    the digest of its header, and no size."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     return files.select("content").mapInArrow(_parsed, READ)
 
@@ -131,14 +133,15 @@ def read(spark, path: str) -> DataFrame:
 def resolved(records: DataFrame) -> DataFrame:
     """records with each revisit joined to the response that it refers to.
 
-    page_id, payload_bytes, payload_digest, record_type, refers_to.
+    page_id, payload_bytes, payload_digest, record_type, refers_to. A revisit whose response
+    is in no archive has its own digest, and null payload_bytes and refers_to.
     """
     records = common.staged(records, "records")
     first = records.where("record_type = 'response'")
-    asks = records.where("record_type = 'revisit'").select("page_id", F.col("refers_record").alias("record_id"))
+    asks = records.where("record_type = 'revisit'").select("page_id", F.col("payload_digest").alias("own"), F.col("refers_record").alias("record_id"))
     counts = asks.groupBy("record_id").agg(F.count("*").alias("rows"))
     found = first.join(counts, "record_id").groupBy("record_id").agg(*(F.first(c).alias(c) for c in ("payload_bytes", "payload_digest", "rows")), F.first("page_id").alias("refers_to"))
-    back = common.lookup(asks, found, "record_id", "rows", records.count())
+    back = common.lookup(asks, found, "record_id", "rows", records.count(), "left").withColumn("payload_digest", F.coalesce("payload_digest", "own"))
     none = F.lit(None).cast("long")
     return first.select("page_id", "payload_bytes", "payload_digest", "record_type", none.alias("refers_to")).unionByName(back.select("page_id", "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"), "refers_to"))
 
