@@ -1,47 +1,90 @@
-"""Columns over generation metadata: a prompt, a negative prompt, and settings on one line."""
+"""Columns over generation metadata: a prompt, a negative prompt, and settings on a line."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tagloom.functions.tags import split_prompt, strip
+from tagloom.functions.tags import let, split_prompt, strip
 
-#: A setting: a key, a colon, and a value in quotes, in braces (one level inside), or up to a comma.
-SETTING = r'([A-Za-z][\w ]*?):\s*("(?:[^"\\]|\\.)*"|\{(?:[^{}]|\{[^{}]*\})*\}|[^,]*)(?:,|$)'
+#: Braces inside braces up to this depth are one value; deeper ones, or such that never close,
+#: reach to the end.
+DEPTH = 8
+_BRACES = r"\{[^{}]*\}"
+for _ in range(DEPTH - 1):
+    _BRACES = rf"\{{(?:[^{{}}]|{_BRACES})*+\}}"
+#: A setting: a key, a colon, and a value in quotes, in braces, or up to where the next key begins.
+SETTING = r'(?s)[ ,]*([^:]*): *(?:"([^"]*)"?|(' + _BRACES + r"|\{.*)|(.*?)(?=,\s+[A-Za-z][A-Za-z0-9_ %]*?:\s|\z))"
+
+
+def settings_map(line: Column) -> Column:
+    """The settings of a line; of a key that repeats the last value counts."""
+    plain = lambda v: F.regexp_replace(v, r"^\s+|[, ]+$|\s+$", "")
+
+    def entry(found: Column) -> Column:
+        part = lambda i: F.regexp_extract(found, SETTING, i)
+        value = F.when(part(2) != "", part(2)).when(part(3) != "", part(3)).otherwise(plain(part(4)))
+        return F.struct(strip(part(1)).alias("key"), value.alias("value"))
+
+    entries = F.filter(F.transform(F.regexp_extract_all(line, F.lit(SETTING), F.lit(0)), entry), lambda e: e.key != "")
+    last = let(entries, lambda a: F.filter(a, lambda e, i: ~F.exists(F.slice(a, i + 2, F.greatest(F.size(a), F.lit(1))), lambda later: later.key == e.key)))
+    return F.map_from_entries(last)
 
 
 def parse(text: Column) -> Column:
-    """format, prompts, tags, settings, width and height; the last Steps line has the settings.
+    """format, positive, negative, tags, settings, width and height.
 
-    Of settings that repeat the last counts. Text without settings is all prompt.
+    The last line that starts with `Steps:` and a digit begins the settings, which reach to the
+    end. Before them the first line that starts with `Negative prompt:` parts the prompts.
     """
-    body = F.regexp_extract(text, r"(?s)^(.*?)(?:\n?Steps: \d[^\n]*)?\s*$", 1)
-    line = F.regexp_extract(text, r"(?s)(?:^|.*\n)(Steps: \d[^\n]*)\s*$", 1)
-    negative = strip(F.regexp_extract(body, r"(?s)Negative prompt:(.*)$", 1))
-    positive = strip(F.regexp_replace(body, r"(?s)Negative prompt:.*$", ""))
-    keys = F.transform(F.regexp_extract_all(line, F.lit(SETTING), F.lit(1)), strip)
-    values = F.transform(F.regexp_extract_all(line, F.lit(SETTING), F.lit(2)), lambda v: F.regexp_replace(strip(v), r'^"(.*)"$', "$1"))
-    last = F.filter(F.sequence(F.lit(1), F.size(keys)), lambda i: ~F.array_contains(F.slice(keys, i + 1, F.size(keys)), F.element_at(keys, i)))
-    settings = F.when(F.size(keys) > 0, F.map_from_entries(F.transform(last, lambda i: F.struct(F.element_at(keys, i).alias("key"), F.element_at(values, i).alias("value"))))).otherwise(F.create_map().cast("map<string,string>"))
-    size = lambda k: F.regexp_extract(line, r"(?:^|, )Size: (\d+)x(\d+)", k).try_cast("int")
-    return F.struct(
-        F.when(line != "", F.lit("settings")).otherwise(F.lit("plain")).alias("format"),
-        positive.alias("positive"),
-        negative.alias("negative"),
-        split_prompt(positive).alias("tags"),
-        settings.alias("settings"),
-        size(1).alias("width"),
-        size(2).alias("height"),
-    )
+    pieces = F.split(text, r"\n(?=Steps:\s*\d)")
+    last, starts = F.element_at(pieces, -1), F.coalesce(text.rlike(r"^Steps:\s*\d"), F.lit(False))
+    has = (F.size(pieces) > 1) | starts
+    line = F.when(has, strip(last)).otherwise(F.lit(""))
+    before = F.when(F.size(pieces) > 1, F.rtrim(F.substring(text, F.lit(1), F.length(text) - F.length(last) - 1), F.lit("\n"))).when(starts, F.lit("")).otherwise(text)
+    sides = F.split(before, r"(?:^|\n)Negative prompt:\s*", 2)
+
+    def made(s: Column) -> Column:
+        positive, negative = strip(F.get(s["sides"], F.lit(0))), strip(F.coalesce(F.get(s["sides"], F.lit(1)), F.lit("")))
+        settings = settings_map(s["line"])
+        size = lambda i: F.regexp_extract(F.coalesce(F.element_at(settings, "Size"), F.lit("")), r"^(\d+)\s*x\s*(\d+)", i).try_cast("int")
+        return F.struct(
+            F.when(s["line"] != "", F.lit("settings")).otherwise(F.lit("plain")).alias("format"),
+            positive.alias("positive"),
+            negative.alias("negative"),
+            split_prompt(positive).alias("tags"),
+            settings.alias("settings"),
+            size(1).alias("width"),
+            size(2).alias("height"),
+        )
+
+    return let(F.struct(sides.alias("sides"), line.alias("line")), made)
+
+
+def source_of(texts: Column) -> Column:
+    """What an image's texts (a map) are read as: `text` if there are parameters, else `graph` if
+    there is a prompt, which is a graph of nodes, else nothing."""
+    there = lambda key: strip(F.coalesce(F.element_at(texts, key), F.lit(""))) != ""
+    return F.when(there("parameters"), F.lit("text")).when(there("prompt"), F.lit("graph")).otherwise(F.lit(""))
+
+
+NODE = "struct<class_type:string,inputs:map<string,variant>,_meta:struct<title:string>>"
 
 
 def graph_nodes(workflow: Column) -> Column:
-    """id, class_type, title of each node of a workflow graph in JSON; null if it is none."""
-    node = "struct<class_type:string,_meta:struct<title:string>>"
-    nodes = F.from_json(workflow, f"map<string,{node}>")
-    return F.transform(F.map_entries(nodes), lambda e: F.struct(e.key.alias("id"), e.value.class_type.alias("class_type"), e.value["_meta"]["title"].alias("title")))
+    """id, class_type, title and inputs of each node of a workflow graph in JSON, in order; null
+    if it is none. An input is a variant: a value, or a link, an array of the node and its output."""
+    nodes = F.from_json(workflow, f"map<string,{NODE}>")
+    return F.transform(F.map_entries(nodes), lambda e: F.struct(e.key.alias("id"), e.value.class_type.alias("class_type"), e.value["_meta"]["title"].alias("title"), e.value["inputs"].alias("inputs")))
 
 
 def nodes_titled(workflow: Column, prefix: str) -> Column:
-    return F.filter(graph_nodes(workflow), lambda n: F.startswith(F.lower(F.coalesce(n.title, F.lit(""))), F.lit(prefix.lower())))
+    return F.filter(graph_nodes(workflow), lambda n: F.startswith(F.coalesce(n.title, F.lit("")), F.lit(prefix)))
+
+
+def has_titled(workflow: Column, *prefixes: str) -> Column:
+    """Whether a workflow has a node for each of some title prefixes; null if it is no graph."""
+    out = F.lit(True)
+    for prefix in prefixes:
+        out = out & (F.size(nodes_titled(workflow, prefix)) > 0)
+    return F.when(graph_nodes(workflow).isNotNull(), out)

@@ -8,16 +8,21 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: Words of a generation prompt that separate tags like commas.
 PROMPT_KEYWORDS = ("AND", "BREAK", "ADDBASE", "ADDCOMM", "ADDCOL", "ADDROW")
 
 
+def let(value: Column, body) -> Column:
+    """body(value), where value is computed once, though a lambda inside may use it often."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(text: Column) -> Column:
     """Without any white space at both ends (trim takes blanks alone)."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
 
 
 def split_caption(text: Column, separator: str = ", ") -> Column:
@@ -45,15 +50,35 @@ def rename(tags: Column, old: str, new: str) -> Column:
     return F.transform(tags, lambda t: F.when(t == old, F.lit(new)).otherwise(t))
 
 
+def java_regex(pattern: str, flags: str = "(?i)") -> str | None:
+    """A Python pattern as one for Spark, None if either refuses it.
+
+    Named groups and the end of text are written differently; what else only one of both
+    knows counts as a bad pattern, so that none fails a job.
+    """
+    try:
+        re.compile(pattern)
+    except re.error:
+        return None
+    out = flags + re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern.replace("(?P<", "(?<")).replace(r"\Z", r"\z")
+    spark = SparkSession.getActiveSession()
+    try:
+        if spark is not None:
+            spark.range(1).select(F.rlike(F.lit(""), F.lit(out))).collect()  # a constant: Spark compiles it on the driver
+    except Exception:  # noqa: BLE001 - the engine's own error for a pattern that it refuses
+        return None
+    return out
+
+
 def replace(tags: Column, find: str, by: str, whole: bool = False, regex: bool = False) -> Column:
     """Find and replace; a regex has precedence over whole tags, and a bad one changes
-    nothing. Tags left blank are removed."""
+    nothing. In its replacement \\1 and \\g<name> stand for groups. Tags left blank are removed."""
     if regex:
-        try:
-            re.compile(find)
-        except re.error:
+        pattern = java_regex(find, "")
+        if pattern is None:
             return tags
-        changed = F.transform(tags, lambda t: F.regexp_replace(t, find, by))
+        into = re.sub(r"\\(?:g<(\w+)>|(\d))", lambda m: "${" + m[1] + "}" if m[1] and not m[1].isdigit() else "$" + (m[1] or m[2]), by.replace("$", r"\$"))
+        changed = F.transform(tags, lambda t: F.regexp_replace(t, pattern, into))
     elif whole:
         changed = rename(tags, find, by)
     else:
@@ -71,9 +96,14 @@ def delete(tags: Column, gone: list[str]) -> Column:
 
 
 def dedupe(tags: Column) -> Column:
-    """The first spelling of each tag, without regard to case and outer white space."""
-    keys = F.transform(tags, key)
-    return F.filter(tags, lambda t, i: F.array_position(keys, key(t)) == i + 1)
+    """The first spelling of each tag, without regard to case and outer white space.
+
+    Tags are sorted by key and place, so that equal ones stand side by side, and the first
+    of each are sorted back: work grows with n log n.
+    """
+    marked = F.array_sort(F.transform(tags, lambda t, i: F.struct(key(t).alias("k"), i.alias("i"), t.alias("t"))))
+    firsts = let(marked, lambda s: F.filter(s, lambda e, j: (j == 0) | ~e.k.eqNullSafe(F.get(s, j - 1).k)))
+    return F.transform(F.array_sort(F.transform(firsts, lambda e: F.struct(e.i.alias("i"), e.t.alias("t")))), lambda e: e.t)
 
 
 def append(tags: Column, new: list[str]) -> Column:
@@ -115,6 +145,23 @@ def reverse(tags: Column, keep_first: bool = False) -> Column:
     return _rest(tags, keep_first, F.reverse)
 
 
+def shuffled(tags: Column, keep_first: bool = False, seed: int = 0) -> Column:
+    """In an order drawn from the seed and the tags, the same on every run."""
+
+    def order(a: Column) -> Column:
+        drawn = F.transform(a, lambda t, i: F.struct(F.xxhash64(F.lit(seed), t, i).alias("k"), i.alias("i"), t.alias("t")))
+        return F.transform(F.array_sort(drawn), lambda s: s.t)
+
+    return _rest(tags, keep_first, order)
+
+
+def committed(tags: Column, text: Column, separator: str = ", ") -> Column:
+    """The tags of a caption as it was typed, and whether they differ from the old: only
+    then is there anything to write."""
+    new = split_caption(text, separator)
+    return F.struct(new.alias("tags"), (new != tags).alias("changed"))
+
+
 def to_front(tags: Column, wanted: list[str]) -> Column:
     """The wanted tags that are there first, each once and in the order wanted."""
     want = F.array(*map(F.lit, wanted))
@@ -161,6 +208,20 @@ def folder_name(text: Column, longest: int = 60) -> Column:
     return F.substring(F.regexp_replace(F.regexp_replace(safe, "_+", "_"), "^_+|_+$", ""), 1, longest)
 
 
+def cache_name(path: Column) -> Column:
+    """A relative path as the name of one PNG file: without its suffix, unsafe characters _."""
+    return F.concat(F.regexp_replace(F.regexp_replace(path, r"(?<=[^/])\.[^./]*$", ""), r"(?U)[^\w\-.]+", "_"), F.lit(".png"))
+
+
+def unescaped(separator: str) -> str:
+    """A separator as typed, where \\n and \\t stand for line end and tab; a bad escape is
+    left as it is, and nothing stands for a comma and a blank."""
+    try:
+        return separator.encode().decode("unicode_escape") or ", "
+    except UnicodeDecodeError:
+        return separator
+
+
 def short_key(path: Column) -> Column:
     return F.substring(F.md5(path), 1, 12)
 
@@ -211,11 +272,10 @@ def name_is(name: Column, term: str) -> Column:
 
 def regex_matches(name: Column, tags: Column, pattern: str) -> Column:
     """The pattern is found in the name or a tag; a bad one is a term of its own."""
-    try:
-        re.compile(pattern)
-    except re.error:
+    good = java_regex(pattern)
+    if good is None:
         return text_matches(name, tags, f"r:{pattern}")
-    return name.rlike(f"(?i){pattern}") | F.exists(tags, lambda t: t.rlike(f"(?i){pattern}"))
+    return name.rlike(good) | F.exists(tags, lambda t: t.rlike(good))
 
 
 def highlighted(tags: Column, hit) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -15,13 +17,39 @@ def tag_counts(items: DataFrame) -> DataFrame:
     return each.groupBy("tag").agg(F.count("*").alias("n"), F.min(F.struct("item_id", "place")).alias("first_seen"))
 
 
-def ranked_tags(counts: DataFrame, by: str = "count") -> DataFrame:
+def numbered(rows: DataFrame, order: list[Column], into: str = "rank") -> DataFrame:
+    """rows with their number from 1 on in an order over all of them, which must be total.
+
+    Range partitions are sorted, each by itself, and offset by the rows of those before it,
+    so that no task has all rows. The sorted rows are written to the shared folder once:
+    both the counts and the numbers are read from there.
+    """
+    sorted_ = stored(rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    sorted_ = sorted_.withColumns({"_part": F.shiftright("_at", 33), "_in": F.col("_at").bitwiseAND((1 << 33) - 1)})
+    parts = sorted_.groupBy("_part").agg(F.count("*").alias("_n"))  # as many rows as partitions
+    before = parts.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return sorted_.join(F.broadcast(before), "_part").withColumn(into, F.col("_before") + F.col("_in") + 1).drop("_at", "_part", "_in", "_before")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written as Parquet to the folder that the session's executors share, and read again."""
+    context = df.sparkSession.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not root:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    path = f"{root.rstrip('/')}/{context.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ranked_tags(counts: DataFrame, by: str = "count", descending: bool | None = None) -> DataFrame:
     """Tags with their rank by count, name or length; equal ones by first appearance.
 
-    One row a distinct tag goes through the one ordering.
+    Unless told, counts and lengths descend, and names ascend.
     """
-    order = {"count": F.desc("n"), "name": F.asc(F.lower("tag")), "length": F.desc(F.length("tag"))}[by]
-    return counts.withColumn("rank", F.row_number().over(W.orderBy(order, "first_seen")))
+    key = {"count": F.col("n"), "name": F.lower("tag"), "length": F.length("tag")}[by]
+    down = by != "name" if descending is None else descending
+    return numbered(counts, [key.desc() if down else key.asc(), F.col("first_seen").asc()])
 
 
 def restored(items: DataFrame, snapshot: DataFrame) -> DataFrame:
@@ -82,6 +110,15 @@ def top_tags(scores: Column, least: float, excluded: list[str], most: int) -> Co
     return F.transform(F.slice(ordered, 1, most), lambda s: s.tag)
 
 
+def best_tags(scores: DataFrame, least: float, excluded: list[str], most: int) -> DataFrame:
+    """scores (item, k, tag, p), a row a tag -> item, tags: those of `least` and more, not
+    excluded, best first, then by k. What is too low or too many is left out before rows meet."""
+    good = scores.where((F.col("p") >= least) & ~F.col("tag").isin(excluded))
+    by = W.partitionBy("item").orderBy(F.desc("p"), F.asc("k"))
+    top = good.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= most)
+    return top.groupBy("item").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "tag"))), lambda x: x.tag).alias("tags"))
+
+
 def split_train(items: DataFrame, id_column: str, percent: int = 80, seed: int = 0) -> DataFrame:
     """items with split: about percent of 100 are train, by a hash of the id and the seed.
 
@@ -92,11 +129,71 @@ def split_train(items: DataFrame, id_column: str, percent: int = 80, seed: int =
     return items.withColumn("split", F.when(draw < percent, F.lit("train")).otherwise(F.lit("valid")))
 
 
-def class_list(labels: DataFrame) -> DataFrame:
-    """class_0 to class_<largest id>, dense."""
+def split_exactly(items: DataFrame, id_column: str, percent: int = 80, seed: int = 0, fallback: bool = True) -> DataFrame:
+    """items, once for each split they are in: the first floor(percent * n / 100) in an order drawn from
+    the seed are train, the rest valid.
+
+    fallback: one item at least is train, and where that leaves none for valid, the first
+    train item is in both. Ids must differ; the order is the same on every run.
+    """
+    drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_column).cast("string")))
+    rows = numbered(items.withColumn("_draw", drawn), [F.asc("_draw"), F.asc(id_column)], "_place").drop("_draw")
+    n = rows.agg(F.count("*")).first()[0]
+    train = max(1, n * percent // 100) if fallback else n * percent // 100
+    split = F.when(F.col("_place") <= train, F.array(F.lit("train"))).otherwise(F.array(F.lit("valid")))
+    if fallback and train >= n:
+        split = F.when(F.col("_place") == 1, F.array(F.lit("train"), F.lit("valid"))).otherwise(split)
+    return rows.withColumn("split", F.explode(split)).drop("_place")
+
+
+def class_list(labels: DataFrame, named: DataFrame | None = None) -> DataFrame:
+    """class_0 to class_<largest id>, dense; or, where there are lines (line, seq) of a file of
+    classes, the non-blank ones in their order, whatever the labels."""
+    if named is not None:
+        good = named.select(tg.strip(F.col("line")).alias("name"), "seq").where("name != ''")
+        by_file = good.select((F.row_number().over(W.orderBy("seq")) - 1).alias("class_id"), "name")  # as many rows as a user names classes
+        if not by_file.isEmpty():
+            return by_file
     return labels.agg(F.max("class_id").alias("m")).where("m IS NOT NULL").select(F.explode(F.sequence(F.lit(0), F.col("m"))).alias("class_id")).withColumn("name", F.concat(F.lit("class_"), F.col("class_id").cast("string")))
 
 
+def with_new_class(classes: DataFrame, name: str, colors: list[str], kind: str = "bbox") -> DataFrame:
+    """classes (class_id, name, color, kind) with one more: its id is how many there were, and
+    colours go round."""
+    one = classes.agg(F.count("*").cast("int").alias("class_id"))
+    return classes.unionByName(one.select("class_id", F.lit(name).alias("name"), F.element_at(F.array(*map(F.lit, colors)), F.col("class_id") % len(colors) + 1).alias("color"), F.lit(kind).alias("kind")))
+
+
+def class_lines(classes: DataFrame) -> DataFrame:
+    """class_id and line: name|color|kind, as a list of classes is kept."""
+    return classes.select("class_id", F.concat_ws("|", "name", "color", "kind").alias("line"))
+
+
+def classes_of_lines(lines: DataFrame) -> DataFrame:
+    """lines (seq, line) as class_id (the place), name, color, kind; lines without exactly three
+    parts are left out, and any kind but polygon is bbox."""
+    parts = F.split("line", "[|]")
+    kind = F.when(F.get("p", F.lit(2)) == "polygon", F.lit("polygon")).otherwise(F.lit("bbox"))
+    rows = lines.withColumn("p", parts).where(F.size("p") == 3)
+    return rows.select(F.col("seq").cast("int").alias("class_id"), F.get("p", F.lit(0)).alias("name"), F.get("p", F.lit(1)).alias("color"), kind.alias("kind"))
+
+
+def without_label(labels: Column, place: Column) -> Column:
+    """An array of labels without the one at a place from 0 on."""
+    return F.filter(labels, lambda _, i: i != place)
+
+
+def with_label(labels: Column, place: Column, new: Column) -> Column:
+    """An array of labels with another one at a place from 0 on."""
+    return F.transform(labels, lambda t, i: F.when(i == place, new).otherwise(t))
+
+
+def label_summary(labels: Column, name) -> Column:
+    """A line a label: its place from 1 on, the class's name by name(class_id), and its kind."""
+    kind = lambda t: F.when(F.coalesce(F.size(t["polygon"]) >= 3, F.lit(False)), F.lit("polygon")).when(t["bbox"].isNotNull(), F.lit("bbox")).otherwise(F.lit("empty"))
+    return F.array_join(F.transform(labels, lambda t, i: F.concat((i + 1).cast("string"), F.lit(": "), name(t["class_id"]), F.lit(" ("), kind(t), F.lit(")"))), "\n")
+
+
 def without_class(labels: DataFrame, gone: int) -> DataFrame:
     """labels without a class; higher ids move down by one."""
     return labels.where(F.col("class_id") != gone).withColumn("class_id", F.when(F.col("class_id") > gone, F.col("class_id") - 1).otherwise(F.col("class_id")))
@@ -108,9 +205,33 @@ def change_counts(items: DataFrame, changed: Column) -> DataFrame:
 
 
 def fingerprint(files: DataFrame) -> DataFrame:
-    """group, sha1 over its files' lines (key|mtime|size) in order of seq."""
+    """group, fingerprint: sha1 over its files' lines (key|mtime|size) in order of seq.
+
+    A digest of all is taken of the lines in order, whatever their number: a group is sorted in
+    one partition and read through, and never is one row.
+    """
     line = F.concat_ws("|", "key", "mtime", "size")
-    return files.groupBy("group").agg(F.sha1(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", line.alias("line")))), lambda x: x.line), "\n").cast("binary")).alias("fingerprint"))
+    ordered = files.select(F.col("group").cast("string").alias("group"), "seq", line.alias("line")).repartition("group").sortWithinPartitions("group", "seq", "line")
+
+    def run(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        now, digest = None, None
+        row = lambda: pa.RecordBatch.from_pydict({"group": pa.array([now[0]], pa.string()), "fingerprint": pa.array([digest.hexdigest()])})
+        for batch in batches:
+            for group, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if now != (group,):
+                    if now:
+                        yield row()
+                    now, digest = (group,), hashlib.sha1(text.encode())
+                else:
+                    digest.update(b"\n" + text.encode())
+        if now:
+            yield row()
+
+    return ordered.select("group", "line").mapInArrow(run, "group string, fingerprint string")
 
 
 def latest(edits: DataFrame) -> DataFrame:
@@ -125,10 +246,68 @@ def undone(edits: DataFrame, batch: Column) -> DataFrame:
     return last.where(F.col("e.batch_id") == batch).select("item_id", F.col("e.before").alias("tags"))
 
 
+#: A step of an edit log: what it is, the batch of an edit, and an item's state after an edit.
+STEP = "kind string, batch_id long, state array<string>"
+
+
+def replayed(steps: DataFrame, depth: int = 50) -> DataFrame:
+    """steps (item_id, seq, kind, batch_id, state) -> item_id, state, undos, redos.
+
+    kind: `edit` (a new state, or the first), `undo`, `redo`. An item keeps `depth` states to go
+    back to; a new edit clears what was undone; undo and redo with nothing to go to change
+    nothing. A batch undone is an undo step for each item whose last edit is of it. An item's steps
+    are sorted in one partition and folded one after the other, with state of bounded size.
+    """
+    ordered = steps.select(F.col("item_id").cast("string").alias("item_id"), "seq", "kind", F.to_json(F.struct("state")).alias("state"), F.col("state").isNull().alias("none"))
+    ordered = ordered.repartition("item_id").sortWithinPartitions("item_id", "seq")
+
+    def run(batches):
+        from collections import deque
+
+        import pyarrow as pa
+
+        now, state, back, forth = None, None, deque(maxlen=depth), []
+        row = lambda: pa.RecordBatch.from_pydict({"item_id": pa.array([now[0]], pa.string()), "state": pa.array([state], pa.string()), "undos": pa.array([len(back)]), "redos": pa.array([len(forth)])})
+        for batch in batches:
+            for item, kind, new in zip(*(batch.column(c).to_pylist() for c in ("item_id", "kind", "state"))):
+                if now != (item,):
+                    if now:
+                        yield row()
+                    now, state, back, forth = (item,), None, deque(maxlen=depth), []
+                if kind == "edit":
+                    if state is not None:
+                        back.append(state)
+                    state, forth = new, []
+                elif kind == "undo" and back:
+                    forth.append(state)
+                    state = back.pop()
+                elif kind == "redo" and forth:
+                    back.append(state)
+                    state = forth.pop()
+        if now:
+            yield row()
+
+    found = ordered.mapInArrow(run, "item_id string, state string, undos long, redos long")
+    kind = steps.schema["item_id"].dataType
+    return found.select(F.col("item_id").cast(kind).alias("item_id"), F.from_json("state", "state array<string>")["state"].alias("state"), "undos", "redos")
+
+
 def unique_names(files: DataFrame) -> DataFrame:
-    """files (stem, pos) with name: of equal stems the second is 1_<stem>, and so on."""
+    """files (stem, pos) with name: of equal stems the second is 1_<stem>, and so on.
+
+    Where such a name is a stem of the files as well, the number goes on until it is none.
+    Only files that are not the first of their stem are looked at again.
+    """
     n = F.row_number().over(W.partitionBy("stem").orderBy("pos")) - 1
-    return files.withColumn("name", F.when(n == 0, F.col("stem")).otherwise(F.concat(n.cast("string"), F.lit("_"), F.col("stem"))))
+    rows = files.withColumn("_n", n)
+    written = F.concat(F.col("_n").cast("string"), F.lit("_"), F.col("stem"))
+    first, again = rows.where("_n = 0").withColumn("name", F.col("stem")).drop("_n"), rows.where("_n > 0")
+    # A stem k_<stem> takes the number k away from <stem>: the numbers left are counted through.
+    taken = files.select(F.regexp_extract("stem", "^([1-9][0-9]*)_", 1).try_cast("long").alias("k"), F.regexp_replace("stem", "^[1-9][0-9]*_", "").alias("stem")).where("k IS NOT NULL").distinct()
+    taken = taken.groupBy("stem").agg(F.array_sort(F.collect_set("k")).alias("_taken"))  # a number each, of one stem's namesakes
+    skipped = F.aggregate(F.coalesce("_taken", F.array().cast("array<bigint>")), F.col("_n").cast("long"), lambda at, k: F.when(k <= at, at + 1).otherwise(at))
+    again = again.join(taken, "stem", "left").withColumn("_n", skipped).withColumn("name", written).drop("_n", "_taken")
+    return first.unionByName(again.select(first.columns))
 
 
 def pulled(items: DataFrame, prompts: DataFrame, mode: str = "after") -> DataFrame:
@@ -199,9 +378,116 @@ def settings_rows(items: DataFrame) -> DataFrame:
 
 
 def copied_captions(items: DataFrame) -> DataFrame:
-    """group, captions: a line an item, in order of item_id."""
-    rows = F.array_sort(F.collect_list(F.struct("item_id", F.array_join("tags", ", ").alias("line"))))
-    return items.groupBy("group").agg(F.array_join(F.transform(rows, lambda x: x.line), "\n").alias("captions"))
+    """group, captions: a line an item, in order of item_id.
+
+    The feature is one text a group, for a clipboard, so that a group's lines meet in a row.
+    """
+    lines = items.select("group", "item_id", F.array_join("tags", ", ").alias("line"))
+    rows = F.array_sort(F.collect_list(F.struct("item_id", "line")))
+    return lines.groupBy("group").agg(F.array_join(F.transform(rows, lambda x: x.line), "\n").alias("captions"))
+
+
+def copied(items: DataFrame, value: Column, separator: str = "\n") -> DataFrame:
+    """One text of a value (a name, a path, a prompt) of the items, in order of item_id; blank
+    values are left out. The feature is one text, for a clipboard."""
+    rows = items.select("item_id", value.alias("v")).where(F.coalesce(tg.strip(F.col("v")), F.lit("")) != "")
+    return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "v"))), lambda x: x.v), separator).alias("text"))
+
+
+def pasted(tags: Column, text: Column) -> Column:
+    """Tags with those of a copied text appended; only commas separate them."""
+    return F.concat(tags, tg.split_caption(text, ","))
+
+
+def completions(session: DataFrame, text: str, used: list[str], limit: int | None = 50) -> DataFrame:
+    """session (tag) tags that hold a text, those in use first, then by lower case: what is
+    offered without a dictionary (limit 50), or beside its results (no limit)."""
+    hit = F.contains(F.lower("tag"), F.lit(text.strip().lower()))
+    order = [F.asc(~F.col("tag").isin(used)), F.asc(F.lower("tag")), F.asc("tag")]
+    rows = session.select("tag").distinct().where(hit).withColumn("used", F.col("tag").isin(used))
+    return rows.orderBy(*order) if limit is None else rows.orderBy(*order).limit(limit)
+
+
+def with_sidecars(items: DataFrame, files: DataFrame, suffixes: tuple[str, ...] = (".txt", "-masklabel.png")) -> DataFrame:
+    """items (path) with an array of the sidecar files (path) that are there, in order of suffixes."""
+    stem = F.regexp_replace("path", r"\.[^./]*$", "")
+    wanted = items.select("path", F.posexplode(F.array(*(F.concat(stem, F.lit(s)) for s in suffixes))).alias("_i", "_side"))
+    there = wanted.join(files.select(F.col("path").alias("_side")).distinct(), "_side")
+    sides = there.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_side"))), lambda x: x["_side"]).alias("sidecars"))
+    return items.join(sides, "path", "left").withColumn("sidecars", F.coalesce("sidecars", F.array().cast("array<string>")))
+
+
+def file_plan(items: DataFrame, action: str, folder: str | None = None, root: str | None = None) -> DataFrame:
+    """What a copy, move or removal (`trash`) of items (path, sidecars) does to files: action,
+    source, destination, and whether the item stays in a catalog of `root`.
+
+    A copy, or a move to below the root, keeps the item; a move elsewhere or a removal drops it.
+    """
+    files = items.select("path", F.explode(F.concat(F.array("path"), "sidecars")).alias("source"))
+    name = F.regexp_extract("source", "([^/]+)$", 1)
+    to = F.concat(F.lit((folder or "").rstrip("/") + "/"), name) if action != "trash" else F.lit(None).cast("string")
+    stays = action == "copy" or (action == "move" and root is not None and f"{folder}/".startswith(root.rstrip("/") + "/"))
+    return files.select(F.lit(action).alias("action"), "source", to.alias("destination"), F.lit(stays).alias("stays"))
+
+
+def without_items(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """rows (item_id) of items, labels or edits without those of deleted items (item_id): they
+    are keyed by id, so what is left needs no new keys."""
+    return rows.join(gone.select("item_id").distinct(), "item_id", "left_anti")
+
+
+def current_paths(items: DataFrame, versions: DataFrame) -> DataFrame:
+    """items (item_id, path) with the path of their last version (item_id, seq, modified) that has one."""
+    last = versions.where("modified IS NOT NULL").groupBy("item_id").agg(F.max_by("modified", "seq").alias("modified"))
+    return items.join(last, "item_id", "left").withColumn("current", F.coalesce("modified", "path"))
+
+
+def restored_versions(versions: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """versions (item_id, seq, modified) after all items, or those wanted (item_id), go back to
+    their base: only the first version of these stays."""
+    first = versions.groupBy("item_id").agg(F.min("seq").alias("_base"))
+    if wanted is not None:
+        first = first.join(wanted.select("item_id").distinct(), "item_id", "left_semi")
+    return versions.join(first, "item_id", "left").where("_base IS NULL OR seq = _base").drop("_base")
+
+
+def with_source(sources: DataFrame, path: str, original: bool = False) -> DataFrame:
+    """sources (seq, path, original), a user's short list, with one more; a path that is there is
+    not added, and one source at most is the original: the last one that was made so."""
+    mine = F.lit(path)
+    kept = sources.withColumn("original", (F.lit(original) & (F.col("path") == mine)) | (~F.lit(original) & F.col("original")))
+    new = sources.agg(F.coalesce(F.max("seq") + 1, F.lit(0)).alias("seq"), F.coalesce(F.bool_or(F.col("path") == mine), F.lit(False)).alias("_there")).where("NOT _there")
+    return kept.unionByName(new.select(F.col("seq").cast(sources.schema["seq"].dataType).alias("seq"), mine.alias("path"), F.lit(original).alias("original")))
+
+
+def refreshed(cache: DataFrame, fresh: DataFrame, gone: DataFrame | None = None) -> DataFrame:
+    """cache (key, stamp, ...) with the fresh rows in place of those of their keys, and without
+    the keys that are gone."""
+    keys = fresh.select("key") if gone is None else fresh.select("key").union(gone.select("key"))
+    return cache.join(keys.distinct(), "key", "left_anti").unionByName(fresh)
+
+
+def masked_manifest(items: DataFrame, include_unlabeled: bool = False) -> DataFrame:
+    """items (path, labels) -> source, mask: where the mask of each is put; those without labels
+    only if told."""
+    rows = items if include_unlabeled else items.where(F.size("labels") > 0)
+    return rows.select(F.col("path").alias("source"), F.concat(F.regexp_replace("path", r"\.[^./]*$", ""), F.lit("-mask.png")).alias("mask"))
+
+
+def label_format(classes: DataFrame) -> str:
+    """segmentation if any class (kind), of the few that a user names, is a polygon, else detection."""
+    return "segmentation" if classes.agg(F.coalesce(F.bool_or(F.col("kind") == "polygon"), F.lit(False))).first()[0] else "detection"
+
+
+def number_in_range(text: str, low: float, high: float, whole: bool = True) -> float:
+    """A parameter as typed, within its bounds; an error says what is wrong with it."""
+    try:
+        value = int(text) if whole else float(text)
+    except ValueError:
+        raise ValueError(f"{text!r} is not a number") from None
+    if not low <= value <= high:
+        raise ValueError(f"{text} is not from {low} to {high}")
+    return value
 
 
 def cached_pairs(pairs: DataFrame, bits: int) -> DataFrame:

@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tagloom.functions.tags import folder_name
+from tagloom.operators.catalog import numbered, stored
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -32,16 +35,18 @@ def medoids(vectors: DataFrame, size: int) -> DataFrame:
 def spread(vectors: DataFrame, size: int, cap: int) -> DataFrame:
     """The first `cap` of each cluster by farthest points, from the medoid on: cluster, id, step.
 
-    One aggregation and one join a step; a cluster's rows stay where they are.
+    Each step is an aggregation and a join with the one point that it chose of each cluster; it
+    is written to the shared folder, so that plans don't grow with the cap.
     """
-    chosen = medoids(vectors, size).select("cluster", F.col("medoid").alias("id"), F.lit(1).alias("step"))
+    chosen = stored(medoids(vectors, size).select("cluster", F.col("medoid").alias("id"), F.lit(1).alias("step")), "chosen")
     near = vectors.withColumn("near", F.lit(2.0).cast("double"))
     out = chosen
     for step in range(2, cap + 1):
         new = chosen.join(vectors.select("id", F.col("v").alias("cv")), "id").select("cluster", F.col("id").alias("cid"), "cv")
         near = near.join(new, "cluster", "left").withColumn("near", F.when(F.col("cid") == F.col("id"), F.lit(-1.0)).otherwise(F.least("near", F.coalesce(F.round(1 - dot(F.col("v"), F.col("cv")), 9), "near")))).drop("cid", "cv")
+        near = stored(near, "near")
         best = near.where("near >= 0").groupBy("cluster").agg(F.min(F.struct((-F.col("near")).alias("d"), F.col("id").alias("i"))).alias("b"))
-        chosen = best.select("cluster", F.col("b.i").alias("id"), F.lit(step).alias("step"))
+        chosen = stored(best.select("cluster", F.col("b.i").alias("id"), F.lit(step).alias("step")), "chosen")
         out = out.unionByName(chosen)
     return out
 
@@ -73,3 +78,51 @@ def move_plan(members: DataFrame, sizes: DataFrame, drop_outliers: bool = False)
     rows = members.join(sizes, "cluster", "left")
     over = F.lit(False) if drop_outliers else F.col("rank") > F.col("cap")
     return rows.select("id", F.when(F.col("cap").isNull() | over, F.lit("leftovers")).otherwise(F.col("name")).alias("target"))
+
+
+def named(found: DataFrame, medoid_stems: DataFrame) -> DataFrame:
+    """medoid_stems (cluster, stem) with the name of each cluster: that of its tags (found: cluster,
+    name), else its medoid's stem, else `cluster`; all as folder names."""
+    rows = medoid_stems.join(found, "cluster", "left")
+    safe = lambda c: F.nullif(folder_name(c), F.lit(""))
+    return rows.withColumn("name", F.coalesce(safe(F.col("name")), safe(F.col("stem")), F.lit("cluster"))).drop("stem")
+
+
+def folders(clusters: DataFrame, nested: bool = False) -> DataFrame:
+    """clusters (cluster, n, first, name, repeats) with folder and order, largest first, then by
+    first, the least member.
+
+    folder: <repeats>_<name>, or nested <repeats>/<name>; of equal ones the second ends in
+    _2, and so on. A number that another cluster's own folder ends in is left out.
+    """
+    base = F.concat(F.col("repeats").cast("string"), F.lit("/" if nested else "_"), F.col("name"))
+    rows = numbered(clusters.withColumn("_base", base), [F.desc("n"), F.asc("first")], "order")
+    rows = rows.withColumn("_k", F.row_number().over(W.partitionBy("_base").orderBy("order")))
+    # Bases that read like <other base>_<k> take that number from it.
+    cut = rows.select(F.regexp_extract("_base", r"^(.*)_(\d+)$", 1).alias("_base"), F.regexp_extract("_base", r"^(.*)_(\d+)$", 2).try_cast("long").alias("k")).where("k >= 2").distinct()
+    taken = cut.groupBy("_base").agg(F.array_sort(F.collect_set("k")).alias("_taken"))
+    number = F.aggregate(F.coalesce("_taken", F.array().cast("array<bigint>")), F.col("_k").cast("long"), lambda at, k: F.when(k <= at, at + 1).otherwise(at))
+    folder = F.when(F.col("_k") == 1, F.col("_base")).otherwise(F.concat("_base", F.lit("_"), number.cast("string")))
+    return rows.join(taken, "_base", "left").withColumn("folder", folder).drop("_base", "_k", "_taken")
+
+
+def destinations(moves: DataFrame) -> DataFrame:
+    """moves (seq, source, folder, sidecars) -> source, destination, sidecar rows and all.
+
+    Of equal names in a folder the second is <stem>_1, and so on; sidecars follow the stem of
+    their image, and masks keep their ending.
+    """
+    name = F.regexp_extract("source", "([^/]+)$", 1)
+    stem, suffix = F.regexp_replace(name, r"(?<=.)\.[^.]*$", ""), F.regexp_extract(name, r".(\.[^.]*)$", 1)
+    k = F.row_number().over(W.partitionBy("folder", name).orderBy("seq")) - 1
+    rows = moves.withColumn("_k", k).withColumn("_stem", F.concat(stem, F.when(F.col("_k") > 0, F.concat(F.lit("_"), F.col("_k").cast("string"))).otherwise(F.lit(""))))
+    own = rows.select("source", F.concat("folder", F.lit("/"), "_stem", suffix).alias("destination"))
+    side = rows.select(F.explode("sidecars").alias("source"), "folder", "_stem")
+    ending = F.when(F.endswith("source", F.lit("-masklabel.png")), F.lit("-masklabel.png")).otherwise(F.regexp_extract("source", r"(\.[^./]*)$", 1))
+    return own.unionByName(side.select("source", F.concat("folder", F.lit("/"), "_stem", ending).alias("destination")))
+
+
+def totals(plan: DataFrame) -> DataFrame:
+    """plan (target; null: left in place) as counts of moves, leftovers, and what is left in place."""
+    moved = F.col("target").isNotNull()
+    return plan.agg(F.count_if(moved).alias("moves"), F.count_if(F.col("target") == "leftovers").alias("leftovers"), F.count_if(~moved).alias("in_place"))

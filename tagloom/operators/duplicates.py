@@ -2,53 +2,108 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tagloom.functions.tags import let
+
 WORD = 64
+#: Hashes with one block of bits that meet in one place; more are dealt out in parts.
+PART = 2048
 
 
 def signature(values: Column, size: int = WORD) -> Column:
-    """One bit for each of the first `size` (64 at most) values: above the median of all but
-    the first."""
+    """One bit for each of the first `size` values: above the median of all but the first.
+
+    A word of 64 bits, or for more values an array of words.
+    """
     rest = F.array_sort(F.slice(values, 2, size - 1))
     n = size - 1
     median = F.element_at(rest, n // 2 + 1) if n % 2 else (F.element_at(rest, n // 2) + F.element_at(rest, n // 2 + 1)) / 2
-    bits = F.transform(F.slice(values, 1, size), lambda x: (x > median).cast("long"))
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: F.shiftleft(a, 1).bitwiseOR(b))
 
+    def word(at: int, m: Column) -> Column:
+        bits = F.transform(F.slice(values, at + 1, min(WORD, size - at)), lambda x: (x > m).cast("long"))
+        return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: F.shiftleft(a, 1).bitwiseOR(b))
+
+    words = let(median, lambda m: F.array(*(word(at, m) for at in range(0, size, WORD))))
+    return words if size > WORD else F.element_at(words, 1)
 
-def distance(a: Column, b: Column) -> Column:
-    """Bits in which two words, or arrays of words, differ."""
-    return F.bit_count(a.bitwiseXOR(b)).cast("int")
+
+def distance(a: Column, b: Column, width: int = WORD) -> Column:
+    """Bits in which two words, or for a width over 64 two arrays of words, differ."""
+    words = [(a, b)] if width <= WORD else [(F.get(a, F.lit(i)), F.get(b, F.lit(i))) for i in range(-(-width // WORD))]
+    return sum((F.bit_count(x.bitwiseXOR(y)) for x, y in words[1:]), F.bit_count(words[0][0].bitwiseXOR(words[0][1]))).cast("int")
 
 
 def similarity(bits: Column, width: int = WORD) -> Column:
     return 1 - bits / width
 
 
+def _masks(most: int, width: int) -> list[tuple[int, int]]:
+    """(word, bits of it) of most + 1 blocks, of which two hashes that near have one alike.
+
+    Words share the blocks out, so that none lies across two. With fewer bits than blocks
+    there is one block of no bits, which all have alike.
+    """
+    words = -(-width // WORD)
+    if most + 1 > width:
+        return [(0, 0)]
+    out = []
+    for w in range(words):
+        size, n = min(WORD, width - w * WORD), (most + 1) * (w + 1) // words - (most + 1) * w // words
+        edges = [i * size // n for i in range(n + 1)] if n else []
+        out += [(w, ((1 << b) - 1) ^ ((1 << a) - 1)) for a, b in zip(edges, edges[1:])]
+    return [(w, m - (1 << WORD) if m >> (WORD - 1) else m) for w, m in out]
+
+
+def _masks_column(most: int, width: int) -> Column:
+    return F.array(*(F.struct(F.lit(w).alias("w"), F.lit(m).cast("long").alias("m")) for w, m in _masks(most, width)))
+
+
+def _word(value: Column, at: Column, width: int) -> Column:
+    return value if width <= WORD else F.get(value, at)
+
+
 def _blocks(hashed: DataFrame, most: int, width: int) -> DataFrame:
-    """hashed (id, hash), once for each of most + 1 blocks of bits: block and bits."""
-    edges = [i * width // (most + 1) for i in range(most + 2)]
-    blocks = [F.struct(F.lit(i).alias("block"), (F.shiftrightunsigned("hash", a).bitwiseAND((1 << (b - a)) - 1) if b - a < WORD else F.col("hash")).alias("bits")) for i, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
-    return hashed.select("id", "hash", F.explode(F.array(*blocks)).alias("k")).select("id", "hash", "k.*")
+    """hashed (id, hash), once for each block: block and bits, those of the hash in it."""
+    blocks = F.transform(_masks_column(most, width), lambda k, i: F.struct(i.alias("block"), _word(F.col("hash"), k["w"], width).bitwiseAND(k["m"]).alias("bits")))
+    return hashed.select("id", "hash", F.explode(blocks).alias("k")).select("id", "hash", "k.*")
+
+
+def _near(left: DataFrame, right: DataFrame, most: int, width: int) -> DataFrame:
+    """Rows of left (id, hash) beside those of right (id, hash), `most` bits apart at most, once.
+
+    They meet by block. Blocks of bits that many share are dealt out: left's rows in parts,
+    each beside all of right's. A pair counts in the first block only that it has alike.
+    """
+    left, right = _blocks(left, most, width), _blocks(right, most, width)
+    counts = left.groupBy("block", "bits").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    left = left.join(counts, ["block", "bits"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+    right = right.join(counts, ["block", "bits"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    # A number that is asked for is not made less: the rows are few, but the pairs are not.
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["block", "bits", "part"]
+    left = left.select(*keys, F.col("id").alias("a"), F.col("hash").alias("ha")).repartition(n, *keys)
+    right = right.select(*keys, F.col("id").alias("b"), F.col("hash").alias("hb")).repartition(n, *keys)
+    apart = distance(F.col("ha"), F.col("hb"), width)
+    earlier = F.slice(_masks_column(most, width), F.lit(1), F.col("block"))
+    first = ~F.exists(earlier, lambda k: _word(F.col("ha"), k["w"], width).bitwiseXOR(_word(F.col("hb"), k["w"], width)).bitwiseAND(k["m"]) == 0)
+    return left.join(right, keys).where(apart <= most).where(first).select("a", "ha", "b", "hb", apart.alias("bits"))
 
 
 def pairs(signed: DataFrame, most: int, width: int = WORD) -> DataFrame:
     """signed (id, hash) -> a < b and the bits in which they differ, `most` at most.
 
-    Exact: of most + 1 blocks of bits, two such hashes have one alike. Rows meet by block
-    only; rows with the very same hash are one class, so that copies make no pairs beyond
-    those with their class's smallest id.
+    hash: a word, or for a width over 64 an array of words. Exact: of most + 1 blocks of
+    bits, two such hashes have one alike. Rows with the very same hash are one class, so that
+    copies make no pairs beyond those with their class's smallest id.
     """
     classes = signed.groupBy("hash").agg(F.min("id").alias("id"))
-    keyed = _blocks(classes, most, width)
-    left, right = keyed.select("block", "bits", F.col("id").alias("a"), F.col("hash").alias("ha")), keyed.select("block", "bits", F.col("id").alias("b"), F.col("hash").alias("hb"))
-    near = left.join(right, ["block", "bits"]).where((F.col("a") < F.col("b")) & (distance(F.col("ha"), F.col("hb")) <= most))
-    near = near.groupBy("a", "b").agg(F.min(distance(F.col("ha"), F.col("hb"))).alias("bits"))
+    near = _near(classes, classes, most, width).where("a < b").select("a", "b", "bits")
     same = signed.join(classes.withColumnRenamed("id", "a"), "hash").where("id != a").select("a", F.col("id").alias("b"), F.lit(0).alias("bits"))
     return near.unionByName(same)
 
@@ -62,13 +117,55 @@ def nearest_originals(signed: DataFrame, most: int, width: int = WORD) -> DataFr
     """
     originals = signed.where("is_original").groupBy("hash").agg(F.min("id").alias("id"))
     others = signed.where("NOT is_original")
-    left = _blocks(originals, most, width).select("block", "bits", F.col("id").alias("original"), F.col("hash").alias("ha"))
-    right = _blocks(others.groupBy("hash").agg(F.min("id").alias("id")), most, width).select("block", "bits", "hash")
-    bits = distance(F.col("ha"), F.col("hash"))
-    best = left.join(right, ["block", "bits"]).where(bits <= most).groupBy("hash").agg(F.min(F.struct(bits.alias("bits"), "original")).alias("best"))
+    found = _near(originals, others.groupBy("hash").agg(F.min("id").alias("id")), most, width)
+    best = found.groupBy(F.col("hb").alias("hash")).agg(F.min(F.struct("bits", F.col("a").alias("original"))).alias("best"))
     return others.join(best, "hash").select("id", "best.original", "best.bits")
 
 
+def verified(pairs_: DataFrame, items: DataFrame, score) -> DataFrame:
+    """pairs (a, b, bits) with the score of both items (id, and what it is taken from): a
+    shortlist's second step. Only items of the shortlist are read; score takes two structs.
+    """
+    ends = pairs_.select(F.col("a").alias("id")).union(pairs_.select("b")).distinct()
+    some = items.join(ends, "id", "left_semi")
+    left, right = (some.select(F.col("id").alias(end), F.struct("*").alias(f"_{end}")) for end in ("a", "b"))
+    both = pairs_.join(left, "a").join(right, "b")
+    return both.withColumn("score", score(F.col("_a"), F.col("_b"))).drop("_a", "_b")
+
+
+def surviving(pairs_: DataFrame, items: DataFrame) -> DataFrame:
+    """pairs (a, b) of items (id) that are both still there."""
+    ids = items.select("id").distinct()
+    return pairs_.join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi")
+
+
+def groups(members: DataFrame, parts: DataFrame, pairs_: DataFrame) -> DataFrame:
+    """members (id, path) in groups, by components (id, component) of pairs (a, b, score).
+
+    group: the component; place: 0, 1, ... by lower-case path; score: the best of its pairs.
+    Groups are in order of their smallest id, which is the component's.
+    """
+    rows = parts.join(members.select("id", "path"), "id").join(best_score(pairs_), "id")
+    place = F.row_number().over(W.partitionBy("component").orderBy(F.lower("path"), "id")) - 1
+    return rows.select(F.col("component").alias("group"), place.alias("place"), "id", "score")
+
+
+def original_groups(members: DataFrame, pairs_: DataFrame) -> DataFrame:
+    """members (id, path, is_original) around originals, by pairs (a, b, score, seq).
+
+    Each other item goes to its original of best score, the earliest pair of equals; of two
+    originals the second counts as the other. group: the original; place: 0 for it, then by
+    score and lower-case path.
+    """
+    mark = members.select(F.col("id").alias("a"), F.col("is_original").alias("_is"))
+    ends = pairs_.join(mark, "a").select(F.when(F.col("_is"), F.col("a")).otherwise(F.col("b")).alias("original"), F.when(F.col("_is"), F.col("b")).otherwise(F.col("a")).alias("id"), "score", "seq")
+    best = best_original(ends)
+    own = best.select(F.col("original").alias("id"), "original", F.lit(1.0).alias("score"), F.lit(True).alias("_first")).distinct()
+    rows = best.select("id", "original", "score", F.lit(False).alias("_first")).unionByName(own).join(members.select("id", F.lower("path").alias("_path")), "id")
+    place = F.row_number().over(W.partitionBy("original").orderBy(F.desc("_first"), F.desc("score"), "_path", "id")) - 1
+    return rows.select(F.col("original").alias("group"), place.alias("place"), "id", "score")
+
+
 def components(links: DataFrame, folder: str | None = None) -> DataFrame:
     """links (a, b) -> id, component: the smallest id reachable.
 
@@ -88,7 +185,7 @@ def components(links: DataFrame, folder: str | None = None) -> DataFrame:
 
     both = kept(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
     labels = kept(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("component")), "0")
-    for round_ in range(1, 1000):
+    for round_ in itertools.count(1):
         by = labels.select(F.col("id").alias("b"), F.col("component").alias("other"))
         moved = both.join(by, "b").groupBy(F.col("a").alias("id")).agg(F.min("other").alias("other"))
         moved = labels.join(moved, "id").select("id", F.least("component", "other").alias("next"), "component")

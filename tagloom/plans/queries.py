@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -259,10 +257,9 @@ dict AS (SELECT replace(lower(tag), ' ', '_') AS name, lower(tag) AS display_nam
 
 
 def _dict(spark, sf):
-    counts = cat.tag_counts(src.parts(spark, sf))
-    order = F.row_number().over(W.orderBy(F.lower("tag"), "tag"))
+    counts = cat.numbered(cat.tag_counts(src.parts(spark, sf)), [F.asc(F.lower("tag")), F.asc("tag")], "load_seq")
     low = F.lower("tag")
-    return counts.select(F.replace(low, F.lit(" "), F.lit("_")).alias("name"), low.alias("display_name"), (F.length("tag") % 5).alias("category"), F.col("n").alias("post_count"), F.array(F.upper("tag")).alias("aliases"), order.cast("long").alias("load_seq"))
+    return counts.select(F.replace(low, F.lit(" "), F.lit("_")).alias("name"), low.alias("display_name"), (F.length("tag") % 5).alias("category"), F.col("n").alias("post_count"), F.array(F.upper("tag")).alias("aliases"), F.col("load_seq").cast("long").alias("load_seq"))
 
 
 @query(f"""WITH {DICT}, s AS (SELECT * FROM dict WHERE contains(display_name, 'st') OR len(list_filter(aliases, lambda a: contains(lower(a), 'st'))) > 0 ORDER BY load_seq LIMIT 15),
@@ -296,9 +293,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY p DESC, k) AS n FR
 SELECT item, string_agg(tag, '|' ORDER BY n) AS tags FROM r WHERE n <= 3 GROUP BY item""")
 def tagger_top_tags(spark, sf):
     o = src.table(spark, sf, "orders")
-    rows = o.groupBy(F.col("o_custkey").alias("item")).agg(F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").alias("k"), F.concat("o_orderstatus", (F.col("o_orderkey") % 7).cast("string")).alias("tag"), ((F.col("o_orderkey") * 37 % 101) / 100.0).alias("p")))).alias("s"))
-    top = cat.top_tags(F.col("s"), 0.35, ["F0"], 3)
-    return rows.select("item", joined(top)).where("tags <> ''")
+    scores = o.select(F.col("o_custkey").alias("item"), F.col("o_orderkey").alias("k"), F.concat("o_orderstatus", (F.col("o_orderkey") % 7).cast("string")).alias("tag"), ((F.col("o_orderkey") * 37 % 101) / 100.0).alias("p"))
+    return cat.best_tags(scores, 0.35, ["F0"], 3).select("item", joined())
 
 
 # --- duplicates ------------------------------------------------------------------------
@@ -343,12 +339,7 @@ reach AS (SELECT a AS id, a AS other FROM both_ UNION SELECT reach.id, both_.b F
 SELECT id, min(other) AS component FROM reach GROUP BY id""")
 def duplicate_components(spark, sf):
     found = duplicates.pairs(_signed(spark, sf), 17).select("a", "b")
-    return duplicates.components(found, _folder(spark))
-
-
-def _folder(spark):
-    context = spark.sparkContext
-    return context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir() or tempfile.mkdtemp()
+    return duplicates.components(found)
 
 
 def _members(spark, sf):
@@ -409,11 +400,6 @@ def cluster_medoids(spark, sf):
     return clusters.medoids(_units(spark, sf), 64).withColumn("distance_sum", F.round("distance_sum", 6))
 
 
-@query(None)
-def cluster_spread(spark, sf):
-    return clusters.spread(_units(spark, sf), 64, 4)
-
-
 SIZES = "sizes AS (SELECT p_type AS cluster, count(*) AS n FROM part GROUP BY p_type), k AS (SELECT * FROM sizes WHERE n >= 3), m AS (SELECT median(n) AS median FROM k)"
 
 
@@ -462,7 +448,7 @@ _fields = ("cx", "cy", "w", "h")
 SELECT l_orderkey, l_linenumber, round((l + r) / 2 / 320, 6) AS ncx, round((t + u) / 2 / 240, 6) AS ncy, round((r - l) / 320, 6) AS nw, round((u - t) / 240, 6) AS nh FROM e WHERE r - l > 1.0000001 AND u - t > 1.0000001""")
 def labels_cropped(spark, sf):
     size, rect = (F.lit(640), F.lit(480)), (F.lit(100), F.lit(50), F.lit(320), F.lit(240))
-    out = _boxes(spark, sf).withColumn("c", geo.crop(*map(F.col, _fields), size, rect)).where("c IS NOT NULL").where("c.w * 320 > 1.0000001 AND c.h * 240 > 1.0000001")
+    out = _boxes(spark, sf).withColumn("c", geo.crop(*map(F.col, _fields), size, rect)).where("c IS NOT NULL")
     return out.select("l_orderkey", "l_linenumber", *(F.round(f"c.{f}", 6).alias(f"n{f}") for f in _fields))
 
 

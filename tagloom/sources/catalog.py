@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from tagloom.functions import geometry, tags
 
+#: Suffixes of image files.
 IMAGES = ("png", "jpg", "jpeg", "webp", "bmp", "gif", "tif", "tiff")
 
 
@@ -28,20 +29,91 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("item_id"), F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".png"))).alias("name"), tags.split_caption(F.col("text"), ",").alias("tags"))
 
 
-def scan_images(spark: SparkSession, *roots: str, skip: str | None = "-masklabel.png") -> DataFrame:
-    """path, size, mtime of image files below the roots, each file once, in order of path.
+#: What a use of a listing leaves out: masks beside images, any file with -mask in its name, or nothing.
+SKIPPED = {"masks": r"(?i)-masklabel\.png$", "any mask": r"(?i)-mask[^/]*$", "nothing": None}
 
-    Roots may nest; a file keeps the first root that has it.
+
+def path_key(path: Column) -> Column:
+    """A path as a key: without the scheme, with forward slashes, no doubled ones, and in lower case."""
+    return F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(path, "^file:(//)?", ""), r"\\", "/"), "/+", "/"))
+
+
+def scan_images(spark: SparkSession, *roots: str, skip: str = "masks", originals: tuple[str, ...] = ()) -> DataFrame:
+    """path, relative_path, size, mtime, is_original, root, width, height of image files below
+    the roots, each file once, in order of the lower-case relative path.
+
+    Roots may nest; a file keeps the first root that has it, and is an original if any of its
+    roots is among `originals`. relative_path is null if no file is in a folder below its root.
+    Width and height are read from the file's head, and 0 where that tells none.
     """
     found = None
     for seq, root in enumerate(roots):
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.lit(seq).alias("root"))
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+        below = F.regexp_replace(F.regexp_replace("path", "^file:(//)?", ""), "^\\Q" + root.rstrip("/").removeprefix("file://").removeprefix("file:") + "\\E/", "")
+        files = files.select("path", below.alias("relative_path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.lit(seq).alias("root"), F.lit(root in originals).alias("is_original"), F.substring("content", 1, HEAD).alias("head"))
         found = files if found is None else found.unionByName(files)
-    suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    found = found.where(suffix.isin(*IMAGES))
-    if skip:
-        found = found.where(~F.endswith(F.lower("path"), F.lit(skip)))
-    return found.groupBy("path").agg(F.min("root").alias("root"), F.first("size").alias("size"), F.first("mtime").alias("mtime"))
+    found = found.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*IMAGES))
+    if SKIPPED[skip]:
+        found = found.where(~F.col("path").rlike(SKIPPED[skip]))
+    first = F.min_by(F.struct("path", "relative_path", "size", "mtime", "root", "head"), "root").alias("f")
+    once = found.groupBy(path_key(F.col("path")).alias("key")).agg(first, F.bool_or("is_original").alias("is_original")).select("f.*", "is_original")
+    nested = once.agg(F.coalesce(F.bool_or(F.contains("relative_path", F.lit("/"))), F.lit(False)).alias("_nested"))
+    rows = once.crossJoin(F.broadcast(nested)).withColumn("_size", image_size(F.col("head"))).orderBy(F.lower("relative_path"), "path")
+    return rows.select("path", F.when(F.col("_nested"), F.col("relative_path")).alias("relative_path"), "size", "mtime", "is_original", "root", "_size.width", "_size.height")
+
+
+#: Bytes of a file in which its size is looked for.
+HEAD = 1 << 16
+
+
+def image_size(head: Column) -> Column:
+    """Width and height from the first bytes of PNG, GIF and BMP files, 0 for others."""
+    at = lambda first, n: F.conv(F.hex(F.substring(head, first, n)), 16, 10).cast("int")
+    little = lambda first, n: sum((at(first + i, 1) * 256**i for i in range(1, n)), at(first, 1))
+    start = lambda n: F.hex(F.substring(head, 1, n))
+    sizes = ((start(8) == "89504E470D0A1A0A", at(17, 4), at(21, 4)), (start(4) == "47494638", little(7, 2), little(9, 2)), (start(2) == "424D", little(19, 4), F.abs(little(23, 4))))
+    width, height = F.lit(0), F.lit(0)
+    for is_one, w, h in sizes:
+        width, height = F.when(is_one, F.coalesce(w, F.lit(0))).otherwise(width), F.when(is_one, F.coalesce(h, F.lit(0))).otherwise(height)
+    return F.struct(width.alias("width"), height.alias("height"))
+
+
+def png_texts(files: DataFrame) -> DataFrame:
+    """files (path, content) -> path, texts: a map of the text chunks of PNG files, empty for others.
+
+    Plain, compressed and international chunks; of a key that repeats the last counts.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        kind = pa.map_(pa.string(), pa.string())
+        for batch in batches:
+            maps = [list(dict(_text_chunks(c or b"")).items()) for c in batch.column("content").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(maps, kind)], names=["path", "texts"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, texts map<string,string>")
+
+
+def _text_chunks(data: bytes):
+    """(key, text) of each text chunk; a damaged file gives those before the damage."""
+    import zlib
+
+    at = 8 if data[:8] == b"\x89PNG\r\n\x1a\n" else len(data)
+    while at + 12 <= len(data):
+        size, kind = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8]
+        body, at = data[at + 8 : at + 8 + size], at + 12 + size
+        key, zero, rest = body.partition(b"\0")
+        try:
+            if kind == b"tEXt" and zero:
+                yield key.decode("latin-1"), rest.decode("latin-1")
+            elif kind == b"zTXt" and zero:
+                yield key.decode("latin-1"), zlib.decompress(rest[1:]).decode("latin-1")
+            elif kind == b"iTXt" and zero:
+                text = rest[2:].split(b"\0", 2)[2]  # after the language and the translated key
+                yield key.decode("latin-1"), (zlib.decompress(text) if rest[0] else text).decode()
+        except (zlib.error, UnicodeDecodeError, IndexError):
+            continue
 
 
 def read_captions(spark: SparkSession, path: str, separator: str = ", ") -> DataFrame:
@@ -58,6 +130,68 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(stem.alias("stem"), geometry.parse_yolo(F.col("value")).alias("label")).where("label IS NOT NULL")
 
 
+def write_files(rows: DataFrame, path: str) -> None:
+    """rows (name, text): a text file of that name each below path; names are not escaped.
+
+    Spark's writers name files by task, so each task puts its rows' files in place itself, by way
+    of the folder's own file system; a task that is run again writes the same files once more.
+    path is a folder that all executors share and can open as a local path.
+    """
+    import os
+
+    folder = path.removeprefix("file://").removeprefix("file:")
+
+    def put(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for name, text in zip(batch.column("name").to_pylist(), batch.column("text").to_pylist()):
+                target = os.path.join(folder, name)
+                os.makedirs(os.path.dirname(target), exist_ok=True)
+                part = f"{target}.{os.getpid()}.tmp"
+                with open(part, "w", encoding="utf-8", newline="") as out:
+                    out.write(text or "")
+                os.replace(part, target)
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows])})
+
+    rows.select("name", "text").mapInArrow(put, "n long").agg(F.sum("n")).collect()
+
+
+def write_captions(items: DataFrame, path: str, separator: str = ", ") -> None:
+    """items (name, tags): a caption file each, beside the image: <name without suffix>.txt."""
+    name = F.concat(F.regexp_replace("name", r"\.[^./]*$", ""), F.lit(".txt"))
+    write_files(items.select(name.alias("name"), tags.join_caption(F.col("tags"), separator).alias("text")), path)
+
+
+def write_labels(items: DataFrame, path: str, form: str | None = None) -> None:
+    """items (name, labels): a label file each, of each label's own form, or all of one form."""
+    name = F.concat(F.regexp_replace("name", r"\.[^./]*$", ""), F.lit(".txt"))
+    write_files(items.select(name.alias("name"), geometry.label_lines(F.col("labels"), form).alias("text")), path)
+
+
+def export_dataset(items: DataFrame, classes: DataFrame, path: str, form: str, include_unlabeled: bool = False) -> DataFrame:
+    """Writes labels/<stem>.txt of items (path, labels) and classes.txt of classes (class_id, name)
+    below path, and gives the images to copy: source, destination.
+
+    form: of all labels, as operators.catalog.label_format tells it from the classes.
+    """
+    rows = items if include_unlabeled else items.where(F.size("labels") > 0)
+    name = F.regexp_extract("path", "([^/]+)$", 1)
+    write_labels(rows.select(F.concat(F.lit("labels/"), name).alias("name"), "labels"), path, form)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("class_id", "name"))), lambda c: F.concat(c["name"], F.lit("\n")))  # as many as a user names classes
+    write_files(classes.agg(F.array_join(lines, "").alias("text")).withColumn("name", F.lit("classes.txt")), path)
+    return rows.select(F.col("path").alias("source"), F.concat(F.lit(path.rstrip("/") + "/images/"), name).alias("destination"))
+
+
+def cached_embeddings(files: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """files (path, size, mtime) beside their embedding in the cache (key, embedding), and those
+    that have none yet. An embedding with a number that is not finite counts as none."""
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    good = cache.where(finite).dropDuplicates(["key"])
+    keyed = files.withColumn("key", F.concat_ws("|", "path", F.col("size").cast("string"), F.col("mtime").cast("string")))
+    return keyed.join(good, "key"), keyed.join(good, "key", "left_anti")
+
+
 def _dictionary(rows: DataFrame, display) -> DataFrame:
     return rows.where(tags.strip(F.col("name")) != "").withColumn("display_name", display)
 
@@ -82,6 +216,35 @@ def dictionary_csv(spark: SparkSession, path: str) -> DataFrame:
     return _dictionary(rows, F.replace("name", F.lit("_"), F.lit(" ")))
 
 
+def with_custom(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """A dictionary with a user's own tags, lines (seq, value): of category 0 and never used, and
+    only where no entry has that display name; of equal lines the first counts."""
+    name = tags.strip(F.col("value"))
+    own = lines.select(name.alias("name"), F.col("seq").alias("_seq")).where("name != ''").withColumn("display_name", F.replace("name", F.lit("_"), F.lit(" ")))
+    own = own.groupBy(F.lower("display_name").alias("_key")).agg(F.min_by(F.struct("name", "display_name"), "_seq").alias("o"), F.min("_seq").alias("_seq"))
+    new = own.join(rows.select(F.lower("display_name").alias("_key")).distinct(), "_key", "left_anti")
+    after = rows.agg(F.coalesce(F.max("load_seq") + 1, F.lit(0)).alias("_after"))
+    new = new.crossJoin(F.broadcast(after)).select("o.*", F.lit(0).alias("category"), F.lit(0).cast("long").alias("post_count"), F.array().cast("array<string>").alias("aliases"), (F.col("_after") + F.col("_seq")).alias("load_seq"))
+    return rows.unionByName(new)
+
+
+def dictionary_folder(spark: SparkSession, folder: str, custom: str = "custom_tags.txt") -> DataFrame:
+    """All dictionaries in Parquet of a folder, in order of file name, then a user's own tags.
+
+    load_seq grows in the order of loading: by file, then by row.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(folder).select("path", "length")
+    names = sorted(r.path for r in files.select("path").collect())  # one a dictionary
+    rows = None
+    for k, path in enumerate(names):
+        one = dictionary(spark, path).withColumn("load_seq", F.monotonically_increasing_id() + (k << 48))
+        rows = one if rows is None else rows.unionByName(one)
+    if rows is None:
+        rows = spark.createDataFrame([], "name string, category int, post_count long, aliases array<string>, display_name string, load_seq long")
+    own = spark.read.text(folder, pathGlobFilter=custom).withColumn("seq", F.monotonically_increasing_id())
+    return with_custom(rows.select("name", "display_name", "category", "post_count", "aliases", "load_seq"), own)
+
+
 def first_by_name(rows: DataFrame, order: str, last: bool = False) -> DataFrame:
     """Of each display name, whatever its case, the first (or last) row."""
     by = W.partitionBy(F.lower("display_name")).orderBy(F.col(order).desc() if last else F.col(order).asc())
