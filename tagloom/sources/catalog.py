@@ -68,14 +68,14 @@ HEAD = 1 << 16
 
 def image_size(head: Column) -> Column:
     """Width and height from the first bytes of PNG, GIF and BMP files, 0 for others."""
-    at = lambda first, n: F.conv(F.hex(F.substring(head, first, n)), 16, 10).cast("int")
+    at = lambda first, n: F.conv(F.hex(F.substring(head, first, n)), 16, 10).cast("long")
     little = lambda first, n: sum((at(first + i, 1) * 256**i for i in range(1, n)), at(first, 1))
     start = lambda n: F.hex(F.substring(head, 1, n))
-    sizes = ((start(8) == "89504E470D0A1A0A", at(17, 4), at(21, 4)), (start(4) == "47494638", little(7, 2), little(9, 2)), (start(2) == "424D", little(19, 4), F.abs(little(23, 4))))
+    sizes = ((start(8) == "89504E470D0A1A0A", at(17, 4), at(21, 4)), (start(4) == "47494638", little(7, 2), little(9, 2)), (start(2) == "424D", little(19, 4), F.least(little(23, 4), (1 << 32) - little(23, 4))))  # its height is negative in files from the top
     width, height = F.lit(0), F.lit(0)
     for is_one, w, h in sizes:
         width, height = F.when(is_one, F.coalesce(w, F.lit(0))).otherwise(width), F.when(is_one, F.coalesce(h, F.lit(0))).otherwise(height)
-    return F.struct(width.alias("width"), height.alias("height"))
+    return F.struct(width.cast("int").alias("width"), height.cast("int").alias("height"))
 
 
 def png_texts(files: DataFrame) -> DataFrame:
