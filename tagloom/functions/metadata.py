@@ -78,13 +78,15 @@ def graph_nodes(workflow: Column) -> Column:
     return F.transform(F.map_entries(nodes), lambda e: F.struct(e.key.alias("id"), e.value.class_type.alias("class_type"), e.value["_meta"]["title"].alias("title"), e.value["inputs"].alias("inputs")))
 
 
-def nodes_titled(workflow: Column, prefix: str) -> Column:
-    return F.filter(graph_nodes(workflow), lambda n: F.startswith(F.coalesce(n.title, F.lit("")), F.lit(prefix)))
+def nodes_titled(workflow: Column, prefix: str, exact: bool = False) -> Column:
+    """The nodes whose title begins with a prefix, whatever its case unless exact."""
+    read = (lambda c: c) if exact else F.lower
+    return F.filter(graph_nodes(workflow), lambda n: F.startswith(read(F.coalesce(n.title, F.lit(""))), F.lit(prefix if exact else prefix.lower())))
 
 
 def has_titled(workflow: Column, *prefixes: str) -> Column:
-    """Whether a workflow has a node for each of some title prefixes; null if it is no graph."""
+    """Whether a workflow has a node for each of some title prefixes, case and all; null if it is no graph."""
     out = F.lit(True)
     for prefix in prefixes:
-        out = out & (F.size(nodes_titled(workflow, prefix)) > 0)
+        out = out & (F.size(nodes_titled(workflow, prefix, exact=True)) > 0)
     return F.when(graph_nodes(workflow).isNotNull(), out)

@@ -46,11 +46,12 @@ def similarity(bits: Column, width: int = WORD) -> Column:
 def _masks(most: int, width: int) -> list[tuple[int, int]]:
     """(word, bits of it) of most + 1 blocks, of which two hashes that near have one alike.
 
-    Words share the blocks out, so that none lies across two. With fewer bits than blocks
-    there is one block of no bits, which all have alike.
+    Words share the blocks out, so that none lies across two. Where so many bits may differ
+    that two hashes by chance have a block alike anyhow, no index spares comparisons, and there
+    is one block of no bits, which all have alike.
     """
     words = -(-width // WORD)
-    if most + 1 > width:
+    if (most + 1) * 2.0 ** -(width / (most + 1)) >= 1:
         return [(0, 0)]
     out = []
     for w in range(words):
