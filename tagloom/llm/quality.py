@@ -1,7 +1,8 @@
 """Quality rules: counts over a text, and divergence from what a language looks like.
 
 All is DataFrame functions in one pass over the texts: counts, repeated lines, repeated
-8-word windows, a histogram of character classes and one of common words. The histograms
+8-word windows, a histogram of character classes and one of common words, which are those
+of each language of the corpus. The histograms
 of all rows of a language that pass the counts add up to its reference. A row is kept if
 its Jensen-Shannon distances to its language's reference, or else to some other's, stay
 under a bound; texts too short to tell pass, and so do languages with too few rows.
@@ -9,31 +10,28 @@ under a bound; texts too short to tell pass, and so do languages with too few ro
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from . import common
 
-#: Frequent function words, by language, most frequent first.
-COMMON_WORDS = """
-the of and to a in is that it for on with as was are be this by from or
-der die und den von zu das sich mit des ist im nicht ein eine auf dem
-de la que el en y del los se las no un por con una su para es
-le et les une du pour dans est au qui par sur il pas
-""".split()
-WORDS = list(dict.fromkeys(COMMON_WORDS))
-#: A character for each common word, in which a text's common words are written for counting.
-_MARKS = [chr(0x4E00 + i) for i in range(len(WORDS))]
+#: Common words: those with a share of their language's words of COMMON_SHARE at least, the first
+#: OF_LANGUAGE of each language, and WORDS of all languages together, by rank in theirs.
+COMMON_SHARE, OF_LANGUAGE, WORDS = 0.002, 24, 96
 CLASSES = ("lower", "upper", "digit", "symbol", "blank", "wide", "other")
 
 WINDOW = 8
 LEAST_WORDS = 20
 MOST_REPEATED = 30
-#: Bounds of the distances, from 0 to 1, and the least lengths at which they are applied.
+#: Bounds of the distances, from 0 to 1, and the least lengths at which they are applied. That of
+#: words grows for short texts, by the distance that chance alone gives a text of their length.
 MOST_CLASS_DISTANCE = 0.33
-MOST_WORD_DISTANCE = 0.32
+MOST_WORD_DISTANCE, CHANCE = 0.32, 0.2
 LEAST_CLASS_CHARS = 200
-LEAST_COMMON_WORDS = 200
+LEAST_COMMON_WORDS = 20
 #: Passing rows of a language from which on its reference is evidence to reject by.
 LEAST_REFERENCE_ROWS = 20
 
@@ -66,20 +64,40 @@ def covered_words(hashes: Column) -> Column:
     return F.aggregate(places, zero, step, lambda acc: acc.n.cast("long"))
 
 
-def features(docs: DataFrame) -> DataFrame:
+def common_words(docs: DataFrame) -> list[str]:
+    """The common words of all languages, in lower case, counted over all rows: WORDS at most.
+
+    A language has few words of COMMON_SHARE and more, so that only these are ranked. Rows
+    without a language count as one of their own.
+    """
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang")
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(f"({common.WORD})"))
+    counts = docs.select(lang, F.explode(words).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    counts = common.staged(counts, "words")
+    total = counts.groupBy(F.col("lang").alias("of")).agg(F.sum("n").alias("total"))
+    often = counts.join(total, F.col("lang").eqNullSafe(F.col("of"))).where(F.col("n") >= COMMON_SHARE * F.col("total"))
+    often = often.select("lang", "word", "n", "total", (F.col("n") / F.col("total")).alias("share"))
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("share"), "word"))
+    best = often.withColumn("rank", rank).where(F.col("rank") <= OF_LANGUAGE).groupBy("word").agg(F.min(F.struct("rank", (-F.col("total")).alias("t"))).alias("r"))
+    return [r.word for r in best.orderBy("r", "word").limit(WORDS).collect()]
+
+
+def features(docs: DataFrame, words: list[str]) -> DataFrame:
     """doc_id, lang, counts, and the two histograms as arrays of longs, for each row."""
-    words_list = F.array(*map(F.lit, WORDS))
-    marks = F.array(*map(F.lit, _MARKS))
+    # A character for each common word, in which a text's common words are written for counting.
+    letters = [chr(0x4E00 + i) for i in range(len(words))]
+    words_list = F.array(*map(F.lit, words)).cast("array<string>")
+    marks = F.array(*map(F.lit, letters)).cast("array<string>")
     d = docs.select("doc_id", F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang"), F.coalesce("text", F.lit("")).alias("t"))
     d = d.select("doc_id", "lang", "t", F.regexp_extract_all("t", F.lit(f"({common.WORD})")).alias("w"), _without("t", common.SPACE).alias("t1"))
     d = d.withColumns({"t2": _without("t1", "[a-z]+"), "n": F.size("w"), "lines": F.filter(F.split("t", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))})
-    d = d.withColumns({"t3": _without("t2", "[A-Z]+"), "hashes": window_hashes(F.col("w"), F.col("n")), "known": F.filter(F.transform("w", lambda w: F.lower(w)), lambda w: w.isin(WORDS))})
+    d = d.withColumns({"t3": _without("t2", "[A-Z]+"), "hashes": window_hashes(F.col("w"), F.col("n")), "known": F.filter(F.transform("w", lambda w: F.lower(w)), lambda w: w.isin(words))})
     d = d.withColumns({"t4": _without("t3", "[#*$%&|<>]+"), "marks": F.array_join(F.transform("known", lambda w: F.element_at(marks, F.array_position(words_list, w).cast("int"))), "")})
     d = d.withColumns({"t5": _without("t4", "[0-9]+"), "repeats": F.size(F.array_distinct("hashes")) < F.size("hashes")})
     size = lambda c: F.length(c).cast("long")
     wide = size(_without("t5", "[\\x00-\\x7F]+"))
     classes = [size("t1") - size("t2"), size("t2") - size("t3"), size("t4") - size("t5"), size("t3") - size("t4"), size("t") - size("t1"), wide, size("t5") - wide]
-    counts = [size("marks") - size(F.replace("marks", F.lit(m), F.lit(""))) for m in _MARKS]
+    counts = [size("marks") - size(F.replace("marks", F.lit(m), F.lit(""))) for m in letters]
     return d.select(
         "doc_id",
         "lang",
@@ -108,15 +126,24 @@ def shares(hist: Column) -> Column:
     return common.let(total, lambda n: F.transform(hist, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0))))
 
 
-def references(found: DataFrame) -> DataFrame:
+def references(found: DataFrame, size: int) -> DataFrame:
     """lang, its rows, those that pass the counts, and over these the shares of classes and
     of common words (ref_c, ref_w), for each language that has any."""
     passed = ~F.col("base_failed")
     sums = lambda c, n: F.array(*(F.sum(F.when(passed, F.col(c)[i])) for i in range(n))).alias(c)
-    table = found.where(F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("lang_rows"), F.count_if(passed).alias("passing"), sums("class_hist", len(CLASSES)), sums("word_hist", len(WORDS) + 1))
+    table = found.where(F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("lang_rows"), F.count_if(passed).alias("passing"), sums("class_hist", len(CLASSES)), sums("word_hist", size))
     return table.where("passing > 0").select("lang", "lang_rows", "passing", shares(F.col("class_hist")).alias("ref_c"), shares(F.col("word_hist")).alias("ref_w"))
 
 
+def word_bound(n: Column) -> Column:
+    """The distance of common words from which on a text of n words is odd.
+
+    A sample of n words from a language lies about sqrt(cells / (8 * n * ln 2)) from it, where
+    cells are the language's common words and the rest.
+    """
+    return F.greatest(F.lit(MOST_WORD_DISTANCE), CHANCE + F.sqrt((OF_LANGUAGE + 1) / (8 * math.log(2) * F.greatest(n, F.lit(1)))))
+
+
 def judge(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, and lang if there is one) -> counts, base_failed, kept, distances.
 
@@ -125,17 +152,18 @@ def judge(docs: DataFrame) -> DataFrame:
     LEAST_REFERENCE_ROWS the counts decide; a row without a language is judged by the
     nearest reference of the others, if there is one. Other columns are ignored.
     """
-    found = features(docs)
+    words = common_words(docs)
+    found = features(docs, words)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     found = common.staged(found.withColumn("base_failed", failed), "features")
-    table = common.staged(references(found), "references")
+    table = common.staged(references(found, len(words) + 1), "references")
     total = table.agg(F.coalesce(F.sum("lang_rows"), F.lit(0))).first()[0]
     named = common.lookup(found.where(F.col("lang").isNotNull()), table, "lang", "lang_rows", total, "left")
     scored = named.unionByName(found.where(F.col("lang").isNull()), allowMissingColumns=True)
     scored = scored.withColumns({"_c": shares(F.col("class_hist")), "_w": shares(F.col("word_hist"))})
     enough = F.col("passing") >= LEAST_REFERENCE_ROWS
     chars = F.aggregate("class_hist", F.lit(0).cast("long"), lambda s, x: s + x)
-    odd = lambda d: ((chars >= LEAST_CLASS_CHARS) & (d.c > MOST_CLASS_DISTANCE)) | ((F.col("n_words") >= LEAST_COMMON_WORDS) & (d.w > MOST_WORD_DISTANCE))
+    odd = lambda d: ((chars >= LEAST_CLASS_CHARS) & (d.c > MOST_CLASS_DISTANCE)) | ((F.col("n_words") >= LEAST_COMMON_WORDS) & (d.w > word_bound(F.col("n_words"))))
     apart = lambda rc, rw: common.let(F.struct(distance(F.col("_c"), rc).alias("c"), distance(F.col("_w"), rw).alias("w")), lambda d: F.struct((d.c + d.w).alias("s"), d.c.alias("c"), d.w.alias("w")))
     # The nearest language is the one of the least sum of both distances.
     scored = scored.crossJoin(F.broadcast(table.where(enough).agg(F.collect_list(F.struct("ref_c", "ref_w")).alias("_every"))))

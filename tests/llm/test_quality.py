@@ -77,3 +77,52 @@ def test_good_documents_stay_in_a_small_corpus(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     good = {r.doc_id for r in spark.read.parquet("/root/testdata/sf0.001/labels.parquet").where("quality = 1").collect()}
     assert all(r.kept or r.base_failed for r in quality.judge(docs).collect() if r.doc_id in good)
+
+
+def test_verdicts_by_brute_force(spark):
+    """References, distances and verdicts worked out anew for every document."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("lang", F.when(F.col("doc_id") % 11 != 0, F.col("lang")))
+    rows = {r.doc_id: (r.text, r.lang) for r in docs.collect()}
+    classes = lambda c: 0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3 if c in "#*$%&|<>" else 4 if c in " \t\n\x0b\x0c\r" else 5 if ord(c) > 127 else 6
+    tally, sums = Counter(), Counter()
+    for text, lang in rows.values():
+        for w in re.findall(r"[^\x20\x09-\x0D]+", text.lower()):
+            tally[lang, w] += 1
+            sums[lang] += 1
+    best = {}
+    for lang in sums:
+        often = sorted((-n / sums[lang], w) for (x, w), n in tally.items() if x == lang and n >= quality.COMMON_SHARE * sums[lang])
+        for rank, (_, w) in enumerate(often[: quality.OF_LANGUAGE]):
+            best[w] = min(best.get(w, (999, 0)), (rank, -sums[lang]))
+    common = sorted(best, key=lambda w: (best[w], w))[: quality.WORDS]
+    assert quality.common_words(docs) == common and {"the", "und", "de"} <= set(common)
+    hists = {}
+    for d, (text, _) in rows.items():
+        of = Counter(map(classes, text))
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        known = Counter(w.lower() for w in words if w.lower() in common)
+        hists[d] = [of[i] for i in range(7)], [known[w] for w in common] + [len(words) - sum(known.values())], len(words), base(text)[5]
+    share = lambda h: [x / sum(h) if sum(h) else 0 for x in h]
+
+    def apart(p, q):
+        kl = lambda x: sum(a * math.log2(2 * a / (a + b)) for a, b in zip(x, q if x is p else p) if a)
+        return math.sqrt(max(0, (kl(p) + kl(q)) / 2))
+
+    refs = {}
+    for lang in {x for _, x in rows.values()} - {None}:
+        mine = [hists[d] for d, (_, x) in rows.items() if x == lang and not hists[d][3]]
+        if len(mine) >= quality.LEAST_REFERENCE_ROWS:
+            refs[lang] = [share([sum(c) for c in zip(*(h[k] for h in mine))]) for k in (0, 1)]
+    assert len(refs) >= 3
+    odd = lambda h, c, w: (sum(h[0]) >= quality.LEAST_CLASS_CHARS and c > quality.MOST_CLASS_DISTANCE) or (h[2] >= quality.LEAST_COMMON_WORDS and w > max(quality.MOST_WORD_DISTANCE, quality.CHANCE + math.sqrt((quality.OF_LANGUAGE + 1) / (8 * math.log(2) * h[2]))))
+    rejected = 0
+    for r in quality.judge(docs).collect():
+        h, lang = hists[r.doc_id], rows[r.doc_id][1]
+        to = lambda ref: tuple(apart(share(h[k]), ref[k]) for k in (0, 1))
+        near = to(refs[lang]) if lang in refs else None
+        if (lang is None or lang in refs) and (near is None or odd(h, *near)):
+            near = min((sum(to(ref)), *to(ref)) for ref in refs.values())[1:]
+        judged = near is not None
+        assert r.kept == (not h[3] and not (judged and odd(h, *near))), r.doc_id
+        rejected += not r.kept and not h[3]
+    assert rejected > 5
