@@ -44,3 +44,19 @@ def test_files_are_archives(spark, tmp_path):
     assert all(f["WARC-Record-ID"].startswith("<urn:uuid:") and "\n" not in f.get("WARC-Target-URI", "") for f, _ in records)
     ids = {f["WARC-Record-ID"] for f, _ in records if f["WARC-Type"] == "response"}
     assert all(f["WARC-Refers-To"] in ids for f, _ in records if f["WARC-Type"] == "revisit")
+
+
+def test_archives_of_many_members_and_missing_responses(spark, tmp_path):
+    import gzip
+
+    warc.write(frame(spark, PAGES), f"{tmp_path}/out", file_records=1)
+    parts = sorted(p.read_bytes() for p in (tmp_path / "out").glob("part-*"))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/part-0.warc.gz").write_bytes(b"".join(gzip.compress(p) for p in parts))
+    assert sorted(map(tuple, warc.resolved(warc.read(spark, f"{tmp_path}/in")).collect()), key=str) == brute(PAGES)
+    (tmp_path / "some").mkdir()
+    (tmp_path / "some/part-0.warc.gz").write_bytes(b"".join(gzip.compress(p) for p in parts if b"Page-Id: 5\r\n" not in p))
+    left = {r.page_id: r for r in warc.resolved(warc.read(spark, f"{tmp_path}/some")).collect()}
+    digest = hashlib.sha1(BIG.encode()).hexdigest()
+    assert set(left) == {p[0] for p in PAGES} - {5}
+    assert (left[1].record_type, left[1].refers_to, left[1].payload_bytes, left[1].payload_digest) == ("revisit", None, None, digest)
