@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Distinct pre-tokens whose ids a task keeps; beyond that it starts anew.
-STORE = 400_000
+#: Distinct pre-tokens whose ids a task keeps; beyond that it starts anew, and for those that it
+#: lacks looks into the last such store.
+STORE = 120_000
 #: Pre-tokens over this many bytes are encoded without being kept.
 LONG = 256
 #: Characters of a text whose pre-tokens a task holds at once.
@@ -88,7 +89,9 @@ class Coder:
         self.ranks = ranks
         self.tokens = [t for t, _ in sorted(ranks.items(), key=lambda x: x[1])]
         self.to_characters = dict(enumerate(byte_characters()))
+        # Two stores, so that what is met often outlives the change of them.
         self.store: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _encoded(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids as little-endian 32-bit integers."""
@@ -112,14 +115,19 @@ class Coder:
         return b"".join(iter(lambda: self._ids(list(islice(found, WHOLE // 4))), b""))
 
     def _ids(self, pieces: list[str]) -> bytes:
-        new = set(pieces).difference(self.store)
+        store = self.store
+        new = set(pieces).difference(store)
         if not new:
-            return b"".join(map(self.store.__getitem__, pieces))
-        found = self._encoded(list(new))
-        use = {p: self.store[p] for p in set(pieces) if p in self.store} | found
-        if len(self.store) + len(found) > STORE:
-            self.store = {}
-        self.store.update((p, ids) for p, ids in found.items() if len(p) <= LONG)
+            return b"".join(map(store.__getitem__, pieces))
+        again = {p: self.older[p] for p in new if p in self.older}
+        found = again | self._encoded([p for p in new if p not in again])
+        kept = {p: ids for p, ids in found.items() if len(p) <= LONG}
+        if len(store) + len(kept) > STORE:
+            use = {p: store[p] for p in set(pieces) if p in store} | found
+            self.older, self.store = store, kept
+        else:
+            store.update(kept)
+            use = store if len(kept) == len(found) else store | found
         return b"".join(map(use.__getitem__, pieces))
 
     def decode(self, ids: bytes) -> bytes:
@@ -155,7 +163,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 ids = [mine.encode(t or "") for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary()), pa.array([mine.decode(i) for i in ids], pa.binary())], names=["doc_id", "ids", "decoded"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary, decoded binary")
+    return common.mapped(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, ids binary, decoded binary")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, ids: bool = False) -> DataFrame:
@@ -181,4 +189,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str, ids: bool = False) -> D
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows), columns.values()))], names=["doc_id", *columns])
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * ids
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return common.mapped(docs.select(F.col("doc_id").cast("long"), "text"), run, schema)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import time
 import uuid
 
 import numpy as np
@@ -123,10 +124,40 @@ def held(key: str, build):
     return _held[key]
 
 
+def task(run):
+    """run, a function of batches, that frees memory when the task's batches are over, but for
+    tasks that follow each other within a few seconds."""
+
+    def whole(batches):
+        yield from run(batches)
+        if time.monotonic() - _last["freed"] > 3:
+            freed()
+
+    return whole
+
+
+_last = {"freed": 0.0}
+
+
+#: Rows and bytes of a batch that Spark hands to a Python task, where the session has its defaults:
+#: these, 10000 rows and 64 MB, take several times as much beside the heap, for each task.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4m")}
+
+
+def mapped(rows: DataFrame, run, schema) -> DataFrame:
+    """rows.mapInArrow with small batches, and memory freed after each task."""
+    conf = rows.sparkSession.conf
+    for key, (default, mine) in BATCH.items():
+        if conf.get(key, default) == default:
+            conf.set(key, mine)
+    return rows.mapInArrow(task(run), schema)
+
+
 def freed() -> None:
     """Gives memory that this worker has no more use for back to the machine."""
     import pyarrow as pa
 
+    _last["freed"] = time.monotonic()
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
@@ -222,7 +253,7 @@ def text_bytes(column, lower: bool = False) -> list[bytes]:
     return [(t.lower() if lower else t) if t else b"" for t in texts]
 
 
-def slices(batch, column: str, size: int = 1 << 22):
+def slices(batch, column: str, size: int = 1 << 21):
     """Parts of an Arrow batch with about `size` bytes of the column each, one row at least."""
     import pyarrow.compute as pc
 

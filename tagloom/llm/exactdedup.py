@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MEMTABLE_ROWS = 100_000
+MEMTABLE_ROWS = 50_000
 #: Hits of one digest that are compared in one place; more are dealt out by salt.
 SALT_ROWS = 512
 
@@ -90,7 +90,7 @@ class DigestIndex:
 
     def add(self, entries: DataFrame) -> None:
         """Flushes the memtables over (digest, doc_id, n_chars) as runs of level 0."""
-        rows = entries.select("digest", "doc_id", "n_chars").mapInArrow(memtables(self.memtable_rows), RUN)
+        rows = common.mapped(entries.select("digest", "doc_id", "n_chars"), memtables(self.memtable_rows), RUN)
         self.runs.append(self._write(rows, "runs"))
 
     def compact(self) -> DataFrame:

@@ -229,7 +229,7 @@ def _scored(rows: DataFrame, text_at: int, model: Model, whole: bool = True) ->
                 languages, scores = mine.predict(part.column(text_at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[:own], pa.array(languages, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
-    return numbered.mapInArrow(run, schema)
+    return common.mapped(numbered, run, schema)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

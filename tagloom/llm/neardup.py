@@ -130,7 +130,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                 arrays = [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_set_key(s) if len(s) else None for s in sets], pa.binary()), pa.array([r.tobytes() if len(s) else None for r, s in zip(low, sets)], pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "set_key", "registers"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, registers binary")
+    return common.mapped(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_shingles long, set_key binary, registers binary")
 
 
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -142,7 +142,7 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
                 sets = _sets(common.text_bytes(part.column("text"), lower=True), k)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "id long, shingles binary")
+    return common.mapped(docs.select(F.col("doc_id").cast("long"), "text"), run, "id long, shingles binary")
 
 
 def least_estimate(a, b, percent: int):
@@ -193,12 +193,12 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, perc
     n = pairs.count()
     both = common.salted(pairs, _named(classes, "a"), "a", "b", n)
     both = common.salted(both, _named(classes, "b"), "b", "a", n)
-    pairs = common.staged(both.mapInArrow(_similar(percent), PAIR), "similar")
+    pairs = common.staged(common.mapped(both, _similar(percent), PAIR), "similar")
     n = pairs.count()
     sets = _sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), k)
     both = common.salted(pairs, _named(sets, "a"), "a", "b", n)
     both = common.salted(both, _named(sets, "b"), "b", "a", n)
-    return both.mapInArrow(_linked(percent), PAIR)
+    return common.mapped(both, _linked(percent), PAIR)
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:

@@ -113,7 +113,7 @@ def counts(docs: DataFrame) -> DataFrame:
         yield from words.flush(last=True)
         yield from grams.flush(last=True)
 
-    part = docs.select("text").mapInArrow(run, "kind int, key long, n long")
+    part = common.mapped(docs.select("text"), run, "kind int, key long, n long")
     return part.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
@@ -313,14 +313,14 @@ def score(docs: DataFrame, train_docs: DataFrame | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(uid[owner]), pa.array(codes >> 8), pa.array((codes & 255).astype(np.int32)), pa.array(times)], names=["uid", "context", "symbol", "times"])
 
     words = table.where((F.col("kind") == WORDS) & (F.col("n") * FREQUENT < tokens)).select("key", "n")
-    found = rows.mapInArrow(rare, "uid long, key long, times int").join(words, "key", "left")
+    found = common.mapped(rows, rare, "uid long, key long, times int").join(words, "key", "left")
     log = F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1.0)
     zero = F.lit(0.0)
     found = found.select("uid", (F.col("times") == 0).cast("long").alias("copies"), log.alias("more"), F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0).cast("long").alias("more_known"), zero.alias("deep"))
-    met = rows.mapInArrow(deep, "uid long, context long, symbol int, times int").join(nodes, "context")
+    met = common.mapped(rows, deep, "uid long, context long, symbol int, times int").join(nodes, "context")
     met = met.select("uid", F.lit(0).cast("long").alias("copies"), zero.alias("more"), F.lit(0).cast("long").alias("more_known"), (F.col("times") * F.get("rare", F.col("symbol")).cast("double")).alias("deep"))
     found = found.unionByName(met).groupBy("uid").agg(*(F.sum(c).alias(c) for c in ("copies", "more", "more_known", "deep")))
-    out = rows.mapInArrow(summed, "doc_id long, uid long, n_tokens long, known long, base double, score double").join(found, "uid")
+    out = common.mapped(rows, summed, "doc_id long, uid long, n_tokens long, known long, base double, score double").join(found, "uid")
     return out.select(
         "doc_id",
         "n_tokens",

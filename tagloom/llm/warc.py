@@ -127,7 +127,7 @@ def read(spark, path: str) -> DataFrame:
     """The records of the archives below path; a response's payload is measured, a revisit has
     the digest of its header, and no size."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select("content").mapInArrow(_parsed, READ)
+    return common.mapped(files.select("content"), _parsed, READ)
 
 
 def resolved(records: DataFrame) -> DataFrame:
