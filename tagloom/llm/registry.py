@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import bpe, chat, exactdedup, langid, mixing, neardup, ppm, quality, secretscan, warc
+from . import bpe, chat, exactdedup, langid, mixing, neardup, packing, ppm, prefixtrie, quality, resampling, secretscan, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -148,9 +148,97 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir), k=2, percent=80)
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return resampling.resample(documents(spark, sf_dir), target).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+#: CRC-32 in SQL: the table of its 256 remainders, and the macro-like text for the checksum of a string.
+CRC_TABLE = """
+crc AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM range(256) AS r(i))"""
+CRC_OF = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(octet_length(encode({0}))),
+         lambda i: ('0x' || substr(hex(encode({0})), (2 * i + 1)::BIGINT, 2))::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"""
+
+OP11_SQL = rf"""
+WITH {CRC_TABLE},
+w AS (
+  SELECT doc_id, true AS mine, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+  UNION ALL
+  SELECT NULL, false, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+f AS (
+  SELECT doc_id, mine, unnest(words) AS word FROM w),
+v AS (
+  SELECT word, {CRC_OF.format("word")} % 10000 AS bucket FROM (SELECT DISTINCT word FROM f), crc),
+c AS (
+  SELECT bucket, count(*) FILTER (mine) AS s, count(*) FILTER (NOT mine) AS t FROM f JOIN v USING (word) GROUP BY bucket),
+g AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM c) + 10000)::DOUBLE
+         / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM c) + 10000)::DOUBLE)))::BIGINT AS gain FROM c),
+x AS (
+  SELECT doc_id, sum(gain)::BIGINT AS weight FROM f JOIN v USING (word) JOIN g USING (bucket) WHERE mine GROUP BY doc_id),
+d AS (
+  SELECT doc_id, len(words)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM w LEFT JOIN x USING (doc_id) WHERE mine),
+r AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM d WHERE n_features >= 20)
+SELECT d.doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank
+FROM d LEFT JOIN r USING (doc_id)
+"""
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = prefixtrie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return nodes.drop("position", "stop")
+
+
+OP12_SQL = f"""
+WITH {CRC_TABLE},
+o AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS idx
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+k AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base, {CRC_OF.format("conv_id::VARCHAR")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM o), crc),
+t AS (
+  SELECT k.conv_id, 0 AS part, o.idx, o.role, o.text FROM k JOIN o ON o.conv_id = k.base AND o.idx < k.h
+  UNION ALL
+  SELECT k.conv_id, 1, o.idx, o.role, o.text FROM k JOIN o ON o.conv_id = k.conv_id AND o.idx >= k.h),
+p AS (
+  SELECT conv_id, octet_length(encode(text)) AS bytes, row_number() OVER w AS depth,
+         string_agg(md5(length(role) || ':' || role || text), '') OVER w AS path
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY part, idx ROWS UNBOUNDED PRECEDING)
+  UNION ALL SELECT conv_id, 0, 0, '' FROM k),
+e AS (
+  SELECT conv_id, arg_max(path, depth) AS path FROM p GROUP BY conv_id),
+n AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes FROM p GROUP BY path, depth),
+c AS (
+  SELECT left(path, -32) AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+m AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN c USING (path)),
+s AS (
+  SELECT a.path, count(*) FILTER (b.n_children = 0) AS n_leaves, sum((b.n_convs - 1) * b.bytes)::BIGINT AS saved_tokens
+  FROM m AS a JOIN m AS b ON starts_with(b.path, a.path) GROUP BY a.path),
+h AS (
+  SELECT path, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM e GROUP BY path)
+SELECT m.conv_id, m.depth, u.conv_id AS parent_conv_id, m.n_convs, m.n_children, n_leaves, saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM m JOIN s USING (path) LEFT JOIN h USING (path) LEFT JOIN n AS u ON m.depth > 0 AND u.path = left(m.path, -32)
+"""
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.digests(packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_language_id": op1_language_id, "op2_byte_bpe": op2_byte_bpe, "op3_mix_sources": op3_mix_sources, "op4_warc_revisits": op4_warc_revisits, "op5_chat_format": op5_chat_format, "op6_quality_rules": op6_quality_rules, "op7_secret_scan": op7_secret_scan, "op8_lm_score": op8_lm_score, "op9_exact_dedup": op9_exact_dedup, "op10_near_dedup": op10_near_dedup, "pipeline": corpus_pipeline.run}
+    return {"op1_language_id": op1_language_id, "op2_byte_bpe": op2_byte_bpe, "op3_mix_sources": op3_mix_sources, "op4_warc_revisits": op4_warc_revisits, "op5_chat_format": op5_chat_format, "op6_quality_rules": op6_quality_rules, "op7_secret_scan": op7_secret_scan, "op8_lm_score": op8_lm_score, "op9_exact_dedup": op9_exact_dedup, "op10_near_dedup": op10_near_dedup, "op11_resampling": op11_resampling, "op12_prefix_trie": op12_prefix_trie, "op13_packing": op13_packing, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}) | {"op3_mix_sources": OP3_SQL, "op4_warc_revisits": OP4_SQL, "op5_chat_format": OP5_SQL, "op9_exact_dedup": OP9_SQL}
+    return ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}) | {"op3_mix_sources": OP3_SQL, "op4_warc_revisits": OP4_SQL, "op5_chat_format": OP5_SQL, "op9_exact_dedup": OP9_SQL, "op11_resampling": OP11_SQL, "op12_prefix_trie": OP12_SQL}
