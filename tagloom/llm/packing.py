@@ -12,7 +12,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import sys
+import struct
 import unicodedata
 from itertools import islice
 
@@ -29,28 +29,19 @@ WINDOW = 1024
 #: The id that ends a document.
 END = 0
 #: Pre-tokens whose ids a worker keeps; beyond that it starts anew and looks into the last such store.
-STORE = 200_000
+STORE = 150_000
 #: Characters over which a pre-token is not kept, and characters of a text that are cut at once.
-LONG, WHOLE = 64, 1 << 20
+LONG, WHOLE = 64, 1 << 18
 #: The cut of byte-level tokenizers into pre-tokens, where `_plain` holds.
 PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
 
-def _plain() -> re.Pattern:
-    """Finds characters whose class `re` may not tell as Unicode does: numbers that are no
+def _odd(character: str) -> bool:
+    """Whether `re` may not tell a character's class as Unicode does: numbers that are no
     digits, separators that only Python takes for space, and whatever was given its class
     after version 3.2, as libraries go by different versions."""
-    old = unicodedata.ucd_3_2_0.category
-    ranges, begin = [], None
-    for point in range(sys.maxunicode + 2):
-        kind = unicodedata.category(chr(point)) if point <= sys.maxunicode else ""
-        odd = bool(kind) and (kind != old(chr(point)) or kind in ("No", "Nl", "Cn", "Cs") or 0x1C <= point <= 0x1F)
-        if odd and begin is None:
-            begin = point
-        elif not odd and begin is not None:
-            ranges.append(f"{re.escape(chr(begin))}-{re.escape(chr(point - 1))}")
-            begin = None
-    return re.compile(f"[{''.join(ranges)}]")
+    kind = unicodedata.category(character)
+    return kind != unicodedata.ucd_3_2_0.category(character) or kind in ("No", "Nl", "Cn", "Cs") or "\x1c" <= character <= "\x1f"
 
 
 class Encoder:
@@ -70,7 +61,8 @@ class Encoder:
         cut = made.get("pre_tokenizer") or {}
         plain = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
         plain = plain and not made.get("normalizer") and made["model"].get("type") == "BPE" and all(t.get("special") for t in made.get("added_tokens") or [])
-        self.odd = _plain() if plain else None
+        self.plain = plain
+        self.known: set[str] = set()
         self.model = self.tokenizer.model
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.to_characters = dict(enumerate(byte_characters()))
@@ -79,18 +71,27 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Ids, little-endian, of self.kind."""
-        if self.odd is None or self.odd.search(text):
+        if not self.plain or self._has_odd(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
         if len(text) <= WHOLE:
             return self._ids(PLAIN.findall(text))
         found = (m.group() for m in PLAIN.finditer(text))
         return b"".join(iter(lambda: self._ids(list(islice(found, WHOLE // 4))), b""))
 
+    def _has_odd(self, text: str) -> bool:
+        """known holds the characters that were found not to be odd."""
+        new = set(text) - self.known
+        if any(map(_odd, new)):
+            return True
+        self.known |= new
+        return False
+
     def _one(self, piece: str) -> bytes:
         ids = self.older.get(piece)
         if ids is None:
             mapped = piece.encode().decode("latin-1").translate(self.to_characters)
-            ids = np.array([t.id for t in self.model.tokenize(mapped)], self.kind).tobytes()
+            found = [t.id for t in self.model.tokenize(mapped)]
+            ids = struct.pack(f"<{len(found)}{'H' if self.kind == '<u2' else 'I'}", *found)
         return ids
 
     def _ids(self, pieces: list[str]) -> bytes:
