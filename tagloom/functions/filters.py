@@ -11,8 +11,8 @@ from __future__ import annotations
 
 import operator
 import re
-from collections import deque
 from collections.abc import Callable
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column
@@ -47,43 +47,32 @@ def tokens(text: str, parentheses: bool = True) -> list[str]:
     return out
 
 
-def _any_of(rest: deque, term: Term) -> Column | None:
-    found = [_all_of(rest, term)]
-    while found[0] is not None and rest and rest[0].lower() == "or":
-        rest.popleft()
-        found.append(_all_of(rest, term))
-    found = [c for c in found if c is not None]
-    return reduce(operator.or_, found) if found else None
+@dataclass
+class _Level:
+    """What has been read since a parenthesis was opened: operands of `or`, of `and`, and how
+    many `not`s wait for their operand (None: none). An operand that is missing shuts the
+    row of `and`s: only `or`, or the parenthesis' end, goes on from there."""
 
+    either: list[Column] = field(default_factory=list)
+    every: list[Column] = field(default_factory=list)
+    nots: int | None = None
+    shut: bool = False
 
-def _all_of(rest: deque, term: Term) -> Column | None:
-    found = []
-    while rest and rest[0] != ")" and rest[0].lower() != "or":
-        if rest[0].lower() == "and":
-            rest.popleft()
-            continue
-        one = _one(rest, term)
-        if one is None:
-            break
-        found.append(one)
-    return reduce(operator.and_, found) if found else None
-
-
-def _one(rest: deque, term: Term) -> Column | None:
-    negated = False
-    while rest and rest[0].lower() == "not":
-        rest.popleft()
-        negated = not negated
-    if not rest:
-        return None
-    word = rest.popleft()
-    if word == "(":
-        found = _any_of(rest, term)
-        if rest and rest[0] == ")":
-            rest.popleft()
-    else:
-        found = _signed(word, term)
-    return ~found if negated and found is not None else found
+    def take(self, operand: Column | None) -> None:
+        if operand is None:
+            self.shut = True
+        else:
+            self.every.append(~operand if (self.nots or 0) % 2 else operand)
+        self.nots = None
+
+    def next_row(self) -> None:
+        if self.every:
+            self.either.append(reduce(operator.and_, self.every))
+        self.every, self.shut = [], False
+
+    def value(self) -> Column | None:
+        self.next_row()
+        return reduce(operator.or_, self.either) if self.either else None
 
 
 def _signed(word: str, term: Term) -> Column:
@@ -93,9 +82,43 @@ def _signed(word: str, term: Term) -> Column:
 def compiled(text: str, term: Term) -> Column:
     """The nested grammar: `or` binds least, then terms side by side, then `not`.
 
-    A closing parenthesis too many ends the expression. `not not` cancels out.
+    One pass over the words with a stack of open parentheses. Right after `not`, keywords
+    and a closing parenthesis are terms. A closing parenthesis too many ends the expression,
+    and so does an `or` that nothing stands before; inside parentheses these end the
+    parenthesis. `not not` cancels out.
     """
-    found = _any_of(deque(tokens(text.strip(" \t\n\r\f\v"))), term)
+    stack, words = [_Level()], tokens(text.strip(" \t\n\r\f\v"))
+
+    def close() -> None:
+        inner = stack.pop().value()
+        stack[-1].take(inner)
+
+    at = 0
+    while at < len(words):
+        level, word, low = stack[-1], words[at], words[at].lower()
+        if level.nots is None:
+            stray = low == "or" and not (level.either or level.every)
+            if word == ")" or stray or level.shut and low != "or":
+                if len(stack) == 1:
+                    break
+                close()
+                at += word == ")"  # any other word is read again, one level up
+                continue
+            if low in ("or", "and"):
+                if low == "or":
+                    level.next_row()
+                at += 1
+                continue
+        at += 1
+        if low == "not":
+            level.nots = (level.nots or 0) + 1
+        elif word == "(":
+            stack.append(_Level())
+        else:
+            level.take(_signed(word, term))
+    while len(stack) > 1:
+        close()
+    found = stack[0].value()
     return F.lit(True) if found is None else found
 
 
@@ -224,20 +247,30 @@ def labelled(text: str, name: Column, class_ids: Column, class_names: dict[int,
 # --- building expressions ----------------------------------------------------------------
 
 
+#: What a tag may not have to be written without quotes; a term in quotes has none of its own.
+_QUOTED = frozenset(" ()'\"")
+
+
 def tag_term(tag: str) -> str:
-    """A tag as a term, in quotes where it has blanks, parentheses or quotes."""
-    return 'tag:"' + tag.replace('"', "") + '"' if re.search(r"[ ()\"']", tag) else f"tag:{tag}"
+    """A tag as a term of an expression."""
+    bare = tag.replace('"', "")
+    return f"tag:{tag}" if _QUOTED.isdisjoint(tag) else f'tag:"{bare}"'
 
 
 def narrowed(current: str, wanted: list[str]) -> str:
-    """An expression that asks for the wanted tags as well; terms that it has are not repeated."""
-    have, current = tokens(current), current.strip()
-    new = [t for t in map(tag_term, wanted) if t not in have and t.replace('"', "") not in have]
-    if not new:
-        return current
-    if re.search(r"(?:^|\s)or(?:\s|$)", current, re.IGNORECASE):
-        current = f"({current})"
-    return " and ".join([current] * bool(current) + new)
+    """An expression that asks for the wanted tags as well, but for those that it has a term for.
+
+    The expression is read into its terms, so that an `or` inside quotes, as a part of a
+    term, is none, and a tag is found however it is quoted.
+    """
+    words = tokens(current)
+    asked = {_split(w)[1] for w in words if _split(w)[0] == "tag"}
+    terms = [tag_term(t) for t in wanted if t.replace('"', "") not in asked]
+    before = current.strip()
+    if terms and before:
+        alternatives = any(w.lower() == "or" for w in words)
+        terms.insert(0, f"({before})" if alternatives else before)
+    return " and ".join(terms) if terms else before
 
 
 def highlights(text: str, tag: Column) -> Column:

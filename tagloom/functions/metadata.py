@@ -7,23 +7,42 @@ from pyspark.sql import functions as F
 
 from tagloom.functions.tags import let, split_prompt, strip
 
-#: Braces inside braces up to this depth are one value; deeper ones, or such that never close,
-#: reach to the end.
-DEPTH = 8
-_BRACES = r"\{[^{}]*\}"
-for _ in range(DEPTH - 1):
-    _BRACES = rf"\{{(?:[^{{}}]|{_BRACES})*+\}}"
 #: A setting: a key, a colon, and a value in quotes, in braces, or up to where the next key begins.
-SETTING = r'(?s)[ ,]*([^:]*): *(?:"([^"]*)"?|(' + _BRACES + r"|\{.*)|(.*?)(?=,\s+[A-Za-z][A-Za-z0-9_ %]*?:\s|\z))"
+SETTING = r'(?s)[ ,]*([^:]*): *(?:"([^"]*)"?|(\{[^{}]*\}|\{.*)|(.*?)(?=,\s+[A-Za-z][A-Za-z0-9_ %]*?:\s|\z))'
+#: Delimiters, and noncharacters of Unicode that stand for them inside braces; no text has these.
+DELIMITERS, STAND_INS = '{}":,', "\ufdd0\ufdd1\ufdd2\ufdd3\ufdd4"
+
+
+def _shielded(line: Column) -> Column:
+    """A line of settings whose values in braces have stand-ins for the delimiters inside them.
+
+    A fold over the pieces between braces and quotes carries how deep in braces a piece is,
+    whether it is in quotes, and whether a value may begin behind it. Only a brace that
+    begins a value opens one; one that is never closed reaches to the end.
+    """
+    pieces = F.regexp_extract_all(line, F.lit(r'[{}"]|[^{}"]+'), F.lit(0))
+
+    def step(s: Column, piece: Column) -> Column:
+        inside, quote = s["depth"] > 0, piece == '"'
+        change = F.when(piece == "{", 1).when(piece == "}", -1).otherwise(0)
+        depth = F.when(inside, s["depth"] + change).when(s["begins"] & (piece == "{"), 1).otherwise(0)
+        quoted = ~inside & F.when(s["quoted"], ~quote).otherwise(s["begins"] & quote)
+        begins = (depth == 0) & ~quoted & piece.rlike(r": *\z")
+        written = F.when(inside & (depth > 0), F.translate(piece, DELIMITERS, STAND_INS)).otherwise(piece)
+        return F.struct(depth.alias("depth"), quoted.alias("quoted"), begins.alias("begins"), F.concat(s["out"], F.array(written)).alias("out"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("begins"), F.array().cast("array<string>").alias("out"))
+    return F.aggregate(pieces, start, step, lambda s: F.array_join(s["out"], ""))
 
 
 def settings_map(line: Column) -> Column:
     """The settings of a line; of a key that repeats the last value counts."""
     plain = lambda v: F.regexp_replace(v, r"^\s+|[, ]+$|\s+$", "")
+    line = _shielded(line)
 
     def entry(found: Column) -> Column:
         part = lambda i: F.regexp_extract(found, SETTING, i)
-        value = F.when(part(2) != "", part(2)).when(part(3) != "", part(3)).otherwise(plain(part(4)))
+        value = F.when(part(2) != "", part(2)).when(part(3) != "", F.translate(part(3), STAND_INS, DELIMITERS)).otherwise(plain(part(4)))
         return F.struct(strip(part(1)).alias("key"), value.alias("value"))
 
     entries = F.filter(F.transform(F.regexp_extract_all(line, F.lit(SETTING), F.lit(0)), entry), lambda e: e.key != "")

@@ -42,6 +42,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key with over 1/HOT of the rows is hot, so there are HOT hot keys at most.
+HOT = 1000
+
+
+def looked_up(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """left joined with right, which has a key once; how: inner or left.
+
+    Rows of hot keys meet their row of right by a broadcast of HOT rows at most, so that no
+    task gets a hub's rows; the others are shuffled. left is read three times: store it first.
+    """
+    total = left.count()
+    hot = F.broadcast(left.groupBy(key).count().where(F.col("count") * HOT > total).select(key, F.lit(True).alias("_hot")))
+    marked = left.join(hot, key, "left")
+    few = F.broadcast(right.join(hot.drop("_hot"), key, "left_semi"))
+    return marked.where("_hot").drop("_hot").join(few, key, how).unionByName(marked.where("_hot IS NULL").drop("_hot").join(right, key, how))
+
+
 def ranked_tags(counts: DataFrame, by: str = "count", descending: bool | None = None) -> DataFrame:
     """Tags with their rank by count, name or length; equal ones by first appearance.
 
@@ -293,21 +310,19 @@ def replayed(steps: DataFrame, depth: int = 50) -> DataFrame:
 
 
 def unique_names(files: DataFrame) -> DataFrame:
-    """files (stem, pos) with name: of equal stems the second is 1_<stem>, and so on.
+    """files (stem, pos) with name: the stem, or if a file before it in the order of pos has
+    that, the first of 1_<stem>, 2_<stem> ... that none has."""
+    from tagloom.operators.naming import named_in_order
 
-    Where such a name is a stem of the files as well, the number goes on until it is none.
-    Only files that are not the first of their stem are looked at again.
-    """
-    n = F.row_number().over(W.partitionBy("stem").orderBy("pos")) - 1
-    rows = files.withColumn("_n", n)
-    written = F.concat(F.col("_n").cast("string"), F.lit("_"), F.col("stem"))
-    first, again = rows.where("_n = 0").withColumn("name", F.col("stem")).drop("_n"), rows.where("_n > 0")
-    # A stem k_<stem> takes the number k away from <stem>: the numbers left are counted through.
-    taken = files.select(F.regexp_extract("stem", "^([1-9][0-9]*)_", 1).try_cast("long").alias("k"), F.regexp_replace("stem", "^[1-9][0-9]*_", "").alias("stem")).where("k IS NOT NULL").distinct()
-    taken = taken.groupBy("stem").agg(F.array_sort(F.collect_set("k")).alias("_taken"))  # a number each, of one stem's namesakes
-    skipped = F.aggregate(F.coalesce("_taken", F.array().cast("array<bigint>")), F.col("_n").cast("long"), lambda at, k: F.when(k <= at, at + 1).otherwise(at))
-    again = again.join(taken, "stem", "left").withColumn("_n", skipped).withColumn("name", written).drop("_n", "_taken")
-    return first.unionByName(again.select(first.columns))
+    k_th = lambda k: F.when(k == 0, F.col("stem")).otherwise(F.concat(k.cast("string"), F.lit("_"), F.col("stem")))
+
+    def read(name: Column) -> Column:
+        number = F.regexp_extract(name, "^([1-9][0-9]*)_", 1).try_cast("long")
+        plain = F.array(F.struct(name.alias("stem"), F.lit(0).cast("long").alias("k")))
+        rest = F.struct(F.regexp_replace(name, "^[1-9][0-9]*_", "").alias("stem"), number.alias("k"))
+        return F.when(number.isNotNull(), F.concat(plain, F.array(rest))).otherwise(plain)
+
+    return named_in_order(files, ["stem"], "pos", k_th, read)
 
 
 def pulled(items: DataFrame, prompts: DataFrame, mode: str = "after") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 
 from tagloom.functions.tags import folder_name
 from tagloom.operators.catalog import numbered, stored
+from tagloom.operators.naming import named_in_order, numbered_behind
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -92,34 +93,40 @@ def folders(clusters: DataFrame, nested: bool = False) -> DataFrame:
     """clusters (cluster, n, first, name, repeats) with folder and order, largest first, then by
     first, the least member.
 
-    folder: <repeats>_<name>, or nested <repeats>/<name>; of equal ones the second ends in
-    _2, and so on. A number that another cluster's own folder ends in is left out.
+    folder: <repeats>_<name>, or nested <repeats>/<name>; where a cluster before it has that,
+    the first of <folder>_2, <folder>_3 ... that none has.
     """
     base = F.concat(F.col("repeats").cast("string"), F.lit("/" if nested else "_"), F.col("name"))
-    rows = numbered(clusters.withColumn("_base", base), [F.desc("n"), F.asc("first")], "order")
-    rows = rows.withColumn("_k", F.row_number().over(W.partitionBy("_base").orderBy("order")))
-    # Bases that read like <other base>_<k> take that number from it.
-    cut = rows.select(F.regexp_extract("_base", r"^(.*)_(\d+)$", 1).alias("_base"), F.regexp_extract("_base", r"^(.*)_(\d+)$", 2).try_cast("long").alias("k")).where("k >= 2").distinct()
-    taken = cut.groupBy("_base").agg(F.array_sort(F.collect_set("k")).alias("_taken"))
-    number = F.aggregate(F.coalesce("_taken", F.array().cast("array<bigint>")), F.col("_k").cast("long"), lambda at, k: F.when(k <= at, at + 1).otherwise(at))
-    folder = F.when(F.col("_k") == 1, F.col("_base")).otherwise(F.concat("_base", F.lit("_"), number.cast("string")))
-    return rows.join(taken, "_base", "left").withColumn("folder", folder).drop("_base", "_k", "_taken")
+    rows = numbered(clusters.withColumn("stem", base), [F.desc("n"), F.asc("first")], "order")
+    k_th = lambda k: F.when(k == 0, F.col("stem")).otherwise(F.concat("stem", F.lit("_"), (k + 1).cast("string")))
+    found = named_in_order(rows.withColumnRenamed("name", "_name"), ["stem"], "order", k_th, lambda name: numbered_behind(name, 2))
+    return found.withColumnRenamed("name", "folder").withColumnRenamed("_name", "name").select(*clusters.columns, "order", "folder")
 
 
-def destinations(moves: DataFrame) -> DataFrame:
+def destinations(moves: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """moves (seq, source, folder, sidecars) -> source, destination, sidecar rows and all.
 
-    Of equal names in a folder the second is <stem>_1, and so on; sidecars follow the stem of
-    their image, and masks keep their ending.
+    An image whose name is there already, as a file of existing (path) or by a move before it
+    in the order of seq, gets the first of <stem>_1, <stem>_2 ... that is not; sidecars follow
+    the stem of their image, and masks keep their ending.
     """
     name = F.regexp_extract("source", "([^/]+)$", 1)
-    stem, suffix = F.regexp_replace(name, r"(?<=.)\.[^.]*$", ""), F.regexp_extract(name, r".(\.[^.]*)$", 1)
-    k = F.row_number().over(W.partitionBy("folder", name).orderBy("seq")) - 1
-    rows = moves.withColumn("_k", k).withColumn("_stem", F.concat(stem, F.when(F.col("_k") > 0, F.concat(F.lit("_"), F.col("_k").cast("string"))).otherwise(F.lit(""))))
-    own = rows.select("source", F.concat("folder", F.lit("/"), "_stem", suffix).alias("destination"))
-    side = rows.select(F.explode("sidecars").alias("source"), "folder", "_stem")
+    rows = moves.withColumns({"stem": F.regexp_replace(name, r"(?<=.)\.[^.]*$", ""), "suffix": F.regexp_extract(name, r".(\.[^.]*)$", 1)})
+    k_th = lambda k: F.concat("folder", F.lit("/"), F.when(k == 0, F.col("stem")).otherwise(F.concat("stem", F.lit("_"), k.cast("string"))), "suffix")
+
+    def read(path: Column) -> Column:
+        folder, name = F.regexp_extract(path, "(?s)^(.*)/[^/]*$", 1), F.regexp_extract(path, "([^/]*)$", 1)
+        suffix = F.regexp_extract(name, r".(\.[^.]*)$", 1)
+        stems = numbered_behind(F.regexp_replace(name, r"(?<=.)\.[^.]*$", ""))
+        return F.transform(stems, lambda s: F.struct(folder.alias("folder"), s["stem"].alias("stem"), suffix.alias("suffix"), s["k"].alias("k")))
+
+    there = existing.select(F.col("path").alias("name")) if existing is not None else None
+    rows = named_in_order(rows, ["folder", "stem", "suffix"], "seq", k_th, read, there)
+    own = rows.select("source", F.col("name").alias("destination"))
+    stem = F.regexp_replace("name", r"(?<=[^/])\.[^./]*$", "")
+    side = rows.select(F.explode("sidecars").alias("source"), stem.alias("_stem"))
     ending = F.when(F.endswith("source", F.lit("-masklabel.png")), F.lit("-masklabel.png")).otherwise(F.regexp_extract("source", r"(\.[^./]*)$", 1))
-    return own.unionByName(side.select("source", F.concat("folder", F.lit("/"), "_stem", ending).alias("destination")))
+    return own.unionByName(side.select("source", F.concat("_stem", ending).alias("destination")))
 
 
 def totals(plan: DataFrame) -> DataFrame:

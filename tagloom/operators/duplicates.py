@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import itertools
-import uuid
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tagloom.functions.tags import let
+from tagloom.operators.catalog import looked_up, stored
 
 WORD = 64
 #: Hashes with one block of bits that meet in one place; more are dealt out in parts.
 PART = 2048
+#: Words that a hash looks for at most, over all blocks, and comparisons that one of these costs.
+MOST_WORDS, LOOK_UP = 1 << 16, 8
 
 
 def signature(values: Column, size: int = WORD) -> Column:
@@ -43,64 +46,108 @@ def similarity(bits: Column, width: int = WORD) -> Column:
     return 1 - bits / width
 
 
-def _masks(most: int, width: int) -> list[tuple[int, int]]:
-    """(word, bits of it) of most + 1 blocks, of which two hashes that near have one alike.
+def _ball(bits: int, radius: int) -> int:
+    """How many words of so many bits differ from one in `radius` bits at most."""
+    return sum(math.comb(bits, k) for k in range(radius + 1))
 
-    Words share the blocks out, so that none lies across two. Where so many bits may differ
-    that two hashes by chance have a block alike anyhow, no index spares comparisons, and there
-    is one block of no bits, which all have alike.
-    """
-    words = -(-width // WORD)
-    if (most + 1) * 2.0 ** -(width / (most + 1)) >= 1:
-        return [(0, 0)]
-    out = []
+
+def _cut(blocks: int, most: int, width: int) -> list[tuple[int, int, int, int]]:
+    """(word, first bit, end, radius) of so many blocks. Of two hashes that differ in `most` bits
+    at most, one block differs in its radius at most: the radii and one for each block add up
+    to most + 1. Words share the blocks out, so that none lies across two."""
+    words, out = -(-width // WORD), []
     for w in range(words):
-        size, n = min(WORD, width - w * WORD), (most + 1) * (w + 1) // words - (most + 1) * w // words
+        size, n = min(WORD, width - w * WORD), blocks * (w + 1) // words - blocks * w // words
         edges = [i * size // n for i in range(n + 1)] if n else []
-        out += [(w, ((1 << b) - 1) ^ ((1 << a) - 1)) for a, b in zip(edges, edges[1:])]
-    return [(w, m - (1 << WORD) if m >> (WORD - 1) else m) for w, m in out]
+        out += [(w, a, b) for a, b in zip(edges, edges[1:])]
+    radius, more = divmod(most + 1, blocks)
+    widest = sorted(range(blocks), key=lambda i: out[i][1] - out[i][2])[:more]
+    return [(*block, radius - 1 + (i in widest)) for i, block in enumerate(out)]
+
+
+def index(most: int, width: int, left: int, right: int) -> list[tuple[int, int, int, int]]:
+    """The blocks by which `left` hashes look for `right` others that are near, the cheapest.
+
+    With few blocks, hashes that are far apart seldom meet, but each looks for many words; with
+    many it is the other way round. Where meeting all at once is cheaper there is one block of no bits.
+    """
+    best, plan = float(left) * right, [(0, 0, 0, 0)]
+    for blocks in range(1, most + 2):
+        cut = _cut(blocks, most, width)
+        if any(b <= a for _, a, b, _ in cut):
+            break
+        words = sum(_ball(b - a, r) for _, a, b, r in cut)
+        if words > MOST_WORDS:
+            continue
+        meet = sum(_ball(b - a, r) / 2.0 ** (b - a) for _, a, b, r in cut)
+        cost = float(left) * words * LOOK_UP + float(left) * right * meet
+        if cost < best:
+            best, plan = cost, cut
+    return plan
+
 
+def _signed(word: int) -> int:
+    return word - (1 << WORD) if word >> (WORD - 1) else word
 
-def _masks_column(most: int, width: int) -> Column:
-    return F.array(*(F.struct(F.lit(w).alias("w"), F.lit(m).cast("long").alias("m")) for w, m in _masks(most, width)))
+
+def _masks_column(plan: list[tuple[int, int, int, int]]) -> Column:
+    each = (F.struct(F.lit(w).alias("w"), F.lit(_signed((1 << b) - (1 << a))).cast("long").alias("m"), F.lit(r).alias("r")) for w, a, b, r in plan)
+    return F.array(*each)
 
 
 def _word(value: Column, at: Column, width: int) -> Column:
     return value if width <= WORD else F.get(value, at)
 
 
-def _blocks(hashed: DataFrame, most: int, width: int) -> DataFrame:
+def _blocks(hashed: DataFrame, plan: list[tuple[int, int, int, int]], width: int) -> DataFrame:
     """hashed (id, hash), once for each block: block and bits, those of the hash in it."""
-    blocks = F.transform(_masks_column(most, width), lambda k, i: F.struct(i.alias("block"), _word(F.col("hash"), k["w"], width).bitwiseAND(k["m"]).alias("bits")))
+    blocks = F.transform(_masks_column(plan), lambda k, i: F.struct(i.alias("block"), _word(F.col("hash"), k["w"], width).bitwiseAND(k["m"]).alias("bits")))
     return hashed.select("id", "hash", F.explode(blocks).alias("k")).select("id", "hash", "k.*")
 
 
-def _near(left: DataFrame, right: DataFrame, most: int, width: int) -> DataFrame:
-    """Rows of left (id, hash) beside those of right (id, hash), `most` bits apart at most, once.
+def _around(blocks: DataFrame, plan: list[tuple[int, int, int, int]]) -> DataFrame:
+    """Rows of _blocks(), once for each word that lies within their block's radius."""
+    if not any(r for *_, r in plan):
+        return blocks
+    flips = [(i, _signed(sum(1 << k for k in some))) for i, (_, a, b, r) in enumerate(plan) for n in range(r + 1) for some in itertools.combinations(range(a, b), n)]
+    table = blocks.sparkSession.createDataFrame(flips, "block int, flip long")  # MOST_WORDS rows at most
+    return blocks.join(F.broadcast(table), "block").withColumn("bits", F.col("bits").bitwiseXOR(F.col("flip"))).drop("flip")
+
+
+def _met(left: DataFrame, right: DataFrame, plan: list[tuple[int, int, int, int]], width: int) -> DataFrame:
+    """Rows of left (id, hash) beside those of right that they meet in a block: a, ha, b, hb, block.
 
-    They meet by block. Blocks of bits that many share are dealt out: left's rows in parts,
-    each beside all of right's. A pair counts in the first block only that it has alike.
+    Bits of a block that many share are dealt out: left's rows in parts, each beside all of
+    right's.
     """
-    left, right = _blocks(left, most, width), _blocks(right, most, width)
-    counts = left.groupBy("block", "bits").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    left = left.join(counts, ["block", "bits"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
-    right = right.join(counts, ["block", "bits"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    left, right = _around(_blocks(left, plan, width), plan), _blocks(right, plan, width)
+    counts = left.groupBy("block", "bits").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).where("parts > 1")
+    left = left.join(counts, ["block", "bits"], "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    right = right.join(counts, ["block", "bits"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
     # A number that is asked for is not made less: the rows are few, but the pairs are not.
     n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = ["block", "bits", "part"]
     left = left.select(*keys, F.col("id").alias("a"), F.col("hash").alias("ha")).repartition(n, *keys)
     right = right.select(*keys, F.col("id").alias("b"), F.col("hash").alias("hb")).repartition(n, *keys)
+    return left.join(right, keys).select("a", "ha", "b", "hb", "block")
+
+
+def _near(left: DataFrame, right: DataFrame, most: int, width: int) -> DataFrame:
+    """Rows of left (id, hash) beside those of right (id, hash), `most` bits apart at most, once:
+    a pair counts in the first block only by which it meets."""
+    plan = index(most, width, left.count(), right.count())
+    earlier = F.slice(_masks_column(plan), F.lit(1), F.col("block"))
+    differ = lambda k: F.bit_count(_word(F.col("ha"), k["w"], width).bitwiseXOR(_word(F.col("hb"), k["w"], width)).bitwiseAND(k["m"]))
     apart = distance(F.col("ha"), F.col("hb"), width)
-    earlier = F.slice(_masks_column(most, width), F.lit(1), F.col("block"))
-    first = ~F.exists(earlier, lambda k: _word(F.col("ha"), k["w"], width).bitwiseXOR(_word(F.col("hb"), k["w"], width)).bitwiseAND(k["m"]) == 0)
-    return left.join(right, keys).where(apart <= most).where(first).select("a", "ha", "b", "hb", apart.alias("bits"))
+    near = _met(left, right, plan, width).where(apart <= most).where(~F.exists(earlier, lambda k: differ(k) <= k["r"]))
+    return near.select("a", "ha", "b", "hb", apart.alias("bits"))
 
 
 def pairs(signed: DataFrame, most: int, width: int = WORD) -> DataFrame:
     """signed (id, hash) -> a < b and the bits in which they differ, `most` at most.
 
-    hash: a word, or for a width over 64 an array of words. Exact: of most + 1 blocks of
-    bits, two such hashes have one alike. Rows with the very same hash are one class, so that
+    hash: a word, or for a width over 64 an array of words. Exact: two such hashes are near
+    in one block of index() at least. Rows with the very same hash are one class, so that
     copies make no pairs beyond those with their class's smallest id.
     """
     classes = signed.groupBy("hash").agg(F.min("id").alias("id"))
@@ -167,37 +214,25 @@ def original_groups(members: DataFrame, pairs_: DataFrame) -> DataFrame:
     return rows.select(F.col("original").alias("group"), place.alias("place"), "id", "score")
 
 
-def components(links: DataFrame, folder: str | None = None) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """links (a, b) -> id, component: the smallest id reachable.
 
     Labels move along links and then jump to their label's label; rounds are written to the
-    shared folder, which cuts the lineage, and end when no label changes.
+    shared folder, which cuts the lineage, and end when no label changes. Links of hubs,
+    and labels that many have, are looked up without a task for each.
     """
-    spark = links.sparkSession
-    context = spark.sparkContext
-    root = folder or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = f"{root.rstrip('/')}/components-{uuid.uuid4().hex}"
-
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{path}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{path}/{name}")
-
-    both = kept(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    labels = kept(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("component")), "0")
-    for round_ in itertools.count(1):
+    both = stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
+    labels = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("component")), "labels")
+    while True:
         by = labels.select(F.col("id").alias("b"), F.col("component").alias("other"))
-        moved = both.join(by, "b").groupBy(F.col("a").alias("id")).agg(F.min("other").alias("other"))
-        moved = labels.join(moved, "id").select("id", F.least("component", "other").alias("next"), "component")
+        moved = looked_up(both, by, "b").groupBy(F.col("a").alias("id")).agg(F.min("other").alias("other"))
+        moved = stored(labels.join(moved, "id").select("id", F.least("component", "other").alias("next"), "component"), "moved")
         jump = moved.select(F.col("id").alias("next"), F.col("next").alias("far"))
-        after = moved.join(jump, "next", "left").select("id", F.least("next", F.coalesce("far", "next")).alias("component"), "component")
-        after = after.toDF("id", "component", "old")
-        labels = kept(after, str(round_))
+        after = looked_up(moved, jump, "next", "left").select("id", F.least("next", F.coalesce("far", "next")).alias("component"), F.col("component").alias("old"))
+        labels = stored(after, "labels")
         if labels.where("component != old").isEmpty():
-            break
+            return labels.select("id", "component")
         labels = labels.drop("old")
-    return labels.select("id", "component")
 
 
 def best_score(pairs_: DataFrame) -> DataFrame:
@@ -230,6 +265,6 @@ def summary(members: DataFrame) -> DataFrame:
 def toggled(rows: DataFrame) -> DataFrame:
     """rows (group, marked, selected, is_original) after a toggle of the selection: if all of
     a group's selected rows are marked they are cleared, else all marked; originals never are."""
-    w = W.partitionBy("group")
-    all_marked = F.min(F.when(F.col("selected"), F.col("marked"))).over(w)
-    return rows.withColumn("marked", F.when(F.col("is_original"), F.lit(False)).when(F.col("selected"), ~F.coalesce(all_marked, F.lit(False))).otherwise(F.col("marked")))
+    every = rows.where("selected").groupBy("group").agg(F.bool_and("marked").alias("_all"))
+    found = rows.join(every, "group", "left")
+    return found.withColumn("marked", F.when(F.col("is_original"), F.lit(False)).when(F.col("selected"), ~F.coalesce("_all", F.lit(False))).otherwise(F.col("marked"))).select(rows.columns)

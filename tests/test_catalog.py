@@ -34,14 +34,10 @@ def test_edits_are_replayed(spark):
     assert catalog.replayed(spark.createDataFrame([], f"item_id long, seq long, {catalog.STEP}")).collect() == []
 
 
-def test_names_that_are_taken(spark):
-    files = [("a", 1), ("a", 2), ("1_a", 3), ("a", 4), ("2_b", 5), ("b", 6), ("b", 7), ("b", 8), ("3_a", 9), ("1_a", 10)]
-    out = {r.pos: r.name for r in catalog.unique_names(spark.createDataFrame(files, "stem string, pos long")).collect()}
-    assert len(set(out.values())) == len(files) and out[1] == "a" and out[3] == "1_a" and out[9] == "3_a"
-    assert (out[2], out[4]) == ("2_a", "4_a") and (out[7], out[8]) == ("1_b", "3_b") and out[10] == "1_1_a"
+def test_folders_that_are_taken(spark):
     rows = [(1, 5, 1, "x", 2), (2, 4, 2, "x", 2), (3, 3, 3, "x_2", 2), (4, 2, 4, "x", 2), (5, 9, 5, "x", 3)]
     flat = {r.cluster: (r.order, r.folder) for r in clusters.folders(spark.createDataFrame(rows, "cluster int, n int, first int, name string, repeats int")).collect()}
-    assert flat == {5: (1, "3_x"), 1: (2, "2_x"), 2: (3, "2_x_3"), 3: (4, "2_x_2"), 4: (5, "2_x_4")}
+    assert flat == {5: (1, "3_x"), 1: (2, "2_x"), 2: (3, "2_x_2"), 3: (4, "2_x_2_2"), 4: (5, "2_x_3")}
     nested = clusters.folders(spark.createDataFrame(rows[:1], "cluster int, n int, first int, name string, repeats int"), nested=True).first().folder
     assert nested == "2/x"
 

@@ -183,3 +183,17 @@ def test_split_is_stable_and_near_its_share(spark):
     split = {r.item_id: r.split for r in catalog.split_train(rows, "item_id").collect()}
     assert 0.77 < sum(s == "train" for s in split.values()) / 5000 < 0.83
     assert {r.item_id: r.split for r in catalog.split_train(rows.where("item_id < 10"), "item_id").collect()} == {i: split[i] for i in range(10)}
+
+
+def test_settings_in_braces_of_any_depth(spark):
+    deep = "{" * 40 + '"a, B: c": "}' + "}" * 39
+    cases = {
+        f"Steps: 3, Deep: {deep}, Seed: 7": {"Steps": "3", "Deep": deep, "Seed": "7"},
+        'A: "x {, y", B: {"k": {"l": "m, N: o"}}, C: d': {"A": "x {, y", "B": '{"k": {"l": "m, N: o"}}', "C": "d"},
+        "A: b {c, D: e}, F: g": {"A": "b {c", "D": "e}", "F": "g"},
+        "A: {never {closed}, B: c": {"A": "{never {closed}, B: c"},
+        "A: {}, B: {1}, A: z": {"A": "z", "B": "{1}"},
+    }
+    for line, expected in cases.items():
+        got = one(spark, metadata.settings_map(F.lit(line)))
+        assert {k: got.get(k) for k in expected} == expected, line
