@@ -29,7 +29,7 @@ WINDOW = 1024
 #: The id that ends a document.
 END = 0
 #: Pre-tokens whose ids a worker keeps; beyond that it starts anew and looks into the last such store.
-STORE = 150_000
+STORE = 120_000
 #: Characters over which a pre-token is not kept, and characters of a text that are cut at once.
 LONG, WHOLE = 64, 1 << 18
 #: The cut of byte-level tokenizers into pre-tokens, where `_plain` holds.
@@ -44,6 +44,25 @@ def _odd(character: str) -> bool:
     return kind != unicodedata.ucd_3_2_0.category(character) or kind in ("No", "Nl", "Cn", "Cs") or "\x1c" <= character <= "\x1f"
 
 
+class Store(dict):
+    """Ids by pre-token. What is missing is encoded, and kept unless it is long; a full store
+    starts anew and takes what it lacks from the one before."""
+
+    def __init__(self, encode):
+        self.encode, self.older = encode, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.encode(piece)
+        if len(piece) <= LONG:
+            if len(self) >= STORE:
+                self.older = self.copy()
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Encodes whole texts as a tokenizer of the library `tokenizers` does, without special tokens.
 
@@ -66,8 +85,7 @@ class Encoder:
         self.model = self.tokenizer.model
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.to_characters = dict(enumerate(byte_characters()))
-        self.store: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.store = Store(self._one)
 
     def encode(self, text: str) -> bytes:
         """Ids, little-endian, of self.kind."""
@@ -87,25 +105,14 @@ class Encoder:
         return False
 
     def _one(self, piece: str) -> bytes:
-        ids = self.older.get(piece)
-        if ids is None:
+        if piece.isascii() and piece.isprintable():
+            mapped = piece.replace(" ", self.to_characters[32])
+        else:
             mapped = piece.encode().decode("latin-1").translate(self.to_characters)
-            found = [t.id for t in self.model.tokenize(mapped)]
-            ids = struct.pack(f"<{len(found)}{'H' if self.kind == '<u2' else 'I'}", *found)
-        return ids
+        found = [t.id for t in self.model.tokenize(mapped)]
+        return struct.pack(f"<{len(found)}{'H' if self.kind == '<u2' else 'I'}", *found)
 
     def _ids(self, pieces: list[str]) -> bytes:
-        new = set(pieces).difference(self.store)
-        if new:
-            found = {p: self._one(p) for p in new}
-            kept = {p: ids for p, ids in found.items() if len(p) <= LONG}
-            if len(self.store) + len(kept) > STORE:
-                found |= {p: self.store[p] for p in set(pieces).intersection(self.store)}
-                self.older, self.store = self.store, kept
-                return b"".join(map(found.__getitem__, pieces))
-            self.store.update(kept)
-            if len(kept) < len(found):
-                return b"".join([found[p] if p in found else self.store[p] for p in pieces])
         return b"".join(map(self.store.__getitem__, pieces))
 
 
@@ -141,7 +148,7 @@ def encoded(docs: DataFrame, path: str, end: int = END) -> tuple[DataFrame, str]
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(rows, pa.binary()), pa.array(n), pa.array(np.full(len(rows), part, np.int32)), pa.array(ends)], names=["doc_id", "ids", "n", "_part", "_upto"])
 
     rows = common.mapped(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, ids binary, n long, _part int, _upto long")
-    return common.staged(rows, "ids", compression="zstd"), kind
+    return common.staged(rows, "ids"), kind
 
 
 def cuts(total: int, window: int) -> list[int]:
@@ -193,6 +200,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END) -> Da
     names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches):
+        common.held("pieces", tuple)  # a worker that has encoded gives its store back
         for batch in batches:
             for some in common.slices(batch, "ids", 1 << 20):
                 doc, start, length, data, tokens, sequence, offset = out = [[] for _ in names]
