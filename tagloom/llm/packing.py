@@ -178,6 +178,17 @@ def pieces(at: int, n: int, total: int, window: int, tail: list[int]) -> list[tu
     return out
 
 
+def windowed(at: np.ndarray, n: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """The same for many documents before the last whole window's end: row, start, length, sequence, offset."""
+    first = at // window + 1
+    count = np.maximum((at + n - 1) // window - first + 1, 0) + 1
+    row = np.repeat(np.arange(len(at)), count)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    begin = np.where(place == 0, at[row], (first[row] + place - 1) * window)
+    end = np.where(place == count[row] - 1, (at + n)[row], (first[row] + place) * window)
+    return row, begin - at[row], end - begin, begin // window, begin % window
+
+
 def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END) -> DataFrame:
     """docs (doc_id, text) -> one row a piece: doc_id, start (its document's ids before it),
     length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
@@ -199,17 +210,24 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END) -> Da
     placed = rows.join(before, "_part").select("doc_id", "ids", "n", (F.col("_before") + F.col("_upto") - F.col("n")).alias("at"))
     names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
+    whole = total // window * window
+
     def run(batches):
         common.held("pieces", tuple)  # a worker that has encoded gives its store back
         for batch in batches:
             for some in common.slices(batch, "ids", 1 << 20):
-                doc, start, length, data, tokens, sequence, offset = out = [[] for _ in names]
-                for d, ids, n, at in zip(*(some.column(c).to_pylist() for c in ("doc_id", "ids", "n", "at"))):
-                    wide = memoryview(np.frombuffer(ids, kind).astype("<u4").tobytes())
-                    for s, m, q, o in pieces(at, n, total, window, tail):
-                        for column, value in zip(out, (d, s, m, wide[4 * s : 4 * (s + m)], n, q, o)):
-                            column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if name == "ids" else pa.int64()) for name, c in zip(names, out)], names=names)
+                n, at = (some.column(c).to_numpy() for c in ("n", "at"))
+                data = np.frombuffer(b"".join(some.column("ids").to_pylist()), kind).astype("<u4")
+                if (at + n).max() <= whole:
+                    row, *numbers = windowed(at, n, window)
+                else:  # the end of the stream
+                    found = [(row, *piece) for row, (a, m) in enumerate(zip(at.tolist(), n.tolist())) for piece in pieces(a, m, total, window, tail)]
+                    row, *numbers = np.array(found, np.int64).T
+                start, length, sequence, offset = map(pa.array, numbers)
+                ends = pa.array(np.append(0, np.cumsum(numbers[1]) * 4).astype(np.int32))
+                ids = pa.Array.from_buffers(pa.binary(), len(row), [None, ends.buffers()[1], pa.py_buffer(data)])
+                doc, tokens = some.column("doc_id").take(pa.array(row)), pa.array(n[row])
+                yield pa.RecordBatch.from_arrays([doc, start, length, ids, tokens, sequence, offset], names=names)
 
     return common.mapped(placed, run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 

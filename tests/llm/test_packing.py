@@ -99,3 +99,15 @@ def test_very_long_text(spark):
     docs = spark.range(1).select(F.lit(None).cast("long").alias("doc_id"), F.repeat(F.lit("a lot of words \n"), 200_000).alias("text"))
     out = packing.pack(docs, PATH).agg(F.sum("length"), F.max("doc_tokens"), F.count("doc_id"), F.max("sequence_id")).first()
     assert out[0] == out[1] and out[2] == 0 and out[3] >= out[0] // 1024 - 1
+
+
+def test_pieces_of_many_documents():
+    rng = np.random.default_rng(7)
+    n = rng.integers(1, 60, 200)
+    at = np.cumsum(n) - n
+    for window in (1, 8, 64):
+        total = int(n.sum()) // window * window
+        inside = at + n <= total
+        found = list(zip(*(x.tolist() for x in packing.windowed(at[inside], n[inside], window))))
+        expected = [(row, *p) for row, (a, m) in enumerate(zip(at[inside].tolist(), n[inside].tolist())) for p in packing.pieces(a, m, total, window, [])]
+        assert found == expected
