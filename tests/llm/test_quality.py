@@ -59,18 +59,40 @@ def test_empty_table(spark):
     assert quality.judge(spark.createDataFrame([], "doc_id long, text string, lang string")).collect() == []
 
 
-def test_languages_with_few_rows_go_by_the_counts(spark):
+def test_languages_with_few_rows_have_wide_bounds(spark):
     """A language of another script with 3 rows beside one with 40, and rows without a language."""
     english = "the cat and the dog of that house sat on a mat in it for him " * 20
     vary = lambda text, i: " ".join(f"{w}{chr(97 + (i + j) % 26)}" if j % 5 == 4 else w for j, w in enumerate(text.split()))
     greek = lambda i: " ".join(f"λόγος{chr(945 + j % 20)}{chr(945 + (i + j // 20) % 20)}" for j in range(300))
     rows = [(i, vary(english, i), "en") for i in range(40)] + [(100 + i, greek(i), "el") for i in range(3)]
     rows = [(d, " ".join(f"{w}" if j % 7 else f"{w}{j}" for j, w in enumerate(t.split())), x) for d, t, x in rows]
-    rows += [(200, rows[0][1], None), (201, rows[0][1], "el"), (202, rows[-1][1], None), (203, rows[-1][1], "en"), (204, rows[0][1], "xx")]
+    rows += [(200, rows[0][1], None), (201, rows[0][1], "el"), (202, rows[-1][1], None), (204, rows[0][1], "xx"), (205, "qq zz " * 30 + " ".join(f"x{i}" for i in range(200)), None)]
     found = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
-    assert len(found) == len(rows) and not any(r.base_failed for r in found.values())
+    assert len(found) == len(rows)
     assert all(found[100 + i].kept for i in range(3))
-    assert [found[d].kept for d in (0, 200, 201, 202, 203, 204)] == [True, True, True, False, False, True]
+    assert [found[d].kept for d in (0, 200, 201, 202, 204)] == [True] * 5
+
+
+def test_every_language_has_its_own_words(spark):
+    """120 languages with words that no other has; texts without a language, and mislabelled ones."""
+    import random
+
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    lexicon = {f"l{i:03d}": ["".join(rng.choices(letters, k=6)) for _ in range(30)] for i in range(120)}
+    text = lambda lang: " ".join(rng.choice(lexicon[lang]) if rng.random() < 0.7 else "".join(rng.choices(letters, k=7)) for _ in range(150))
+    rows = [(1000 * k + i, text(lang), lang) for k, lang in enumerate(lexicon) for i in range(12)]
+    rows += [(10**6 + k, text(lang), None) for k, lang in enumerate(lexicon)]
+    rows += [(2 * 10**6 + k, text(lang), f"l{(k + 1) % 120:03d}") for k, lang in enumerate(lexicon)]
+    rows += [(3 * 10**6 + k, " ".join("".join(rng.choices(letters, k=7)) for _ in range(150)), lang if k % 2 else None) for k, lang in enumerate(lexicon)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    lists = {r.lang: r.words for r in quality.common_words(docs).collect()}
+    assert len(lists) == 120 and all(len(set(lists[x]) & set(lexicon[x])) >= 20 for x in lexicon)
+    found = {r.doc_id: r.kept for r in quality.judge(docs).collect()}
+    assert len(found) == len(rows)
+    clean = [found[d] for d, _, _ in rows if d < 3 * 10**6]
+    junk = [found[d] for d, _, _ in rows if d >= 3 * 10**6]
+    assert sum(clean) == len(clean) and not any(junk)
 
 
 def test_good_documents_stay_in_a_small_corpus(spark):
@@ -85,23 +107,22 @@ def test_verdicts_by_brute_force(spark):
     rows = {r.doc_id: (r.text, r.lang) for r in docs.collect()}
     classes = lambda c: 0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3 if c in "#*$%&|<>" else 4 if c in " \t\n\x0b\x0c\r" else 5 if ord(c) > 127 else 6
     tally, sums = Counter(), Counter()
+    split = lambda text: re.findall(r"[^\x20\x09-\x0D]+", text)
     for text, lang in rows.values():
-        for w in re.findall(r"[^\x20\x09-\x0D]+", text.lower()):
+        for w in split(text.lower()) if lang else ():
             tally[lang, w] += 1
             sums[lang] += 1
-    best = {}
+    lists = {}
     for lang in sums:
-        often = sorted((-n / sums[lang], w) for (x, w), n in tally.items() if x == lang and n >= quality.COMMON_SHARE * sums[lang])
-        for rank, (_, w) in enumerate(often[: quality.OF_LANGUAGE]):
-            best[w] = min(best.get(w, (999, 0)), (rank, -sums[lang]))
-    common = sorted(best, key=lambda w: (best[w], w))[: quality.WORDS]
-    assert quality.common_words(docs) == common and {"the", "und", "de"} <= set(common)
-    hists = {}
-    for d, (text, _) in rows.items():
-        of = Counter(map(classes, text))
-        words = re.findall(r"[^\x20\x09-\x0D]+", text)
-        known = Counter(w.lower() for w in words if w.lower() in common)
-        hists[d] = [of[i] for i in range(7)], [known[w] for w in common] + [len(words) - sum(known.values())], len(words), base(text)[5]
+        often = sorted((-n, w) for (x, w), n in tally.items() if x == lang and n >= quality.COMMON_SHARE * sums[lang])
+        lists[lang] = [w for _, w in often[: quality.OF_LANGUAGE]]
+    assert {r.lang: r.words for r in quality.common_words(docs).collect()} == lists and "the" in lists["en"]
+
+    def word_hist(text, words):
+        known = Counter(w for w in split(text.lower()) if w in words)
+        return [known[w] for w in words] + [0] * (quality.OF_LANGUAGE - len(words)) + [len(split(text)) - sum(known.values())]
+
+    class_hist = {d: [Counter(map(classes, text))[i] for i in range(7)] for d, (text, _) in rows.items()}
     share = lambda h: [x / sum(h) if sum(h) else 0 for x in h]
 
     def apart(p, q):
@@ -109,20 +130,28 @@ def test_verdicts_by_brute_force(spark):
         return math.sqrt(max(0, (kl(p) + kl(q)) / 2))
 
     refs = {}
-    for lang in {x for _, x in rows.values()} - {None}:
-        mine = [hists[d] for d, (_, x) in rows.items() if x == lang and not hists[d][3]]
-        if len(mine) >= quality.LEAST_REFERENCE_ROWS:
-            refs[lang] = [share([sum(c) for c in zip(*(h[k] for h in mine))]) for k in (0, 1)]
+    for lang in lists:
+        mine = [d for d, (t, x) in rows.items() if x == lang and not base(t)[5]]
+        if mine:
+            refs[lang] = len(mine), share([sum(c) for c in zip(*(class_hist[d] for d in mine))]), share([sum(c) for c in zip(*(word_hist(rows[d][0], lists[lang]) for d in mine))])
     assert len(refs) >= 3
-    odd = lambda h, c, w: (sum(h[0]) >= quality.LEAST_CLASS_CHARS and c > quality.MOST_CLASS_DISTANCE) or (h[2] >= quality.LEAST_COMMON_WORDS and w > max(quality.MOST_WORD_DISTANCE, quality.CHANCE + math.sqrt((quality.OF_LANGUAGE + 1) / (8 * math.log(2) * h[2]))))
+
+    def odd(d, lang):
+        text, (n, ref_c, ref_w) = rows[d][0], refs[lang]
+        words, more = len(split(text)), quality.FEW_ROWS / math.sqrt(n)
+        c, w = apart(share(class_hist[d]), ref_c), apart(share(word_hist(text, lists[lang])), ref_w)
+        widest = max(quality.MOST_WORD_DISTANCE, quality.CHANCE + math.sqrt((quality.OF_LANGUAGE + 1) / (8 * math.log(2) * words)))
+        return sum(class_hist[d]) >= quality.LEAST_CLASS_CHARS and c > quality.MOST_CLASS_DISTANCE + more or words >= quality.LEAST_COMMON_WORDS and w > widest + more
+
     rejected = 0
     for r in quality.judge(docs).collect():
-        h, lang = hists[r.doc_id], rows[r.doc_id][1]
-        to = lambda ref: tuple(apart(share(h[k]), ref[k]) for k in (0, 1))
-        near = to(refs[lang]) if lang in refs else None
-        if (lang is None or lang in refs) and (near is None or odd(h, *near)):
-            near = min((sum(to(ref)), *to(ref)) for ref in refs.values())[1:]
-        judged = near is not None
-        assert r.kept == (not h[3] and not (judged and odd(h, *near))), r.doc_id
-        rejected += not r.kept and not h[3]
+        text, lang = rows[r.doc_id]
+        failed = base(text)[5]
+        bad = not failed and (lang is None or lang in refs and odd(r.doc_id, lang))
+        if bad:
+            has = {x: sum(word_hist(text, words)[:-1]) for x, words in lists.items()}
+            other = min((-n, x) for x, n in has.items())
+            bad = odd(r.doc_id, other[1]) if other[0] else True
+        assert r.kept == (not failed and not bad), r.doc_id
+        rejected += not r.kept and not failed
     assert rejected > 5
