@@ -267,6 +267,17 @@ def undone(edits: DataFrame, batch: Column) -> DataFrame:
 STEP = "kind string, batch_id long, state array<string>"
 
 
+def after_step(state: str | None, back: list, forth: list, kind: str, new: str | None, depth: int) -> tuple[str | None, list, list]:
+    """An item's state, and what undo and redo go to, after one step of its log."""
+    if kind == "edit":
+        return new, (back if state is None else [*back, state])[-depth:], []
+    if kind == "undo" and back:
+        return back[-1], back[:-1], [*forth, state]
+    if kind == "redo" and forth:
+        return forth[-1], [*back, state][-depth:], forth[:-1]
+    return state, back, forth
+
+
 def replayed(steps: DataFrame, depth: int = 50) -> DataFrame:
     """steps (item_id, seq, kind, batch_id, state) -> item_id, state, undos, redos.
 
@@ -279,28 +290,17 @@ def replayed(steps: DataFrame, depth: int = 50) -> DataFrame:
     ordered = ordered.repartition("item_id").sortWithinPartitions("item_id", "seq")
 
     def run(batches):
-        from collections import deque
-
         import pyarrow as pa
 
-        now, state, back, forth = None, None, deque(maxlen=depth), []
-        row = lambda: pa.RecordBatch.from_pydict({"item_id": pa.array([now[0]], pa.string()), "state": pa.array([state], pa.string()), "undos": pa.array([len(back)]), "redos": pa.array([len(forth)])})
+        now, log = None, (None, [], [])
+        row = lambda: pa.RecordBatch.from_pydict({"item_id": pa.array([now[0]], pa.string()), "state": pa.array([log[0]], pa.string()), "undos": pa.array([len(log[1])]), "redos": pa.array([len(log[2])])})
         for batch in batches:
             for item, kind, new in zip(*(batch.column(c).to_pylist() for c in ("item_id", "kind", "state"))):
                 if now != (item,):
                     if now:
                         yield row()
-                    now, state, back, forth = (item,), None, deque(maxlen=depth), []
-                if kind == "edit":
-                    if state is not None:
-                        back.append(state)
-                    state, forth = new, []
-                elif kind == "undo" and back:
-                    forth.append(state)
-                    state = back.pop()
-                elif kind == "redo" and forth:
-                    back.append(state)
-                    state = forth.pop()
+                    now, log = (item,), (None, [], [])
+                log = after_step(*log, kind, new, depth)
         if now:
             yield row()
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import io
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from tagloom.functions import geometry, tags
+from tagloom.operators.catalog import numbered, stored
+from tagloom.sources import images
 
 #: Suffixes of image files.
 IMAGES = ("png", "jpg", "jpeg", "webp", "bmp", "gif", "tif", "tiff")
@@ -44,38 +49,57 @@ def scan_images(spark: SparkSession, *roots: str, skip: str = "masks", originals
 
     Roots may nest; a file keeps the first root that has it, and is an original if any of its
     roots is among `originals`. relative_path is null if no file is in a folder below its root.
-    Width and height are read from the file's head, and 0 where that tells none.
+    Files are listed without being read, by the image suffixes alone; then width and height
+    are read from each file's head, and are 0 where that tells none.
     """
+    suffixes = ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in s) for s in IMAGES)
     found = None
     for seq, root in enumerate(roots):
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+        files = spark.read.format("binaryFile").options(recursiveFileLookup="true", pathGlobFilter=f"*.{{{suffixes}}}").load(root)
         below = F.regexp_replace(F.regexp_replace("path", "^file:(//)?", ""), "^\\Q" + root.rstrip("/").removeprefix("file://").removeprefix("file:") + "\\E/", "")
-        files = files.select("path", below.alias("relative_path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.lit(seq).alias("root"), F.lit(root in originals).alias("is_original"), F.substring("content", 1, HEAD).alias("head"))
+        files = files.select("path", below.alias("relative_path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.lit(seq).alias("root"), F.lit(root in originals).alias("is_original"))
         found = files if found is None else found.unionByName(files)
-    found = found.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*IMAGES))
     if SKIPPED[skip]:
         found = found.where(~F.col("path").rlike(SKIPPED[skip]))
-    first = F.min_by(F.struct("path", "relative_path", "size", "mtime", "root", "head"), "root").alias("f")
+    first = F.min_by(F.struct("path", "relative_path", "size", "mtime", "root"), "root").alias("f")
     once = found.groupBy(path_key(F.col("path")).alias("key")).agg(first, F.bool_or("is_original").alias("is_original")).select("f.*", "is_original")
     nested = once.agg(F.coalesce(F.bool_or(F.contains("relative_path", F.lit("/"))), F.lit(False)).alias("_nested"))
-    rows = once.crossJoin(F.broadcast(nested)).withColumn("_size", image_size(F.col("head"))).orderBy(F.lower("relative_path"), "path")
-    return rows.select("path", F.when(F.col("_nested"), F.col("relative_path")).alias("relative_path"), "size", "mtime", "is_original", "root", "_size.width", "_size.height")
+    contents = None
+    if not all(map(images.known, roots)):
+        contents = reduce(DataFrame.union, (spark.read.format("binaryFile").options(recursiveFileLookup="true", pathGlobFilter=f"*.{{{suffixes}}}").load(root).select("path", "content") for root in roots)).dropDuplicates(["path"])
+    rows = image_sizes(once, contents).crossJoin(F.broadcast(nested)).orderBy(F.lower("relative_path"), "path")
+    return rows.select("path", F.when(F.col("_nested"), F.col("relative_path")).alias("relative_path"), "size", "mtime", "is_original", "root", "width", "height")
+
 
+def image_sizes(files: DataFrame, contents: DataFrame | None = None) -> DataFrame:
+    """files (path, ...) with width and height, 0 where a file tells none or cannot be read.
 
-#: Bytes of a file in which its size is looked for.
-HEAD = 1 << 16
+    Tasks open the files, and read and skip what stands before the size: some bytes of each.
+    Paths are local or mounted ones, or in a store that pyarrow.fs opens by their scheme; for
+    others contents (path, content) are what Spark reads there.
+    """
+    read = contents is not None
+    if read:
+        files = files.join(contents, "path", "left")
+    schema = T.StructType([*files.schema.fields, T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType())])
 
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            sizes = []
+            if read:
+                sizes = [images.size_of(io.BytesIO(c or b"")) for c in batch.column("content").to_pylist()]
+            for path in batch.column("path").to_pylist() if not read else ():
+                try:
+                    with images.opened(path) as file:
+                        sizes.append(images.size_of(file))
+                except (OSError, ValueError):
+                    sizes.append((0, 0))
+            width, height = (pa.array(x, pa.int32()) for x in (zip(*sizes) if sizes else ((), ())))
+            yield pa.RecordBatch.from_arrays([*batch.columns, width, height], names=schema.names)
 
-def image_size(head: Column) -> Column:
-    """Width and height from the first bytes of PNG, GIF and BMP files, 0 for others."""
-    at = lambda first, n: F.conv(F.hex(F.substring(head, first, n)), 16, 10).cast("long")
-    little = lambda first, n: sum((at(first + i, 1) * 256**i for i in range(1, n)), at(first, 1))
-    start = lambda n: F.hex(F.substring(head, 1, n))
-    sizes = ((start(8) == "89504E470D0A1A0A", at(17, 4), at(21, 4)), (start(4) == "47494638", little(7, 2), little(9, 2)), (start(2) == "424D", little(19, 4), F.least(little(23, 4), (1 << 32) - little(23, 4))))  # its height is negative in files from the top
-    width, height = F.lit(0), F.lit(0)
-    for is_one, w, h in sizes:
-        width, height = F.when(is_one, F.coalesce(w, F.lit(0))).otherwise(width), F.when(is_one, F.coalesce(h, F.lit(0))).otherwise(height)
-    return F.struct(width.cast("int").alias("width"), height.cast("int").alias("height"))
+    return files.mapInArrow(run, schema).drop("content")
 
 
 def png_texts(files: DataFrame) -> DataFrame:
@@ -133,28 +157,65 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 def write_files(rows: DataFrame, path: str) -> None:
     """rows (name, text): a text file of that name each below path; names are not escaped.
 
-    Spark's writers name files by task, so each task puts its rows' files in place itself, by way
-    of the folder's own file system; a task that is run again writes the same files once more.
-    path is a folder that all executors share and can open as a local path.
+    Tasks write to a folder of their own beside the others', and their rows, with the places of
+    the files, to a table, which Spark commits; so attempts that failed or were run twice
+    leave nothing in it. Only when all is written, a second job moves the files that are in
+    the table to their names. If the first job fails, nothing is at path; the second one
+    may be run again. path is local or mounted on all executors, or in a store that pyarrow.fs
+    opens by its scheme.
     """
-    import os
+    import uuid
 
-    folder = path.removeprefix("file://").removeprefix("file:")
+    store = images.store
+    staging = f"{path.rstrip('/')}/.staging-{uuid.uuid4().hex}"
 
     def put(batches):
+        import posixpath
+
         import pyarrow as pa
+        from pyspark import TaskContext
 
+        context = TaskContext.get()
+        fs, folder = store(staging)
+        own = f"{folder}/{context.partitionId()}-{context.taskAttemptId()}"
+        fs.create_dir(own, recursive=True)
+        n = 0
         for batch in batches:
-            for name, text in zip(batch.column("name").to_pylist(), batch.column("text").to_pylist()):
-                target = os.path.join(folder, name)
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                part = f"{target}.{os.getpid()}.tmp"
-                with open(part, "w", encoding="utf-8", newline="") as out:
-                    out.write(text or "")
-                os.replace(part, target)
+            places = []
+            for text in batch.column("text").to_pylist():
+                places.append(posixpath.join(own, str(n)))
+                with fs.open_output_stream(places[-1]) as out:
+                    out.write((text or "").encode())
+                n += 1
+            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(places, pa.string())], names=["name", "place"])
+
+    def move(batches):
+        import posixpath
+
+        import pyarrow as pa
+        from pyarrow.fs import FileType
+
+        fs, folder = store(path)
+        made = set()
+        for batch in batches:
+            for name, place in zip(batch.column("name").to_pylist(), batch.column("place").to_pylist()):
+                target = posixpath.join(folder, name)
+                if posixpath.dirname(target) not in made:
+                    made.add(posixpath.dirname(target))
+                    fs.create_dir(posixpath.dirname(target), recursive=True)
+                if fs.get_file_info(place).type != FileType.NotFound:  # else this is a second attempt
+                    fs.move(place, target)
             yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows])})
 
-    rows.select("name", "text").mapInArrow(put, "n long").agg(F.sum("n")).collect()
+    fs, folder = store(staging)
+    try:
+        written = stored(rows.select("name", "text").mapInArrow(put, "name string, place string"), "files")
+        written.mapInArrow(move, "n long").agg(F.sum("n")).collect()
+    finally:
+        from pyarrow.fs import FileType
+
+        if fs.get_file_info(folder).type != FileType.NotFound:
+            fs.delete_dir(folder)
 
 
 def write_captions(items: DataFrame, path: str, separator: str = ", ") -> None:
@@ -237,10 +298,12 @@ def dictionary_folder(spark: SparkSession, folder: str, custom: str = "custom_ta
     names = sorted(r.path for r in files.select("path").collect())  # one a dictionary
     rows = None
     for k, path in enumerate(names):
-        one = dictionary(spark, path).withColumn("load_seq", F.monotonically_increasing_id() + (k << 48))
+        one = dictionary(spark, path).withColumns({"_file": F.lit(k), "_row": F.monotonically_increasing_id()})
         rows = one if rows is None else rows.unionByName(one)
     if rows is None:
         rows = spark.createDataFrame([], "name string, category int, post_count long, aliases array<string>, display_name string, load_seq long")
+    else:
+        rows = numbered(rows, [F.asc("_file"), F.asc("_row")], "load_seq").withColumn("load_seq", F.col("load_seq").cast("long") - 1)
     own = spark.read.text(folder, pathGlobFilter=custom).withColumn("seq", F.monotonically_increasing_id())
     return with_custom(rows.select("name", "display_name", "category", "post_count", "aliases", "load_seq"), own)
 
