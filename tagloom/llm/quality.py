@@ -99,14 +99,20 @@ def features(docs: DataFrame, lists: DataFrame) -> DataFrame:
     # A character for each common word, in which a text's common words are written for counting.
     letters = [chr(0x4E00 + i) for i in range(OF_LANGUAGE)]
     marks = F.array(*map(F.lit, letters)).cast("array<string>")
+    # A list is searched as one text, each word between blanks; where a word's first blank stands,
+    # a second text has its character. A longer word is in no list: lower case makes none shorter.
+    listed = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")).alias("listed")
+    marked = F.array_join(F.transform("words", lambda w, i: F.concat(F.get(marks, i), F.repeat(F.lit(" "), F.length(w)))), "").alias("marked")
+    longest = F.coalesce(F.array_max(F.transform("words", lambda w: F.length(w))), F.lit(0)).alias("longest")
+    lists = common.staged(lists.select("lang", "lang_rows", listed, marked, longest), "listed")
     d = docs.select("doc_id", _lang(docs), F.coalesce("text", F.lit("")).alias("t"))
     total = lists.agg(F.coalesce(F.sum("lang_rows"), F.lit(0))).first()[0]
-    named = common.lookup(d.where("lang IS NOT NULL"), lists.select("lang", "words", "lang_rows"), "lang", "lang_rows", total).drop("lang_rows")
-    d = named.unionByName(d.where("lang IS NULL").withColumn("words", F.array().cast("array<string>")))
-    d = d.select("doc_id", "lang", "t", "words", _text_key(F.col("t")).alias("key"), F.regexp_extract_all("t", F.lit(f"({common.WORD})")).alias("w"), _without("t", common.SPACE).alias("t1"))
+    named = common.lookup(d.where("lang IS NOT NULL"), lists, "lang", "lang_rows", total).drop("lang_rows")
+    d = named.unionByName(d.where("lang IS NULL").withColumns({"listed": F.lit(""), "marked": F.lit(""), "longest": F.lit(0)}))
+    d = d.select("doc_id", "lang", "t", "listed", "marked", "longest", _text_key(F.col("t")).alias("key"), F.regexp_extract_all("t", F.lit(f"({common.WORD})")).alias("w"), _without("t", common.SPACE).alias("t1"))
     d = d.withColumns({"t2": _without("t1", "[a-z]+"), "n": F.size("w"), "lines": F.filter(F.split("t", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))})
-    d = d.withColumns({"t3": _without("t2", "[A-Z]+"), "hashes": window_hashes(F.col("w"), F.col("n")), "known": F.filter(F.transform("w", lambda w: F.lower(w)), lambda w: F.array_contains("words", w))})
-    d = d.withColumns({"t4": _without("t3", "[#*$%&|<>]+"), "marks": F.array_join(F.transform("known", lambda w: F.element_at(marks, F.array_position("words", w).cast("int"))), "")})
+    d = d.withColumns({"t3": _without("t2", "[A-Z]+"), "hashes": window_hashes(F.col("w"), F.col("n")), "known": F.filter(F.transform(F.filter("w", lambda w: F.length(w) <= F.col("longest")), lambda w: F.concat(F.lit(" "), F.lower(w), F.lit(" "))), lambda w: F.contains("listed", w))})
+    d = d.withColumns({"t4": _without("t3", "[#*$%&|<>]+"), "marks": F.array_join(F.transform("known", lambda w: F.substring("marked", F.instr("listed", w), F.lit(1))), "")})
     d = d.withColumns({"t5": _without("t4", "[0-9]+"), "repeats": F.size(F.array_distinct("hashes")) < F.size("hashes")})
     size = lambda c: F.length(c).cast("long")
     wide = size(_without("t5", "[\\x00-\\x7F]+"))
