@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,8 +64,9 @@ def crop_polygon(polygon: Column, size: tuple[Column, Column], rect: tuple[Colum
     within = lambda v, most: F.least(F.greatest(v, F.lit(0.0)), most * F.lit(1.0)) / most
 
     def kept(points: Column) -> Column:
-        xs, ys = F.transform(points, lambda p: p.x), F.transform(points, lambda p: p.y)
-        outside = (F.array_max(xs) <= 0) | (F.array_min(xs) >= rw) | (F.array_max(ys) <= 0) | (F.array_min(ys) >= rh)
+        # Of most polygons a point says soon that not all are on one side.
+        sides = (lambda p: p.x <= 0, lambda p: p.x >= rw, lambda p: p.y <= 0, lambda p: p.y >= rh)
+        outside = reduce(operator.or_, (F.forall(points, side) for side in sides))
         return F.when(~outside, F.transform(points, lambda p: F.struct(within(p.x, rw).alias("x"), within(p.y, rh).alias("y"))))
 
     return let(pixels, kept)
@@ -73,12 +77,13 @@ def crop_labels(labels: Column, size: tuple[Column, Column], rect: tuple[Column,
     three points or more, does; one with neither goes as well."""
 
     def moved(t: Column) -> Column:
-        has = F.coalesce(F.size(t["polygon"]) >= 3, F.lit(False))
+        many = F.coalesce(F.size(t["polygon"]) >= 3, F.lit(False))
         b = crop(t["bbox"]["cx"], t["bbox"]["cy"], t["bbox"]["w"], t["bbox"]["h"], size, rect)
-        return F.struct(t["class_id"].alias("class_id"), F.when(t["bbox"].isNotNull(), b).alias("bbox"), F.when(has, crop_polygon(t["polygon"], size, rect)).alias("polygon"), (t["bbox"].isNotNull() & b.isNull()).alias("_box"), (has & crop_polygon(t["polygon"], size, rect).isNull()).alias("_points"))
+        return F.struct(t["class_id"].alias("class_id"), t["bbox"].isNotNull().alias("has_box"), many.alias("has_points"), F.when(t["bbox"].isNotNull(), b).alias("bbox"), F.when(many, crop_polygon(t["polygon"], size, rect)).alias("polygon"))
 
-    good = F.filter(F.transform(labels, moved), lambda t: ~t["_box"] & ~t["_points"] & (t["bbox"].isNotNull() | t["polygon"].isNotNull()))
-    return F.transform(good, lambda t: F.struct(t["class_id"].alias("class_id"), t["bbox"].alias("bbox"), t["polygon"].alias("polygon")))
+    # What a label had stays beside what is left of it, so that each is cropped once.
+    stays = lambda t: (t["has_box"] == t["bbox"].isNotNull()) & (t["has_points"] == t["polygon"].isNotNull()) & (t["has_box"] | t["has_points"])
+    return F.transform(F.filter(F.transform(labels, moved), stays), lambda t: F.struct(t["class_id"].alias("class_id"), t["bbox"].alias("bbox"), t["polygon"].alias("polygon")))
 
 
 def scaled_rect(rect: tuple[Column, Column, Column, Column], shown: tuple[Column, Column], size: tuple[Column, Column]) -> Column:

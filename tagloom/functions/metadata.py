@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -105,7 +108,12 @@ def nodes_titled(workflow: Column, prefix: str, exact: bool = False) -> Column:
 
 def has_titled(workflow: Column, *prefixes: str) -> Column:
     """Whether a workflow has a node for each of some title prefixes, case and all; null if it is no graph."""
-    out = F.lit(True)
-    for prefix in prefixes:
-        out = out & (F.size(nodes_titled(workflow, prefix, exact=True)) > 0)
-    return F.when(graph_nodes(workflow).isNotNull(), out)
+
+    def one(nodes: Column, prefix: str) -> Column:
+        return F.exists(nodes, lambda n: F.startswith(F.coalesce(n["title"], F.lit("")), F.lit(prefix)))
+
+    def has(nodes: Column) -> Column:
+        each = (one(nodes, p) for p in prefixes)
+        return F.when(nodes.isNotNull(), reduce(operator.and_, each, F.lit(True)))
+
+    return let(graph_nodes(workflow), has)

@@ -445,6 +445,13 @@ def file_plan(items: DataFrame, action: str, folder: str | None = None, root: st
     return files.select(F.lit(action).alias("action"), "source", to.alias("destination"), F.lit(stays).alias("stays"))
 
 
+def at_paths(items: DataFrame, paths: DataFrame) -> DataFrame:
+    """items (path) at some paths (path), however these are written: with or without a scheme,
+    with either slash, in any case. An item that is asked for twice is there once."""
+    key = lambda df: F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(df["path"], "^file:(//)?", ""), r"\\", "/"), "/+", "/"))
+    return items.withColumn("_key", key(items)).join(paths.select(key(paths).alias("_key")).distinct(), "_key", "left_semi").drop("_key")
+
+
 def without_items(rows: DataFrame, gone: DataFrame) -> DataFrame:
     """rows (item_id) of items, labels or edits without those of deleted items (item_id): they
     are keyed by id, so what is left needs no new keys."""

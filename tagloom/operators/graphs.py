@@ -112,3 +112,25 @@ def prompts(graphs: DataFrame) -> DataFrame:
         out = out.join(part, "item_id", "left")
     text = lambda c: F.coalesce(c, F.lit("")).alias(c)
     return out.select("item_id", text("positive"), text("negative"), F.coalesce("settings", F.create_map().cast("map<string,string>")).alias("settings"), "width", "height")
+
+
+def metadata_of(files: DataFrame) -> DataFrame:
+    """files (path, content) of PNG images -> path, format, positive, negative, tags, settings,
+    width, height: what their text chunks say.
+
+    Parameters in words come first, else the graph of a prompt is read; an image with neither
+    has the format `` and empty prompts. Files are read once, and a graph's rows meet by path.
+    """
+    from tagloom.functions import metadata
+    from tagloom.functions.tags import split_prompt
+    from tagloom.sources.catalog import png_texts
+
+    said = stored(png_texts(files).withColumn("format", metadata.source_of(F.col("texts"))), "texts")
+    words = said.where("format = 'text'").select("path", "format", metadata.parse(F.element_at("texts", "parameters")).alias("m"))
+    fields = ["positive", "negative", "tags", "settings", "width", "height"]
+    words = words.select("path", "format", *(f"m.{c}" for c in fields))
+    graph = said.where("format = 'graph'").select(F.col("path").alias("item_id"), F.element_at("texts", "prompt").alias("graph"))
+    found = prompts(graph).select(F.col("item_id").alias("path"), F.lit("graph").alias("format"), "positive", "negative", split_prompt(F.col("positive")).alias("tags"), "settings", "width", "height")
+    none = F.lit(None).cast("int")
+    plain = said.where("format = ''").select("path", "format", F.lit("").alias("positive"), F.lit("").alias("negative"), F.array().cast("array<string>").alias("tags"), F.create_map().cast("map<string,string>").alias("settings"), none.alias("width"), none.alias("height"))
+    return words.unionByName(found).unionByName(plain)

@@ -76,6 +76,15 @@ def perceptual_hashes(spark, sf):
     return hashing.perceptual_hashes(_grey(spark, sf)).select("vec_id", F.array_join(words, "").alias("bits"))
 
 
+@query("""SELECT doc_id, source || '/' || lang || '/' || doc_id || '.png' AS path FROM documents WHERE doc_id IN (SELECT item_id * 3 FROM benchmark)""")
+def items_at_paths(spark, sf):
+    """Rows by path, where the paths come from elsewhere, written in capitals and with doubled slashes."""
+    d = src.table(spark, sf, "documents")
+    items = d.select("doc_id", F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".png"))).alias("path"))
+    wanted = d.join(src.table(spark, sf, "benchmark").select((F.col("item_id") * 3).alias("doc_id")), "doc_id")
+    return cat.at_paths(items, wanted.select(F.upper(F.concat_ws("//", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".png")))).alias("path")))
+
+
 # --- names -----------------------------------------------------------------------------
 
 

@@ -359,11 +359,11 @@ def cache_refreshed(spark, sf):
     return cat.refreshed(cache, fresh, cache.where("key % 5 = 0"))
 
 
-@query("""WITH l AS (SELECT p_partkey AS seq, string_split(p_name, ' ') AS w FROM part WHERE p_partkey <= 100)
+@query("""WITH l AS (SELECT p_partkey AS seq, string_split(p_name, ' ') AS w FROM part)
 SELECT seq::INT AS class_id, w[1] AS name, CASE WHEN seq % 3 = 0 THEN 'polygon' ELSE 'bbox' END AS kind FROM l WHERE seq % 4 <> 0""")
 def classes_read(spark, sf):
     """Lines name|color|kind; every fourth has a part too few."""
-    p = src.table(spark, sf, "part").where("p_partkey <= 100")
+    p = src.table(spark, sf, "part")
     line = F.concat_ws("|", F.get(F.split("p_name", " "), F.lit(0)), F.lit("#fff"), F.when(F.col("p_partkey") % 4 != 0, F.when(F.col("p_partkey") % 3 == 0, F.lit("polygon")).otherwise(F.lit("box"))))
     return cat.classes_of_lines(p.select(F.col("p_partkey").alias("seq"), line.alias("line"))).select("class_id", "name", "kind")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import time
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -178,7 +179,7 @@ def write_files(rows: DataFrame, path: str) -> None:
         context = TaskContext.get()
         fs, folder = store(staging)
         own = f"{folder}/{context.partitionId()}-{context.taskAttemptId()}"
-        fs.create_dir(own, recursive=True)
+        fs.create_dir(own, recursive=False)  # a task that outlives its job finds no folder to write to
         n = 0
         for batch in batches:
             places = []
@@ -208,14 +209,21 @@ def write_files(rows: DataFrame, path: str) -> None:
             yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows])})
 
     fs, folder = store(staging)
+    fs.create_dir(folder, recursive=True)
     try:
         written = stored(rows.select("name", "text").mapInArrow(put, "name string, place string"), "files")
         written.mapInArrow(move, "n long").agg(F.sum("n")).collect()
     finally:
-        from pyarrow.fs import FileType
-
-        if fs.get_file_info(folder).type != FileType.NotFound:
-            fs.delete_dir(folder)
+        for left in reversed(range(10)):
+            try:
+                fs.delete_dir(folder)
+                break
+            except FileNotFoundError:
+                break
+            except OSError:  # a task still wrote a file
+                if not left:
+                    raise
+                time.sleep(0.2)
 
 
 def write_captions(items: DataFrame, path: str, separator: str = ", ") -> None:

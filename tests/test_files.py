@@ -3,6 +3,7 @@
 import io
 import os
 import struct
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -92,8 +93,27 @@ def test_a_failed_task_leaves_no_file(spark, tmp_path):
     with pytest.raises(Exception, match="no text"):
         sources.write_files(rows.select("name", broken.alias("text")), f"{tmp_path}/out")
     assert os.listdir(f"{tmp_path}/out") == []
+    time.sleep(2)  # tasks that outlive the failed job
+    assert os.listdir(f"{tmp_path}/out") == []
     sources.write_files(rows.select("name", F.col("id").cast("string").alias("text")), f"file:{tmp_path}/out")
     assert sorted(os.listdir(f"{tmp_path}/out/d")) == sorted(f"{i}.txt" for i in range(200)) and os.listdir(f"{tmp_path}/out") == ["d"]
     assert open(f"{tmp_path}/out/d/7.txt").read() == "7"
     sources.write_files(rows.where("id = 7").select("name", F.lit("new").alias("text")), f"{tmp_path}/out")
     assert open(f"{tmp_path}/out/d/7.txt").read() == "new"
+
+
+def test_metadata_of_images(spark):
+    """Parameters before a graph, a graph, and neither."""
+    from tagloom.operators import graphs
+
+    chunk = lambda key, text: struct.pack(">I", len(key) + 1 + len(text)) + b"tEXt" + key + b"\0" + text + bytes(4)
+    png = lambda *chunks: b"\x89PNG\r\n\x1a\n" + struct.pack(">I", 13) + b"IHDR" + bytes(17) + b"".join(chunks)
+    graph = b'{"1": {"class_type": "KSampler", "inputs": {"positive": ["2", 0], "steps": 9}}, "2": {"class_type": "CLIPTextEncode", "inputs": {"text": "a cat, b"}}}'
+    words = b"sun, sky\nNegative prompt: rain\nSteps: 5, Size: 64x32"
+    rows = [("w.png", png(chunk(b"parameters", words), chunk(b"prompt", graph))), ("g.png", png(chunk(b"prompt", graph))), ("n.png", png()), ("x.jpg", b"abc")]
+    found = {r.path: r for r in graphs.metadata_of(spark.createDataFrame(rows, "path string, content binary")).collect()}
+    assert len(found) == 4
+    w, g, n = found["w.png"], found["g.png"], found["n.png"]
+    assert (w.format, w.positive, w.negative, w.tags, w.width, w.height, w.settings["Steps"]) == ("text", "sun, sky", "rain", ["sun", "sky"], 64, 32, "5")
+    assert (g.format, g.positive, g.tags, g.settings["steps"], g.width) == ("graph", "a cat, b", ["a cat", "b"], "9", None)
+    assert (n.format, n.positive, n.tags, n.settings) == ("", "", [], {}) and found["x.jpg"].format == ""
