@@ -79,8 +79,9 @@ def common_words(docs: DataFrame) -> DataFrame:
     words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(f"({common.WORD})"))
     named = docs.select(_lang(docs), words.alias("words")).where("lang IS NOT NULL")
     counts = common.staged(named.select("lang", F.explode("words").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n")), "words")
-    total = counts.groupBy("lang").agg(F.sum("n").alias("lang_words"))
-    often = counts.join(total, "lang").where(F.col("n") >= COMMON_SHARE * F.col("lang_words"))
+    total = common.staged(counts.groupBy("lang").agg(F.sum("n").alias("lang_words"), F.count("*").alias("kinds")), "totals")
+    # A language may have most of all words: those that are common are told before any meet by language.
+    often = common.lookup(counts, total, "lang", "kinds", counts.count()).where(F.col("n") >= COMMON_SHARE * F.col("lang_words"))
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))
     best = often.withColumn("rank", rank).where(F.col("rank") <= OF_LANGUAGE).groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x.word).alias("words"), F.first("lang_words").alias("lang_words"))
     rows = docs.select(_lang(docs)).where("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("lang_rows"))
