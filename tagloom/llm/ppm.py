@@ -239,11 +239,11 @@ def train(table: DataFrame) -> tuple[Trie, DataFrame, np.ndarray, np.ndarray, in
     return trie, others, frequent.key.to_numpy(np.int64).view(np.uint64)[order], frequent.n.to_numpy(np.int64)[order], int(tokens), int(distinct)
 
 
-def _uid(doc: np.ndarray, texts: list[bytes]) -> np.ndarray:
-    """64 bits of a row's doc_id and text."""
+def _uid(doc, texts: list[bytes]) -> pa.Array:
+    """128 bits of a row's doc_id and text."""
     import xxhash
 
-    return common.mixed(doc.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.array([xxhash.xxh64_intdigest(t) for t in texts], np.uint64)).view(np.int64)
+    return pa.array([xxhash.xxh3_128_digest(b"%d:" % (d or 0) + t) for d, t in zip(doc.to_pylist(), texts)], pa.binary())
 
 
 def _places(hashes: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -272,7 +272,7 @@ def score(docs: DataFrame, train_docs: DataFrame | None = None) -> DataFrame:
                 texts = common.text_bytes(part.column("text"), lower=True)
                 hashes, owner = common.word_hashes(texts)
                 doc = part.column("doc_id")
-                yield doc, _uid(doc.fill_null(0).to_numpy(zero_copy_only=False), texts), texts, hashes, owner
+                yield doc, _uid(doc, texts), texts, hashes, owner
 
     model = f"ppm-{uuid.uuid4().hex}"
 
@@ -303,24 +303,32 @@ def score(docs: DataFrame, train_docs: DataFrame | None = None) -> DataFrame:
             hashes, owner = hashes[order], owner[order]
             first = np.flatnonzero(np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])))) if len(hashes) else np.zeros(0, np.int64)
             times = np.diff(np.append(first, len(hashes))).astype(np.int32)
-            # And a row a text that counts how often the text is there.
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([uid[owner[first]], uid])), pa.array(np.concatenate([hashes[first].view(np.int64), uid])), pa.array(np.concatenate([times, np.zeros(len(uid), np.int32)]))], names=["uid", "key", "times"])
+            # And a row a text, without a key, that counts how often the text is there.
+            none, zeros = pa.nulls(len(uid), pa.int64()), np.zeros(len(uid), np.int32)
+            arrays = [pa.concat_arrays([uid.take(pa.array(owner[first])), uid]), pa.concat_arrays([pa.array(hashes[first].view(np.int64)), none]), pa.array(np.concatenate([times, zeros]))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["uid", "key", "times"])
 
     def deep(batches):
         trie, _, _ = prepared()
         for _, uid, texts, _, _ in parts(batches):
             owner, codes, times = trie.others(texts)
-            yield pa.RecordBatch.from_arrays([pa.array(uid[owner]), pa.array(codes >> 8), pa.array((codes & 255).astype(np.int32)), pa.array(times)], names=["uid", "context", "symbol", "times"])
+            yield pa.RecordBatch.from_arrays([uid.take(pa.array(owner)), pa.array(codes >> 8), pa.array((codes & 255).astype(np.int32)), pa.array(times)], names=["uid", "context", "symbol", "times"])
 
     words = table.where((F.col("kind") == WORDS) & (F.col("n") * FREQUENT < tokens)).select("key", "n")
-    found = common.mapped(rows, rare, "uid long, key long, times int").join(words, "key", "left")
-    log = F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1.0)
-    zero = F.lit(0.0)
-    found = found.select("uid", (F.col("times") == 0).cast("long").alias("copies"), log.alias("more"), F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0).cast("long").alias("more_known"), zero.alias("deep"))
-    met = common.mapped(rows, deep, "uid long, context long, symbol int, times int").join(nodes, "context")
-    met = met.select("uid", F.lit(0).cast("long").alias("copies"), zero.alias("more"), F.lit(0).cast("long").alias("more_known"), (F.col("times") * F.get("rare", F.col("symbol")).cast("double")).alias("deep"))
-    found = found.unionByName(met).groupBy("uid").agg(*(F.sum(c).alias(c) for c in ("copies", "more", "more_known", "deep")))
-    out = common.mapped(rows, summed, "doc_id long, uid long, n_tokens long, known long, base double, score double").join(found, "uid")
+    # A word that training lacks adds nothing. Words and contexts that many texts share are dealt
+    # out by text, and so are the rows of a text that is there many times.
+    asked = common.staged(common.mapped(rows, rare, "uid binary, key long, times int"), "asked")
+    looked = asked.where("times > 0")
+    zero, no = F.lit(0.0), F.lit(0).cast("long")
+    copies = asked.where("times = 0").select("uid", F.lit(1).cast("long").alias("copies"), zero.alias("more"), no.alias("more_known"), zero.alias("deep"))
+    found = common.salted(looked, words, "key", "uid", looked.count())
+    found = found.select("uid", no.alias("copies"), (F.col("times") * F.log10(F.col("n") + 1.0)).alias("more"), F.col("times").cast("long").alias("more_known"), zero.alias("deep"))
+    steps = common.staged(common.mapped(rows, deep, "uid binary, context long, symbol int, times int"), "steps")
+    met = common.salted(steps, nodes, "context", "uid", steps.count())
+    met = met.select("uid", no.alias("copies"), zero.alias("more"), no.alias("more_known"), (F.col("times") * F.get("rare", F.col("symbol")).cast("double")).alias("deep"))
+    found = copies.unionByName(found).unionByName(met).groupBy("uid").agg(*(F.sum(c).alias(c) for c in ("copies", "more", "more_known", "deep")))
+    sums = common.staged(common.mapped(rows, summed, "doc_id long, uid binary, n_tokens long, known long, base double, score double"), "sums")
+    out = common.lookup(sums, common.staged(found, "found"), "uid", "copies", sums.count())
     return out.select(
         "doc_id",
         "n_tokens",

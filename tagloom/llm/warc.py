@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from . import common
 
 LEAST_BYTES = 1000
-#: Records in one archive file at most, and about the most bytes, which one task reads whole.
-FILE_RECORDS, FILE_BYTES = 2000, 1 << 28
+#: Records in one archive file at most, and the most bytes of their payloads unless one has more
+#: by itself: one task reads a file whole. Bands of sizes grow by this factor.
+FILE_RECORDS, FILE_BYTES, BAND = 2000, 1 << 28, 8
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -65,9 +66,22 @@ def revisits(rows: DataFrame) -> DataFrame:
     return rows.select(F.concat(_head("revisit", fields, F.octet_length(http)), http).alias("value"))
 
 
-def write(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, file_records: int = FILE_RECORDS, compression: str = "none") -> None:
+def bands(file_records: int, file_bytes: int = FILE_BYTES) -> list[tuple[int, int | None, int]]:
+    """(least bytes, bytes that are too many, records a file): payloads of a band fill no file
+    beyond file_bytes; those of the last have a file each."""
+    out, least, top = [], 0, max(1, file_bytes // file_records)
+    while top <= file_bytes:
+        out.append((least, top + 1, min(file_records, file_bytes // top)))
+        least, top = top + 1, top * BAND
+    return [*out, (least, None, 1)]
+
+
+def write(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, file_records: int = FILE_RECORDS, compression: str = "none", file_bytes: int = FILE_BYTES) -> None:
     """Writes pages (page_id, url, html) as archives below path.
 
+    Payloads are written by bands of their sizes, each with as many records a file as file_bytes
+    have room for; a band that no payload is in costs nothing, any other one look at the pages.
+
     Of equal payloads of least_bytes or more, the row with the largest page_id is the
     response, the others revisit it; smaller payloads are all responses. A null html is an
     empty payload, a null url leaves out the header, and a row without a page_id is a response. Rows that repeat page_id and payload
@@ -77,13 +91,23 @@ def write(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, file_reco
     best = F.max(F.struct("page_id", "url"))
     same = head.where(F.col("payload_bytes") >= least_bytes).groupBy("digest").agg(best.alias("best"), F.count("*").alias("rows")).where("rows > 1")
     same = common.staged(same.select("digest", F.col("best.page_id").alias("refers_to"), F.col("best.url").alias("refers_url"), "rows"), "originals")
-    total, size = head.agg(F.count("*"), F.coalesce(F.sum("payload_bytes"), F.lit(0))).first()
+    total = head.count()
     again = common.lookup(head, same, "digest", "rows", total).where("page_id != refers_to")
     keyed = pages.select("page_id", "url", "html").withColumns({"sha1": F.sha1(F.coalesce("html", F.lit("")).cast("binary")), "digest": F.unhex(F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256))})
     may = common.bit_filter(same, "digest")
     hits = keyed.where(may).join(again.select("page_id", "digest").distinct(), ["page_id", "digest"], "left_anti").select(keyed.columns)
-    records = responses(keyed.where(~may)).unionByName(responses(hits)).unionByName(revisits(again))
-    records.write.options(lineSep="\r\n\r\n", maxRecordsPerFile=max(1, min(file_records, FILE_BYTES * total // max(1, size))), compression=compression).text(path)
+    first = keyed.where(~may).unionByName(hits)
+    size = F.octet_length(F.coalesce("html", F.lit("")))
+    within = lambda c, least, over: (c >= least) & (F.lit(True) if over is None else c < over)
+    cuts = bands(file_records, file_bytes)
+    there = head.agg(*(F.count_if(within(F.col("payload_bytes"), *cut[:2])) for cut in cuts)).first()
+    for k, (least, over, records) in enumerate(cuts):
+        if k and not there[k]:
+            continue
+        some = responses(first.where(within(size, least, over)))
+        if not k:
+            some = some.unionByName(revisits(again))
+        some.write.mode("append" if k else "errorifexists").options(lineSep="\r\n\r\n", maxRecordsPerFile=records, compression=compression).text(path)
 
 
 READ = "record_id string, page_id long, url string, record_type string, refers_record string, payload_bytes long, payload_digest string"

@@ -95,6 +95,20 @@ def test_repeated_rows(spark):
     same(found, brute(rows))
 
 
+def test_a_row_that_is_there_very_often(spark):
+    """One row 20000 times, a word that training lacks in all others, and a rare context in all."""
+    train = [(0, "the cat sat on the mat " * 12_000), (1, "xqzv jkwp")]
+    rows = [(5, "xqzv unheard cat")] * 20_000 + [(i, f"unheard xqzv {i % 5}") for i in range(100, 3100)]
+    found = ppm.score(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(train, "doc_id long, text string")).collect()
+    trie, _ = model([lower(t) for _, t in train])
+    assert sorted(r.doc_id for r in found) == sorted(d for d, _ in rows)
+    # Known are xqzv and the end, and cat in the row that is there often.
+    assert all(r.n_tokens == 4 and r.n_known == (3 if r.doc_id == 5 else 2) for r in found)
+    exact = {t: log_probability(trie, 0, lower(t)) for t in {t for _, t in rows}}
+    texts = dict(rows)
+    assert all(r.score == pytest.approx(exact[texts[r.doc_id]], rel=1e-5, abs=1e-5) for r in found)
+
+
 def test_long_texts_go_in_blocks(monkeypatch):
     texts = [b"", b"abc", b"the cat sat on the mat" * 3, b"x"]
     plain = [framed[i : i + 4] for t in texts for framed in [b"\xff\xff\xff" + t + b"\xff"] for i in range(len(framed) - 3)]

@@ -60,3 +60,24 @@ def test_archives_of_many_members_and_missing_responses(spark, tmp_path):
     digest = hashlib.sha1(BIG.encode()).hexdigest()
     assert set(left) == {p[0] for p in PAGES} - {5}
     assert (left[1].record_type, left[1].refers_to, left[1].payload_bytes, left[1].payload_digest) == ("revisit", None, None, digest)
+
+
+def test_files_hold_few_bytes(spark, tmp_path):
+    """Small and large pages side by side: no file has more payload than it may, but for one record."""
+    pages = [(i, f"http://x/{i}", f"{i} " + "a" * (60_000 if i % 50 == 0 else 9_000 if i % 5 == 0 else 200)) for i in range(300)]
+    warc.write(frame(spark, pages).coalesce(1), str(tmp_path / "w"), file_records=100, file_bytes=20_000)
+    found = 0
+    for file in (tmp_path / "w").glob("part-*"):
+        blocks = [len(b) for _, b in warc._records(file.read_bytes())]
+        found += len(blocks)
+        assert len(blocks) <= 100 and (len(blocks) == 1 or sum(blocks) <= 20_000 + 100 * len(blocks))
+    assert found == 300
+    assert sorted(map(tuple, warc.archive(frame(spark, pages), file_records=100, file_bytes=20_000).collect()), key=str) == brute(pages)
+
+
+def test_bands_leave_no_gap():
+    for records, size in ((2000, 1 << 28), (2, 1 << 28), (1, 1 << 28), (5, 3), (100, 20_000)):
+        cuts = warc.bands(records, size)
+        assert cuts[0][0] == 0 and cuts[-1][1] is None and cuts[-1][2] == 1
+        assert all(a[1] == b[0] for a, b in zip(cuts, cuts[1:]))
+        assert all(1 <= n <= records and (over - 1) * n <= size for _, over, n in cuts[:-1])
