@@ -6,10 +6,12 @@ values to a list of results, so that what it loads is shared by all batches of a
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType, StringType, StructField, StructType
@@ -40,6 +42,33 @@ def names() -> list[str]:
     return sorted(_models)
 
 
+def _during(factory: Callable, answered: Callable, batches: Iterator) -> Iterator:
+    """What a new model answers to batches; one that has `finalize` or `unload` is told that the
+    task is over."""
+    model = factory()
+    try:
+        yield from answered(model, batches)
+    finally:
+        for end in ("finalize", "unload"):
+            getattr(model, end, lambda: None)()
+
+
+def _answers(model: Callable, values: list) -> tuple[list, list]:
+    """A model's results and errors; where it fails on all values, it is asked for each."""
+    try:
+        return list(model(values)), [None] * len(values)
+    except Exception:
+        results, errors = [], []
+    for value in values:
+        try:
+            results += model([value])
+            errors.append(None)
+        except Exception as error:
+            results.append(None)
+            errors.append(f"{type(error).__name__}: {error}")
+    return results, errors
+
+
 def apply(items: DataFrame, name: str, column: str, into: str = "result") -> DataFrame:
     """items with the model's result on a column, and the error where it has none.
 
@@ -52,34 +81,52 @@ def apply(items: DataFrame, name: str, column: str, into: str = "result") -> Dat
     arrow = to_arrow_type(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = factory()
-        try:
-            yield from answered(model, batches)
-        finally:
-            # A model that has `finalize` or `unload` is told that the task is over.
-            for end in ("finalize", "unload"):
-                getattr(model, end, lambda: None)()
+        yield from _during(factory, answered, batches)
 
     def answered(model, batches):
         for batch in batches:
-            values = batch.column(column).to_pylist()
-            try:
-                results, errors = list(model(values)), [None] * len(values)
-            except Exception:
-                results, errors = [], []
-                for value in values:
-                    try:
-                        results += model([value])
-                        errors.append(None)
-                    except Exception as error:
-                        results.append(None)
-                        errors.append(f"{type(error).__name__}: {error}")
+            results, errors = _answers(model, batch.column(column).to_pylist())
             arrays = [*batch.columns, pa.array(results, arrow), pa.array(errors, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, into, f"{into}_error"])
 
     return items.mapInArrow(run, schema)
 
 
+def column(name: str) -> Callable:
+    """A model as a function of one Column, whose values are structs of its result and its error.
+
+    It goes by Arrow batches, as apply does, and fits where a plan takes an expression.
+    """
+    factory, result = _models[name]
+    kind, arrow = parsed(f"struct<result:{result},error:string>"), to_arrow_type(parsed(result))
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from _during(factory, answered, batches)
+
+    def answered(model, batches):
+        for batch in batches:
+            results, errors = _answers(model, batch.to_pylist())
+            yield pa.StructArray.from_arrays([pa.array(results, arrow), pa.array(errors, pa.string())], ["result", "error"])
+
+    return F.arrow_udf(run, kind)
+
+
+def to_sql(spark: SparkSession, prefix: str = "") -> dict[str, str]:
+    """Makes every named model a function of SQL; the functions' names, by the models'.
+
+    What is no letter, digit or _ in a model's name is _ in its function's. Two models with one
+    function's name are an error, before any is made. A model's rows, if its result is an array, come
+    by LATERAL VIEW explode.
+    """
+    found = {name: prefix + re.sub(r"\W", "_", name, flags=re.ASCII) for name in names()}
+    twice = [n for n, of in Counter(f.lower() for f in found.values()).items() if of > 1]
+    if twice:
+        raise ValueError(f"several models would be {twice[0]}")
+    for name, function in found.items():
+        spark.udf.register(function, column(name))
+    return found
+
+
 def merged_labels(items: DataFrame, found: str, labels: str = "labels") -> DataFrame:
     """items with what a detector found appended to their labels."""
     return items.withColumn(labels, F.concat(labels, F.coalesce(F.col(found), F.slice(labels, 1, 0))))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagloom.plans import further, more  # noqa: F401 - their queries are put beside the others
+from tagloom.plans import further, more, workflows  # noqa: F401 - their queries are put beside the others
 from tagloom.plans import queries as plans
 
 Query = Callable[[SparkSession, str], DataFrame]

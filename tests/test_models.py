@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tagloom.operators import models
@@ -20,3 +21,22 @@ def test_results_are_appended(spark):
     items = spark.createDataFrame([(1, [1], [2, 3]), (2, [], None)], "id long, labels array<int>, found array<int>")
     assert {r.id: r.labels for r in models.merged_labels(items, "found").collect()} == {1: [1, 2, 3], 2: []}
     assert models.merged_labels(items, "found").select(F.size("labels")).count() == 2
+
+
+def test_models_are_functions_of_sql(spark, monkeypatch):
+    monkeypatch.setattr(models, "_models", {})
+    monkeypatch.setattr(models, "_extras", {})
+
+    class Splitter:
+        def __call__(self, values):
+            return [v.split() for v in values]  # fails on null
+
+    models.register("split it", "array<string>")(Splitter)
+    assert models.to_sql(spark, "my_") == {"split it": "my_split_it"}
+    items = spark.createDataFrame([(1, "a b"), (2, None), (3, ""), (4, "c")], "id long, name string")
+    found = spark.sql("SELECT id, word, a.error IS NULL AS good FROM (SELECT id, my_split_it(name) AS a FROM {items}) LATERAL VIEW OUTER explode(a.result) AS word", items=items)
+    assert sorted(map(tuple, found.collect()), key=str) == [(1, "a", True), (1, "b", True), (2, None, False), (3, None, True), (4, "c", True)]
+    assert spark.sql("SELECT my_split_it(name) FROM {items} WHERE id > 9", items=items).collect() == []
+    models.register("split-it", "array<string>")(Splitter)
+    with pytest.raises(ValueError, match="split_it"):
+        models.to_sql(spark)
