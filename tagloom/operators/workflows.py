@@ -127,17 +127,18 @@ def text_of(graph: Column, prefix: str) -> Column:
 def named_values(params: Column, taken: Column, values: Column) -> Column:
     """name, value: a node's values dealt to those of its class's params that are widgets and
     whose name is not taken, in order. What controls a seed has no name, and is passed over."""
-    some = F.filter(params, lambda p: p["widget"] & ~F.array_contains(taken, p["name"]))
+    def step(values: Column, s: Column, p: Column) -> Column:
+        def dealt(behind: Column) -> Column:
+            said = F.when(F.schema_of_variant(behind) == "STRING", F.try_variant_get(behind, "$", "string"))
+            control = p["name"].isin(*SEED_INPUTS) & F.coalesce(said.isin(*SEED_CONTROLS), F.lit(False))
+            more = F.array(F.struct(p["name"].alias("name"), F.get(values, s["at"]).alias("value")))
+            return F.struct((s["at"] + 1 + control.cast("int")).alias("at"), F.concat(s["out"], more).alias("out"))
 
-    def step(s: Column, p: Column) -> Column:
-        value, after = F.get(values, s["at"]), F.try_variant_get(F.get(values, s["at"] + 1), "$", "string")
-        control = p["name"].isin(*SEED_INPUTS) & F.coalesce((F.schema_of_variant(F.get(values, s["at"] + 1)) == "STRING") & after.isin(*SEED_CONTROLS), F.lit(False))
-        more = F.array(F.struct(p["name"].alias("name"), value.alias("value")))
-        done = F.struct((s["at"] + 1 + control.cast("int")).alias("at"), F.concat(s["out"], more).alias("out"))
-        return F.when(s["at"] < F.size(values), done).otherwise(s)
+        return F.when(s["at"] < F.size(values), let(F.get(values, s["at"] + 1), dealt)).otherwise(s)
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<name:string,value:variant>>").alias("out"))
-    return F.aggregate(some, start, step, lambda s: s["out"])
+    some = let(taken, lambda names: F.filter(params, lambda p: p["widget"] & ~F.array_contains(names, p["name"])))
+    return let(values, lambda v: F.aggregate(some, start, lambda s, p: step(v, s, p), lambda s: s["out"]))
 
 
 def converted(layouts: DataFrame, classes: DataFrame) -> DataFrame:
@@ -151,10 +152,10 @@ def converted(layouts: DataFrame, classes: DataFrame) -> DataFrame:
     names a row.
     """
     read = F.from_json("layout", f"struct<nodes:array<{NODE}>,links:array<array<variant>>>")
-    rows = stored(layouts.select("item_id", read.alias("l")), "layouts")
+    rows = layouts.select("item_id", read.alias("l"))
     nodes = rows.select("item_id", F.posexplode("l.nodes").alias("place", "n")).select("item_id", "place", "n.*")
     nodes = nodes.where(~F.coalesce("type", F.lit("")).isin(*EDITOR_ONLY))
-    known = nodes.join(classes.select(F.col("class_type").alias("type"), "params"), "type")
+    known = stored(nodes.join(classes.select(F.col("class_type").alias("type"), "params"), "type"), "nodes")
     part = lambda i: F.try_variant_get(F.get("link", F.lit(i)), "$", "string")
     links = rows.select("item_id", F.posexplode("l.links").alias("at", "link")).select("item_id", "at", part(0).alias("link_id"), part(1).alias("source"), F.get("link", F.lit(2)).alias("slot"))
     links = links.groupBy("item_id", F.col("link_id").alias("link")).agg(F.max_by(F.struct("source", "slot"), "at").alias("end"))

@@ -1,10 +1,11 @@
-"""Queries of workflows: formats, edits and conversion of whole tables of graphs, with SQL."""
+"""Queries of workflows (formats, edits, conversion), strokes on labels and models by SQL, with SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tagloom.operators import graphs, workflows
+from tagloom.functions import brush, geometry, masks
+from tagloom.operators import graphs, models, workflows
 from tagloom.plans.queries import query
 from tagloom.sources import catalog as src
 
@@ -53,3 +54,39 @@ def workflow_formats(spark, sf):
     """Which of two formats each text has, and the text that a graph's titled node holds."""
     rows = src.table(spark, sf, "part").select(F.col("p_partkey").alias("item_id"), F.expr(f"CASE WHEN p_size % 2 = 0 THEN {GRAPH} ELSE {LAYOUT} END").alias("w"))
     return rows.select("item_id", workflows.is_graph(F.col("w")).alias("is_graph"), workflows.is_layout(F.col("w")).alias("is_layout"), workflows.text_of(F.col("w"), "In_Text").alias("said"))
+
+
+# --- strokes on labels, and models by SQL text ---------------------------------------------
+
+
+@query("""WITH p AS (SELECT p_partkey, 10 + p_size % 12 AS a FROM part),
+r AS (SELECT p_partkey, unnest([4, a + 4]) AS x0, unnest([a - 1, 27]) AS x1 FROM p)
+SELECT p_partkey, 3 AS class_id, (x0 + x1) / 64.0::DOUBLE AS cx, 31 / 64.0::DOUBLE AS cy, (x1 - x0) / 32.0::DOUBLE AS w, 15 / 32.0::DOUBLE AS h, 4 AS corners FROM r WHERE (x1 - x0) * 15 >= 50""")
+def labels_erased(spark, sf):
+    """A box that a stroke from top to bottom cuts in two, unless one of them is too small."""
+    shape = lambda cx, w, cy, h: F.struct(F.lit(3).alias("class_id"), geometry.box(cx, cy, w, h).alias("bbox"), F.lit(None).cast("array<struct<x:double,y:double>>").alias("polygon"))
+    size, a = F.lit(32), F.col("p_size") % 12 + 10
+    labels = F.array(shape(F.lit(31 / 64), F.lit(23 / 32), F.lit(31 / 64), F.lit(15 / 32)))
+    stroke = masks.label_mask(F.array(shape((a * 2 + 3) / 64, F.lit(3 / 32), F.lit(31 / 64), F.lit(31 / 32))), size, size)
+    rows = src.table(spark, sf, "part").select("p_partkey", labels.alias("labels"), stroke.alias("stroke"))
+    after = rows.select("p_partkey", F.explode(brush.brushed("erase")("labels", "stroke", F.lit(3))).alias("l"))
+    return after.select("p_partkey", "l.class_id", "l.bbox.*", F.size("l.polygon").alias("corners"))
+
+
+@models.register("words of a name", "array<struct<word:string,n:int>>")
+def _words():
+    def found(names):
+        if any(n.startswith("a") for n in names):
+            raise ValueError("a name")
+        return [[{"word": w, "n": len(w)} for w in n.split(" ")] for n in names]
+
+    return found
+
+
+@query("""SELECT p_partkey, word, length(word)::INTEGER AS n, NULL AS error FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part WHERE p_name NOT LIKE 'a%')
+UNION ALL SELECT p_partkey, NULL, NULL, 'ValueError: a name' FROM part WHERE p_name LIKE 'a%'""")
+def models_by_sql(spark, sf):
+    """A model called in SQL text, a row for each of its results; an item that it fails on has the error."""
+    function = models.to_sql(spark)["words of a name"]
+    text = f"SELECT p_partkey, w.word, w.n, m.error FROM (SELECT p_partkey, {function}(p_name) AS m FROM {{part}}) LATERAL VIEW OUTER explode(m.result) AS w"
+    return spark.sql(text, part=src.table(spark, sf, "part"))
