@@ -89,13 +89,13 @@ def polygons(a: np.ndarray) -> list[np.ndarray]:
         box = tuple(slice(low[i, j], high[i, j] + 1) for j in (1, 0))
         points = outline(number[box], ks[i], xs[first[i]] - low[i, 0], 0)
         ahead = np.roll(points, -1, axis=0)
+        step = ahead - points
+        corners = points[(step != np.roll(step, 1, axis=0)).any(1)]
         if i != todo[-1]:
-            step = ahead - points
-            corners = points[(step != np.roll(step, 1, axis=0)).any(1)]
             covered[box] |= masks.filled([tuple(map(int, p)) for p in corners], *(high[i] - low[i] + 1)) > 0
         area = abs((points[:, 0] * ahead[:, 1] - ahead[:, 0] * points[:, 1]).sum()) / 2
         if area >= LEAST_AREA:
-            points = simplified(points, SLACK * np.hypot(*(ahead - points).T).sum())
+            points = simplified(corners, SLACK * np.hypot(*step.T).sum())
             if len(points) >= 3:
                 out.append(points + low[i])
     return out
