@@ -133,9 +133,11 @@ def parts(a: np.ndarray) -> np.ndarray:
 
     Runs of pixels in a row are joined with those that they touch in the row above.
     """
-    edge = np.diff(np.pad((a > 127).astype(np.int8), ((0, 0), (1, 1))), axis=1)
-    (rows, starts), ends = np.nonzero(edge == 1), np.nonzero(edge == -1)[1]
-    root = list(range(len(rows)))
+    wide = np.zeros((a.shape[0], a.shape[1] + 2), np.int8)
+    wide[:, 1:-1] = a > 127
+    edge = wide[:, 1:] - wide[:, :-1]
+    (rows, begin), end = np.nonzero(edge == 1), np.nonzero(edge == -1)[1]
+    starts, ends, root = begin.tolist(), end.tolist(), list(range(len(rows)))
 
     def top(i: int) -> int:
         while root[i] != i:
@@ -143,7 +145,7 @@ def parts(a: np.ndarray) -> np.ndarray:
             i = root[i]
         return i
 
-    first = np.searchsorted(rows, np.arange(a.shape[0] + 1))
+    first = np.searchsorted(rows, np.arange(a.shape[0] + 1)).tolist()
     for y in range(1, a.shape[0]):
         i, j = first[y - 1], first[y]
         while i < first[y] and j < first[y + 1]:
@@ -152,8 +154,7 @@ def parts(a: np.ndarray) -> np.ndarray:
                 root[max(x, z)] = min(x, z)
             i, j = (i + 1, j) if ends[i] < ends[j] else (i, j + 1)
     out = np.zeros(a.shape, np.int32)
-    for i, (y, s, e) in enumerate(zip(rows, starts, ends)):
-        out[y, s:e] = top(i) + 1
+    out[wide[:, 1:-1] > 0] = np.repeat(np.array([top(i) + 1 for i in range(len(root))], np.int32), end - begin)
     return out
 
 

@@ -42,6 +42,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Tasks for each core that rows are dealt out to.
+TASKS = 4
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows, dealt out by keys that differ. A small file is one task as it is read, however many
+    cores there are; before a step that costs far more than to move its rows, deal them out."""
+    session = rows.sparkSession
+    n = max(int(session.conf.get("spark.sql.shuffle.partitions")), TASKS * session.sparkContext.defaultParallelism)
+    return rows.repartition(n, *keys)
+
+
 #: A key with over 1/HOT of the rows is hot, so there are HOT hot keys at most.
 HOT = 1000
 

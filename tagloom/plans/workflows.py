@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tagloom.functions import brush, geometry, masks
+from tagloom.operators import catalog as cat
 from tagloom.operators import graphs, models, workflows
 from tagloom.plans.queries import query
 from tagloom.sources import catalog as src
@@ -68,7 +69,8 @@ def labels_erased(spark, sf):
     size, a = F.lit(32), F.col("p_size") % 12 + 10
     labels = F.array(shape(F.lit(31 / 64), F.lit(23 / 32), F.lit(31 / 64), F.lit(15 / 32)))
     stroke = masks.label_mask(F.array(shape((a * 2 + 3) / 64, F.lit(3 / 32), F.lit(31 / 64), F.lit(31 / 32))), size, size)
-    rows = src.table(spark, sf, "part").select("p_partkey", labels.alias("labels"), stroke.alias("stroke"))
+    parts = cat.spread(src.table(spark, sf, "part").select("p_partkey", "p_size"), "p_partkey")
+    rows = parts.select("p_partkey", labels.alias("labels"), stroke.alias("stroke"))
     after = rows.select("p_partkey", F.explode(brush.brushed("erase")("labels", "stroke", F.lit(3))).alias("l"))
     return after.select("p_partkey", "l.class_id", "l.bbox.*", F.size("l.polygon").alias("corners"))
 
