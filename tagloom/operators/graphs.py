@@ -50,6 +50,12 @@ def inputs(rows: DataFrame) -> DataFrame:
     return each.select("item_id", "place", "id", "class_type", "title", "at", F.col("e.key").alias("name"), kind.alias("kind"), value.alias("value"), link.alias("link"))
 
 
+def _many(rows: DataFrame) -> DataFrame:
+    """rows, never broadcast: tables of a row an item or more are small as compressed files, by
+    which Spark judges them, and too large for the driver."""
+    return rows.hint("merge")
+
+
 def reached(starts: DataFrame, rows: DataFrame, edges: DataFrame) -> DataFrame:
     """starts (item_id, side, id) -> item_id, side, id: the encoders that links lead back to.
 
@@ -61,11 +67,11 @@ def reached(starts: DataFrame, rows: DataFrame, edges: DataFrame) -> DataFrame:
     frontier = stored(starts.select(*at).distinct(), "frontier")
     seen = frontier
     while not frontier.isEmpty():
-        through = frontier.join(kinds.where("NOT found"), ["item_id", "id"])
-        onward = through.join(edges.select("item_id", "id", "link"), ["item_id", "id"]).select("item_id", "side", F.col("link").alias("id")).distinct()
-        frontier = stored(onward.join(seen, at, "left_anti"), "frontier")
+        through = frontier.join(_many(kinds.where("NOT found")), ["item_id", "id"])
+        onward = through.join(_many(edges.select("item_id", "id", "link")), ["item_id", "id"]).select("item_id", "side", F.col("link").alias("id")).distinct()
+        frontier = stored(onward.join(_many(seen), at, "left_anti"), "frontier")
         seen = seen.unionByName(frontier)
-    return seen.join(kinds.where("found"), ["item_id", "id"], "left_semi")
+    return seen.join(_many(kinds.where("found")), ["item_id", "id"], "left_semi")
 
 
 def prompts(graphs: DataFrame) -> DataFrame:
@@ -81,13 +87,13 @@ def prompts(graphs: DataFrame) -> DataFrame:
     sampled = links.where(_is(SAMPLERS) & F.col("name").isin("positive", "negative")).select("item_id", F.col("name").alias("side"), F.col("link").alias("id"))
     low = F.lower(F.coalesce("title", F.lit("")))
     side = F.when(F.contains(low, F.lit("negative")), F.lit("negative")).when(F.contains(low, F.lit("positive")) | F.contains(low, F.lit("prompt")), F.lit("positive"))
-    titled = rows.where(_is(ENCODERS)).select("item_id", side.alias("side"), "id").where("side IS NOT NULL").join(sampled.select("item_id").distinct(), "item_id", "left_anti")
+    titled = rows.where(_is(ENCODERS)).select("item_id", side.alias("side"), "id").where("side IS NOT NULL").join(_many(sampled.select("item_id").distinct()), "item_id", "left_anti")
     ends = reached(sampled.unionByName(titled), rows, links)
     # An encoder's text: by key in order of preference, else its first text that is not empty.
     rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, TEXT_KEYS)), F.col("name")), F.lit(0).cast("long")), F.lit(len(TEXT_KEYS)) + 1 + F.col("at"))
     usable = (F.col("kind") == "STRING") & (F.col("name").isin(*TEXT_KEYS) | (F.col("value") != ""))
     texts = each.where(usable).groupBy("item_id", "id", "place").agg(F.min_by("value", rank).alias("value")).where("value != ''")
-    said = ends.join(texts, ["item_id", "id"])
+    said = ends.join(_many(texts), ["item_id", "id"])
     lines = lambda s: strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("place", "value")))), lambda x: x.value), "\n"))
     prompt = said.groupBy("item_id").agg(lines("positive").alias("positive"), lines("negative").alias("negative"))
 
@@ -109,7 +115,7 @@ def prompts(graphs: DataFrame) -> DataFrame:
 
     out = graphs.select("item_id").distinct()
     for part in (prompt, settings, size):
-        out = out.join(part, "item_id", "left")
+        out = out.join(_many(part), "item_id", "left")
     text = lambda c: F.coalesce(c, F.lit("")).alias(c)
     return out.select("item_id", text("positive"), text("negative"), F.coalesce("settings", F.create_map().cast("map<string,string>")).alias("settings"), "width", "height")
 
