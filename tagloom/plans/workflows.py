@@ -43,7 +43,8 @@ def workflows_converted(spark, sf):
 unnest([p_name, NULL, p_partkey::VARCHAR, p_size::VARCHAR, (p_size * 8)::VARCHAR, '512', '1']) AS value, unnest([NULL, '9', NULL, NULL, NULL, NULL, NULL]) AS link FROM part""")
 def workflows_edited(spark, sf):
     """A text, a seed and a size put in nodes by their titles, read again as a row for each input."""
-    rows = src.table(spark, sf, "part").withColumn("graph", F.expr(GRAPH))
+    parts = cat.spread(src.table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_size"), "p_partkey")
+    rows = parts.withColumn("graph", F.expr(GRAPH))
     graph = workflows.with_text(F.col("graph"), "In_Text", F.col("p_name"))
     graph = workflows.with_seed(graph, "Seed", F.col("p_partkey"))
     graph = workflows.with_values(graph, "Size", width=F.col("p_size") * 8, height=F.lit(512))
