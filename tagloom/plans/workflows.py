@@ -18,7 +18,8 @@ LISTED = ", ".join(f"('{c}', {k}, '{name}', {str(widget).lower()})" for c, param
 
 
 def _of_parts(spark, sf, text: str, name: str):
-    return src.table(spark, sf, "part").select(F.col("p_partkey").alias("item_id"), F.expr(text).alias(name))
+    parts = cat.spread(src.table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_size"), "p_partkey")
+    return parts.select(F.col("p_partkey").alias("item_id"), F.expr(text).alias(name))
 
 
 @query(f"""WITH l AS (SELECT p_partkey AS item_id, ({LAYOUT})::JSON AS j FROM part),
