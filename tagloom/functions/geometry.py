@@ -30,16 +30,24 @@ def parse_yolo(line: Column) -> Column:
     Four numbers after an integer class are a box, six or more, an even number, a polygon
     with its bounding box.
     """
-    parts = F.split(F.regexp_replace(line, r"^\s+|\s+$", ""), r"\s+")
-    cls = F.when(F.get(parts, F.lit(0)).rlike(r"^[+-]?\d+$"), F.get(parts, F.lit(0)).try_cast("int"))
-    values = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda v: v.try_cast("double"))
-    n, good = F.size(values), ~F.exists(values, lambda v: v.isNull()) & cls.isNotNull()
-    at = lambda i: F.get(values, F.lit(i))
-    points = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(n / 2).cast("int") - 1)), lambda i: F.struct(F.get(values, 2 * i).alias("x"), F.get(values, 2 * i + 1).alias("y")))
     none = F.lit(None).cast("array<struct<x:double,y:double>>")
-    plain = F.struct(cls.alias("class_id"), box(at(0), at(1), at(2), at(3)).alias("bbox"), none.alias("polygon"))
-    poly = F.struct(cls.alias("class_id"), bounding_box(points).alias("bbox"), points.alias("polygon"))
-    return F.when(good & (n == 4), plain).when(good & (n >= 6) & (n % 2 == 0), poly)
+
+    # Each step is bound once: what a lambda names is else evaluated for each of its elements.
+    def read(parts: Column) -> Column:
+        cls = F.when(F.get(parts, F.lit(0)).rlike(r"^[+-]?\d+$"), F.get(parts, F.lit(0)).try_cast("int"))
+        values = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda v: v.try_cast("double"))
+        return F.struct(cls.alias("cls"), values.alias("values"))
+
+    def made(s: Column) -> Column:
+        cls, values = s["cls"], s["values"]
+        n, good = F.size(values), ~F.exists(values, lambda v: v.isNull()) & cls.isNotNull()
+        at = lambda i: F.get(values, F.lit(i))
+        points = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(n / 2).cast("int") - 1)), lambda i: F.struct(F.get(values, 2 * i).alias("x"), F.get(values, 2 * i + 1).alias("y")))
+        plain = F.struct(cls.alias("class_id"), box(at(0), at(1), at(2), at(3)).alias("bbox"), none.alias("polygon"))
+        poly = let(points, lambda p: F.struct(cls.alias("class_id"), bounding_box(p).alias("bbox"), p.alias("polygon")))
+        return F.when(good & (n == 4), plain).when(good & (n >= 6) & (n % 2 == 0), poly)
+
+    return let(let(F.split(F.regexp_replace(line, r"^\s+|\s+$", ""), r"\s+"), read), made)
 
 
 #: Pixels that rounding may leave of a side that is gone.
