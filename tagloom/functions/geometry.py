@@ -129,29 +129,27 @@ def corners(cx: Column, cy: Column, w: Column, h: Column) -> Column:
 
 
 def _six(*values: Column) -> Column:
-    return F.concat_ws(" ", *(six_digits(v.cast("double")) for v in values))
+    # As one step of an array, each value is computed once.
+    return F.array_join(F.transform(F.array(*(v.cast("double") for v in values)), six_digits), " ")
 
 
 def six_digits(value: Column) -> Column:
     """A number from -4 to 4 with six digits, rounded by its exact value, halves to even, as
     printf does in C; Java's, by which others are written, rounds what is printed of it up.
 
-    Only a seventh digit of 5 leaves it open: then the value and that half are compared as
-    whole numbers of a power of two that leaves no bit of the value out.
+    Only a product with a half left over leaves it open, as halves are doubles themselves; then
+    the product's error, which the value's upper and lower bits give without rounding, tells.
     """
-    x, exact = F.abs(value), "decimal(38,0)"
-    seven = F.floor(x * 1e7 + 0.5)
-    shift = F.when(x >= 2.0**-7, F.lit(2.0**60)).when(x >= 2.0**-14, F.lit(2.0**67)).otherwise(F.lit(2.0**74))
-    mine = (x * shift).cast("long").cast(exact) * F.lit(10_000_000).cast(exact)
-    half = lambda t: t.cast(exact) * F.when(x >= 2.0**-7, F.lit(str(2**60))).when(x >= 2.0**-14, F.lit(str(2**67))).otherwise(F.lit(str(2**74))).cast("decimal(23,0)")
-
-    def written(t: Column) -> Column:
-        down = F.floor(t / 10)
-        up = (t % 10 > 5) | ((t % 10 == 5) & ((mine > half(t)) | ((mine == half(t)) & (down % 2 == 1))))
-        return let(down + up.cast("long"), lambda n: F.concat(F.floor(n / 1_000_000).cast("string"), F.lit("."), F.lpad((n % 1_000_000).cast("string"), 6, "0")))
-
-    sign = F.when(value < 0, F.lit("-")).otherwise(F.lit(""))
-    return F.when(x < 4, F.concat(sign, let(seven, written))).otherwise(F.format_string("%.6f", value))
+    x = F.abs(value)
+    y = x * 1e6
+    wide = x * (2.0**27 + 1)
+    upper = wide - (wide - x)
+    error = (upper * 1e6 - y) + (x - upper) * 1e6
+    down = F.floor(y)
+    up = (error > 0) | ((error == 0) & (down % 2 == 1))
+    n = F.when(y - down == 0.5, down + up.cast("long")).otherwise(F.rint(y).cast("long"))
+    text = F.overlay(F.substr((n + 10_000_000).cast("string"), F.lit(2)), F.lit("."), F.lit(2), F.lit(0))
+    return F.when(x < 4, F.when(value < 0, F.concat(F.lit("-"), text)).otherwise(text)).otherwise(F.format_string("%.6f", value))
 
 
 def box_line(class_id: Column, bbox: Column) -> Column:
@@ -162,9 +160,13 @@ def box_line(class_id: Column, bbox: Column) -> Column:
 
 def polygon_line(class_id: Column, bbox: Column, polygon: Column) -> Column:
     """A label file's line of a polygon of three points or more, else of its box's corners."""
-    points = F.when(F.coalesce(F.size(polygon) >= 3, F.lit(False)), polygon).when(bbox.isNotNull(), corners(bbox["cx"], bbox["cy"], bbox["w"], bbox["h"]))
-    written = F.array_join(F.transform(points, lambda p: _six(p["x"], p["y"])), " ")
-    return F.when(points.isNotNull(), F.concat_ws(" ", class_id.cast("string"), written)).otherwise(F.lit(""))
+    own = F.array_join(F.transform(polygon, lambda p: _six(p["x"], p["y"])), " ")
+    # Each side of a box is written once, and stands at two corners.
+    half = bbox["w"] / 2, bbox["h"] / 2
+    sides = F.array(*(v.cast("double") for v in (bbox["cx"] - half[0], bbox["cy"] - half[1], bbox["cx"] + half[0], bbox["cy"] + half[1])))
+    boxed = let(F.transform(sides, six_digits), lambda v: F.concat_ws(" ", v[0], v[1], v[2], v[1], v[2], v[3], v[0], v[3]))
+    number = class_id.cast("string")
+    return F.when(F.coalesce(F.size(polygon) >= 3, F.lit(False)), F.concat_ws(" ", number, own)).when(bbox.isNotNull(), F.concat_ws(" ", number, boxed)).otherwise(F.lit(""))
 
 
 def label_lines(labels: Column, form: str | None = None) -> Column:

@@ -161,3 +161,20 @@ def test_six_digits_as_in_c(spark):
     df = spark.createDataFrame([(v,) for v in values], "v double")
     wrong = [(v, got) for v, got in df.select("v", geo.six_digits(F.col("v"))).collect() if got != f"{v:.6f}"]
     assert not wrong, wrong[:5]
+
+
+def test_a_side_of_a_box_is_written_once(spark):
+    """Six digits are exact, also at halves, and take no decimals, which cost most of label_files."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tagloom.functions import geometry as geo
+
+    rng = random.Random(3)
+    values = [s * v for k in (rng.randrange(4_000_000) for _ in range(500)) for v in ((k + 0.5) / 1e6, k / 128 % 4, rng.uniform(0, 4), 0.49999999999999994e-6) for s in (1, -1)]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", geo.six_digits(F.col("v")).alias("t"))
+    assert [r.t for r in df.collect()] == [f"{v:.6f}" for v in values]
+    box = geo.box(F.col("v"), F.lit(0.5), F.lit(0.25), F.lit(0.25))
+    plan = df.select(geo.polygon_line(F.lit(1), box, F.lit(None).cast("array<struct<x:double,y:double>>")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "decimal" not in plan
