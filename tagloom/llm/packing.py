@@ -29,7 +29,7 @@ WINDOW = 1024
 #: The id that ends a document.
 END = 0
 #: Pre-tokens whose ids a worker keeps; beyond that it starts anew and looks into the last such store.
-STORE = 120_000
+STORE = 500_000
 #: Characters over which a pre-token is not kept, and characters of a text that are cut at once.
 LONG, WHOLE = 64, 1 << 18
 #: The cut of byte-level tokenizers into pre-tokens, where `_plain` holds.

@@ -111,3 +111,12 @@ def test_pieces_of_many_documents():
         found = list(zip(*(x.tolist() for x in packing.windowed(at[inside], n[inside], window))))
         expected = [(row, *p) for row, (a, m) in enumerate(zip(at[inside].tolist(), n[inside].tolist())) for p in packing.pieces(a, m, total, window, [])]
         assert found == expected
+
+
+def test_a_store_holds_what_a_task_meets_again():
+    """A few thousand documents have over 200000 pre-tokens; none is encoded again on a second pass."""
+    made, calls = [f" w{i}" for i in range(200_000)], []
+    store = packing.Store(lambda piece: calls.append(piece) or b"")
+    for piece in made * 2:
+        store[piece]
+    assert len(calls) == len(made)
