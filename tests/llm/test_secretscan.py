@@ -146,3 +146,37 @@ def test_sample_is_the_least_by_hash(spark):
     kept = sorted({(r.draw, bytes(r.codes)) for r in rows if r.codes is not None and r.stratum == 1})[:10]
     expected = sorted(zlib.crc32(str(10**9 + i * 7919).encode()) for i in range(200))[:10]
     assert [d for d, _ in kept] == expected
+
+
+def test_all_candidates_count(spark, monkeypatch):
+    """What is learnt, the threshold and the precision are of all candidates, however they lie in partitions."""
+    import zlib
+
+    monkeypatch.setattr(secretscan, "EPOCHS", 3)
+    rng = random.Random(3)
+    some = lambda symbols, n: "".join(rng.choices(symbols, k=n))
+    word = lambda: some(["tion", "ing", "ver", "ment", "der", "les"], 4)
+    odd = [some("QWXZKVJYPBQG", 40) for _ in range(40)]
+    texts = [f"the {word()} of {word()} {word()} in {word()} token = {some('abcdefgh', 9)}{i % 7} {rng.randrange(10**12)}" for i in range(1600)] + [f"see {x} in {word()}" for x in odd]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    network = secretscan.train(docs.repartition(3))
+    rows = {}
+    for text in texts:
+        for start, end, what in secretscan.candidates(text, secretscan.base_spans(text)):
+            codes = secretscan.windows(text, start, end)[: secretscan.WIDTH]
+            rows.setdefault(zlib.crc32(codes) % 4 == 0, []).append((codes, what == secretscan.FOUND, text[start:end] in odd))
+    read = lambda codes: np.frombuffer(b"".join(codes), np.uint8).reshape(-1, secretscan.WIDTH)
+    made, labels = secretscan.made_examples()
+    held = np.arange(len(made)) // 13 % 4 == 0
+    p = network.probability(np.concatenate([read(r[0] for r in rows[True]), made[held]]))
+    truth = np.concatenate([np.array([r[1] for r in rows[True]]), labels[held] == 1])
+    found = np.sort(p[truth])
+    assert abs(network.threshold - found[int((1 - secretscan.RECALL) * len(found))]) < 1e-9
+    assert abs(network.precision - truth[p >= network.threshold - 1e-9].mean()) < 1e-9
+    # The few that look like keys, and that no rule found, have been learnt.
+    assert (network.probability(read(r[0] for r in rows[False] if r[2])) < network.threshold).mean() > 0.9
+    again = secretscan.train(docs.repartition(5))
+    assert abs(again.threshold - network.threshold) < 1e-9 and np.array_equal(again.w, network.w)
+    monkeypatch.setattr(secretscan, "SHARD", 150)
+    parts = [secretscan.train(docs.repartition(n)) for n in (2, 5)]
+    assert np.array_equal(parts[0].w, parts[1].w) and not np.array_equal(parts[0].w, network.w) and 0 < parts[0].threshold < 1
