@@ -180,3 +180,52 @@ def test_all_candidates_count(spark, monkeypatch):
     monkeypatch.setattr(secretscan, "SHARD", 150)
     parts = [secretscan.train(docs.repartition(n)) for n in (2, 5)]
     assert np.array_equal(parts[0].w, parts[1].w) and not np.array_equal(parts[0].w, network.w) and 0 < parts[0].threshold < 1
+
+
+def test_cut_is_as_the_plain_functions():
+    """Runs over all texts' codes at once give the same spans, candidates, strata and windows as text by text."""
+    import zlib
+
+    rng = random.Random(1)
+    symbols = 'abAB01+/_=-' * 4 + '. ÿé🙂~"\0\n:='
+    texts = [t or "" for t in TEXTS] + ["abcdefgh", "--------", "==ab-cd==ab", "__12345678__", "ÿÿÿÿÿÿÿÿÿ~~~~~~~~~ \0\0abcdefgh\0ÿ"]
+    texts += ["".join(rng.choices(symbols, k=rng.randrange(200))) + rng.choice(["", "token=", "AKIA" + "A" * 14, " " + "0a" * 20]) for _ in range(1000)]
+    for some in [texts, [], *([t] for t in texts[:20])]:
+        cut = secretscan.Cut(some)
+        assert cut.spans == [secretscan.base_spans(t) for t in some]
+        found = list(zip(cut.rows.tolist(), cut.starts.tolist(), cut.ends.tolist(), cut.whats.tolist()))
+        assert sorted(found) == sorted((i, *c) for i, t in enumerate(some) for c in secretscan.candidates(t, cut.spans[i]))
+        assert cut.strata().tolist() == [secretscan.stratum(some[i][s:e], what) for i, s, e, what in found]
+        codes = cut.windows(np.arange(len(found)))
+        first = [secretscan.windows(some[i], s, min(e, s + secretscan.INSIDE + secretscan.AFTER))[: secretscan.WIDTH] for i, s, e, _ in found]
+        assert codes.tobytes() == b"".join(first)
+        assert secretscan.draws(codes).tolist() == [zlib.crc32(w) for w in first]
+
+
+def test_training_stages_no_window_that_is_told_apart(spark, monkeypatch):
+    """Texts are cut anew in each sweep, so that what is written doesn't have a row for each candidate."""
+    rng = random.Random(8)
+    texts = [" ".join(str(rng.randrange(10**11, 10**12)) for _ in range(500)) + f" token = secret{i}xyz" for i in range(40)]
+    docs, most, staged = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), [], secretscan.common.staged
+
+    def counted(df, *args, **options):
+        out = staged(df, *args, **options)
+        if "codes" in out.columns:
+            most.append(out.where("codes IS NOT NULL").count())
+        return out
+
+    monkeypatch.setattr(secretscan.common, "staged", counted)
+    secretscan.train(docs)
+    assert most and max(most) < 40 * 500 / 4, most
+
+
+def test_logits_are_of_rounded_weights():
+    rng = np.random.default_rng(3)
+    network = secretscan.Network()
+    network.w = (network.w * 40).astype(np.float32)
+    codes, _ = secretscan.made_examples(100)
+    plain = (network._pooled(codes, network._singles())[0] * network.v).sum(1) + network.b
+    assert np.abs(network.logits(codes) - plain).max() < 0.02
+    order = rng.permutation(len(codes))
+    assert np.array_equal(network.logits(codes)[order], network.logits(codes[order]))
+    assert np.array_equal(network.logits(codes[:7]), network.logits(codes)[:7])
