@@ -114,11 +114,14 @@ def column(name: str) -> Callable:
 def to_sql(spark: SparkSession, prefix: str = "") -> dict[str, str]:
     """Makes every named model a function of SQL; the functions' names, by the models'.
 
-    What is no letter, digit or _ in a model's name is _ in its function's. Two models with one
+    What is no letter, digit or _ in a model's name is _ in its function's. A name that Spark has for a
+    function of its own gets _model, as it would hide that from the session. Two models with one
     function's name are an error, before any is made. A model's rows, if its result is an array, come
     by LATERAL VIEW explode.
     """
+    taken = {r.function.lower() for r in spark.sql("SHOW SYSTEM FUNCTIONS").collect()}
     found = {name: prefix + re.sub(r"\W", "_", name, flags=re.ASCII) for name in names()}
+    found = {name: f"{function}_model" if function.lower() in taken else function for name, function in found.items()}
     twice = [n for n, of in Counter(f.lower() for f in found.values()).items() if of > 1]
     if twice:
         raise ValueError(f"several models would be {twice[0]}")

@@ -40,3 +40,12 @@ def test_models_are_functions_of_sql(spark, monkeypatch):
     models.register("split-it", "array<string>")(Splitter)
     with pytest.raises(ValueError, match="split_it"):
         models.to_sql(spark)
+
+
+def test_functions_of_spark_are_not_hidden(spark, monkeypatch):
+    monkeypatch.setattr(models, "_models", {})
+    monkeypatch.setattr(models, "_extras", {})
+    models.register("Length", "array<string>")(lambda: lambda values: [[v] for v in values])
+    assert models.to_sql(spark) == models.to_sql(spark) == {"Length": "Length_model"}
+    row = spark.sql("SELECT length('abc') AS n, Length_model('abc').result AS mine").first()
+    assert row.n == 3 and row.mine == ["abc"]
